@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import UNKNOWN
+from gleaner.functions.arrays import before, computed
 from gleaner.operators.skew import at_most
 
 
@@ -58,9 +59,12 @@ def to_arrays(sentence_rows: DataFrame, labelled: DataFrame) -> DataFrame:
     # Known tags and one filler per position, sorted together: of the entries
     # of one position a known tag comes first and the filler is dropped.
     filler = F.transform("tokens", lambda _, i: F.struct(i.alias("i"), F.lit(1).alias("unknown"), F.lit(UNKNOWN).alias("t")))
-    merged = sentence_rows.join(known, "sid").withColumn("_all", F.sort_array(F.concat("_known", filler)))
-    first = F.filter("_all", lambda e, i: (i == 0) | (F.get("_all", i - 1)["i"] != e["i"]))
-    return merged.withColumn("al_tags", F.transform(first, lambda e: e["t"])).drop("_known", "_all")
+    merged = computed(sentence_rows.join(known, "sid"), _all=F.sort_array(F.concat("_known", filler)))
+    entries = F.col("_all")
+    nothing = F.struct(F.lit(-1).alias("i"), F.lit(0).alias("unknown"), F.lit(0).alias("t"))
+    zipped = F.arrays_zip(entries.alias("here"), before(entries, nothing).alias("before"))
+    first = F.filter(zipped, lambda z: z["here"]["i"] != z["before"]["i"])
+    return merged.withColumn("al_tags", F.transform(first, lambda z: z["here"]["t"])).drop("_known", "_all")
 
 
 def from_arrays(labelled_rows: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import UNKNOWN
+from gleaner.functions.arrays import after, before, computed
 
 MASK_ALL = "mask_all_unknown"
 DROP_ALL = "drop_all_unknown"
@@ -37,20 +38,21 @@ def with_candidates(rows: DataFrame) -> DataFrame:
     letters = F.array_join(F.transform("pos_tags_text", letter), "")
     marked = F.regexp_replace(letters, "(N+)I(N+)", "$1X$2")
     chars = F.when(marked == "", F.array().cast("array<string>")).otherwise(F.split(marked, ""))
-    rows = rows.withColumn("inside", F.transform(chars, lambda c: c.isin("N", "X")))
-    at = lambda i: F.coalesce(F.get("inside", i), F.lit(False))
-    index = F.transform("inside", lambda _, i: i)
-    rows = rows.withColumn("_starts", F.filter(index, lambda i: at(i) & ~at(i - 1)))
-    rows = rows.withColumn("_ends", F.filter(index, lambda i: at(i) & ~at(i + 1)))
+    rows = computed(rows, inside=F.transform(chars, lambda c: c.isin("N", "X")))
+    no = F.lit(False)
+    edges = F.arrays_zip(
+        F.col("inside").alias("here"), before(F.col("inside"), no).alias("before"), after(F.col("inside"), no).alias("after"))
+    starts = F.array_compact(F.transform(edges, lambda z, i: F.when(z["here"] & ~z["before"], i)))
+    ends = F.array_compact(F.transform(edges, lambda z, i: F.when(z["here"] & ~z["after"], i + 1)))
     span = F.transform(
-        F.arrays_zip(F.col("_starts").alias("s"), F.col("_ends").alias("e")),
+        F.arrays_zip(starts.alias("s"), ends.alias("e")),
         lambda z: F.struct(
             z["s"].alias("start"),
-            (z["e"] + 1).alias("end"),
-            (~F.array_contains(F.slice("al_tags", z["s"] + 1, z["e"] + 1 - z["s"]), UNKNOWN)).alias("full"),
+            z["e"].alias("end"),
+            (~F.array_contains(F.slice("al_tags", z["s"] + 1, z["e"] - z["s"]), UNKNOWN)).alias("full"),
         ),
     )
-    return rows.withColumn("cands", span).drop("_starts", "_ends")
+    return computed(rows, cands=span)
 
 
 def _row(tokens: Column | str, tags: Column | str, window_no: Column | None = None) -> list[Column]:
@@ -122,21 +124,21 @@ def dynamic_window(rows: DataFrame) -> DataFrame:
     kind = F.when(single, "keep").when(closed, "close").otherwise("split")
     found = found.withColumn("_kind", kind)
 
-    n = F.size("al_tags")
-    one = F.array(F.struct(F.lit(0).alias("no"), F.lit(0).alias("left"), n.alias("right"),
-                           F.lit(0).alias("start"), F.lit(0).alias("end")))
-    ends_before = lambda i: F.transform(
-        F.filter(F.slice("cands", 1, i), lambda c: ~c["full"]), lambda c: c["end"])
-    starts_after = lambda i: F.transform(
-        F.filter(F.slice("cands", i + 2, F.size("cands")), lambda c: ~c["full"]), lambda c: c["start"])
-    many = F.transform("cands", lambda c, i: F.struct(
-        i.alias("no"),
-        F.coalesce(F.array_max(ends_before(i)), F.lit(0)).alias("left"),
-        F.coalesce(F.array_min(starts_after(i)), n).alias("right"),
-        c["start"].alias("start"),
-        c["end"].alias("end"),
+    # One candidate per output row; the sentences that stay whole get a dummy.
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(True).alias("full")))
+    split = F.col("_kind") == "split"
+    each = found.select("*", F.posexplode(F.when(split, F.col("cands")).otherwise(whole)).alias("_no", "_c"))
+    open_spans = lambda part: F.filter(part, lambda c: ~c["full"])
+    left = F.array_max(F.transform(open_spans(F.slice("cands", 1, F.col("_no"))), lambda c: c["end"]))
+    right = F.array_min(F.transform(
+        open_spans(F.slice("cands", F.col("_no") + 2, F.size("cands"))), lambda c: c["start"]))
+    windows = computed(each, _w=F.struct(
+        F.col("_no").alias("no"),
+        F.when(split, F.coalesce(left, F.lit(0))).otherwise(0).alias("left"),
+        F.when(split, F.coalesce(right, F.size("al_tags"))).otherwise(F.size("al_tags")).alias("right"),
+        F.col("_c.start").alias("start"),
+        F.col("_c.end").alias("end"),
     ))
-    windows = found.withColumn("_w", F.explode(F.when(F.col("_kind") == "split", many).otherwise(one)))
     cut = lambda c: F.slice(c, F.col("_w.left") + 1, F.col("_w.right") - F.col("_w.left"))
     tags = F.transform(cut("al_tags"), lambda t, i: F.when(
         (t == UNKNOWN)

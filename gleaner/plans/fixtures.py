@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gleaner import UNKNOWN
 from gleaner.functions import scores as S
+from gleaner.functions.arrays import before, computed
 from gleaner.functions.hashing import uniform
 from gleaner.functions.tags import bio_tags
 from gleaner.functions.text import words
@@ -97,23 +98,23 @@ def _pos(word: Column) -> Column:
 
 def _with_tags(rows: DataFrame) -> DataFrame:
     """Add ``pos_tags_text``, ``pos_tags`` and ``ner_tags`` to rows with ``tokens``."""
-    rows = rows.withColumn("pos_tags_text", F.transform("tokens", _pos))
+    rows = computed(rows, pos_tags_text=F.transform("tokens", _pos))
     number = lambda p: F.when(p == "NNP", 1).when(p == "IN", 2).otherwise(0)
-    rows = rows.withColumn("pos_tags", F.transform("pos_tags_text", number))
 
-    def tag(word: Column, i: Column) -> Column:
-        kind = (F.length(word) % 3) * 2
-        inside = F.get("pos_tags_text", i - 1).eqNullSafe(F.lit("NNP"))
-        return F.when(F.get("pos_tags_text", i) == "NNP", F.when(inside, kind + 2).otherwise(kind + 1)).otherwise(0)
+    def tag(z: Column) -> Column:
+        kind = (F.length(z["word"]) % 3) * 2
+        return F.when(z["pos"] == "NNP", F.when(z["left"] == "NNP", kind + 2).otherwise(kind + 1)).otherwise(0)
 
-    return rows.withColumn("ner_tags", F.transform("tokens", tag))
+    pos = F.col("pos_tags_text")
+    zipped = F.arrays_zip(F.col("tokens").alias("word"), pos.alias("pos"), before(pos, F.lit("")).alias("left"))
+    return computed(rows, pos_tags=F.transform(pos, number), ner_tags=F.transform(zipped, tag))
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents: ``(sid, tokens, pos_tags_text, pos_tags, ner_tags)``."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    rows = lines.select(
-        (F.col("doc_id") * LINES_PER_DOCUMENT + F.col("line")).alias("sid"), words(F.col("text")).alias("tokens"))
+    lines = lines.select((F.col("doc_id") * LINES_PER_DOCUMENT + F.col("line")).alias("sid"), "text")
+    rows = computed(lines, tokens=words(F.col("text"))).drop("text")
     return _with_tags(rows.where(F.size("tokens") > 0))
 
 
@@ -126,11 +127,12 @@ def partly_annotated(spark: SparkSession, sf_dir: str, share: float = 0.85) -> D
 def raw_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(sid, logits, label_ids)`` per line; the first word and long words are masked."""
     rows = sentences(spark, sf_dir)
-    label = lambda w, i: F.when((i == 0) | (F.length(w) > 8), UNKNOWN).otherwise(F.get("ner_tags", i))
+    label = lambda z, i: F.when((i == 0) | (F.length(z["w"]) > 8), UNKNOWN).otherwise(z["t"])
+    pairs = F.arrays_zip(F.col("tokens").alias("w"), F.col("ner_tags").alias("t"))
     logits = lambda w, i: F.array(*[
         ((F.length(w) * (7 * (c + 3)) + i * (5 * (c + 1))) % 17).cast("double") / 4 for c in range(len(TEXT_TAGS))])
     return rows.select(
-        "sid", F.transform("tokens", logits).alias("logits"), F.transform("tokens", label).alias("label_ids"))
+        "sid", F.transform("tokens", logits).alias("logits"), F.transform(pairs, label).alias("label_ids"))
 
 
 def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

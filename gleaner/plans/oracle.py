@@ -72,7 +72,7 @@ AL = f"al AS (SELECT *, CASE WHEN {_u(13, 'sid', 'tid')} < 0.85 THEN tag_id ELSE
 
 def _ranked(value: str, source: str, ids: str, where: str, k: int, down: bool = False) -> str:
     direction = "DESC" if down else "ASC"
-    return (f"SELECT {ids}, {value} AS score FROM {source} {where} "
+    return (f"SELECT {ids}, round({value}, 9) AS score FROM {source} {where} "
             f"ORDER BY round({value}, 9) {direction}, {ids} LIMIT {k}")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import UNKNOWN
+from gleaner.functions.arrays import before, computed
 from gleaner.functions.tags import decode
 
 
@@ -37,10 +38,9 @@ def align_labels(rows: DataFrame) -> DataFrame:
     The first piece of a word takes the word's tag; later pieces and special
     tokens (NULL word id) take -100.
     """
+    rows = computed(rows, ner_tags=F.col("ner_tags"))
+    ids = F.col("word_ids")
+    zipped = F.arrays_zip(ids.alias("w"), before(ids, F.lit(None).cast("int")).alias("b"))
     labels = F.transform(
-        "word_ids",
-        lambda w, i: F.when(
-            w.isNull() | ((i > 0) & w.eqNullSafe(F.get("word_ids", i - 1))), UNKNOWN
-        ).otherwise(F.get("ner_tags", w)),
-    )
+        zipped, lambda z: F.when(z["w"].isNull() | (z["w"] == z["b"]), UNKNOWN).otherwise(F.get("ner_tags", z["w"])))
     return rows.withColumn("labels", labels)
