@@ -16,12 +16,19 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def _each(values: Column, one: Column) -> Column:
+    """``one`` repeated for every element, for use with ``zip_with``.
+
+    A lambda would evaluate an outer expression again for each element.
+    """
+    return F.array_repeat(one, F.size(values))
+
+
 def softmax(logits: Column | str) -> Column:
     """Softmax, shifted by the largest logit so that ``exp`` cannot overflow."""
     logits = _col(logits).cast("array<double>")
-    top = F.array_max(logits)
-    denominator = F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
-    return F.transform(logits, lambda v: F.exp(v - top) / denominator)
+    powers = F.zip_with(logits, _each(logits, F.array_max(logits)), lambda v, top: F.exp(v - top))
+    return F.zip_with(powers, _each(logits, _total(powers)), lambda p, total: p / total)
 
 
 def entropy(scores: Column | str) -> Column:

@@ -32,8 +32,22 @@ EVENT_NAMES = {
 }
 
 
+KEYS = {
+    "documents": "doc_id", "lineitem": "l_orderkey", "events": "user_id", "embeddings": "vec_id",
+    "orders": "o_orderkey", "benchmark": "item_id",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as read, or spread over the cores when it comes in too few pieces.
+
+    A file of one row group is one task, which would then do all work up to
+    the first shuffle. Tables of many files are left as they are.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        return rows.repartition(KEYS[name])
+    return rows
 
 
 # --- line items as tokens ---------------------------------------------------
