@@ -40,7 +40,7 @@ def runs(tokens: DataFrame, scheme: Scheme, chunk_rows: int = CHUNK_ROWS, keep:
     """Entity runs as ``(sid, start, end, tag)`` with ``end`` past the last token.
 
     ``tag`` is the tag of the first token; ``keep`` names further columns to
-    take from the first token.
+    take from the first token. ``chunk_rows`` is at least 2.
     """
     keep = keep or []
     chunk = F.floor(F.col("tid") / chunk_rows).cast("long")
