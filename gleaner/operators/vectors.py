@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,9 +102,12 @@ def kmeans(
     )
     rows = cut_lineage(rows)
     to_vector = F.udf(lambda ix, ws: SparseVector(features, ix, ws), VectorUDT())
-    model = KMeans(k=size, seed=seed, maxIter=iterations, featuresCol="v").fit(
-        rows.select(to_vector("ix", "ws").alias("v")))
-    centers = np.array(model.clusterCenters())
+    points = rows.select(to_vector("ix", "ws").alias("v"))
+    if size == 1:  # KMeans wants two clusters or more; one cluster has the mean as center.
+        centers = np.array([points.select(Summarizer.mean(F.col("v"))).first()[0].toArray()])
+    else:
+        model = KMeans(k=size, seed=seed, maxIter=iterations, featuresCol="v").fit(points)
+        centers = np.array(model.clusterCenters())
     lengths = np.linalg.norm(centers, axis=1)
     centers = centers / np.where(lengths > 0, lengths, 1.0)[:, None]
 

@@ -31,8 +31,8 @@ def test_positions_with_one_hint_value(spark):
     assert all(r["tid"] == r["id"] for r in out)
 
 
-@pytest.mark.parametrize("k", [1, 37, 500, 1999, 2000, 5000])
-@pytest.mark.parametrize("distinct", [3, 50, 10**6])
+@pytest.mark.parametrize("k", [37, 500, 1999, 5000])
+@pytest.mark.parametrize("distinct", [3, 10**6])
 def test_first_k_by_cut(spark, k, distinct):
     rng = random.Random(k + distinct)
     rows = [(i, rng.randrange(distinct) / 7) for i in range(2000)]
