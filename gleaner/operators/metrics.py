@@ -24,28 +24,34 @@ def side(pairs: DataFrame, column: str) -> DataFrame:
 # --- identical-tag spans ----------------------------------------------------
 
 
-def io_counts(gold_spans: DataFrame, pred_spans: DataFrame) -> DataFrame:
-    """``(n_pred, n_gold, n_correct)`` over spans ``(sid, start, end, type)``."""
-    return _match(gold_spans, pred_spans).agg(
-        F.coalesce(F.sum("n_pred"), F.lit(0)).alias("n_pred"),
-        F.coalesce(F.sum("n_gold"), F.lit(0)).alias("n_gold"),
-        F.coalesce(F.sum("n_correct"), F.lit(0)).alias("n_correct"),
+def _sides(pairs: DataFrame) -> DataFrame:
+    """Both taggings in one table ``(sid, side, tid, tag)``, reading the pairs once."""
+    each = F.array(
+        F.struct(F.lit("g").alias("side"), F.col("gold").alias("tag")),
+        F.struct(F.lit("p").alias("side"), F.col("pred").alias("tag")),
     )
+    return pairs.select("sid", "tid", F.inline(each))
 
 
-def _match(gold_spans: DataFrame, pred_spans: DataFrame) -> DataFrame:
-    """Per span and type, whether it is in the prediction, the gold set, or both.
+def _matched(spans_of_sides: DataFrame) -> DataFrame:
+    """Per place and type, whether a span is in the prediction, the gold set or both.
 
-    One aggregation over both sets; each side has a span at most once.
+    Each side has a span at most once, so one aggregation does for a join.
     """
-    keys = ["sid", "start", "end", "type"]
-    both = gold_spans.select(*keys, F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(
-        pred_spans.select(*keys, F.lit(0).alias("g"), F.lit(1).alias("p")))
-    return both.groupBy(*keys).agg(
-        F.max("p").cast("long").alias("n_pred"),
-        F.max("g").cast("long").alias("n_gold"),
-        F.least(F.max("p"), F.max("g")).cast("long").alias("n_correct"),
-    )
+    has = lambda side: F.max((F.col("side") == side).cast("long"))
+    return spans_of_sides.groupBy("sid", "start", "end", "type").agg(
+        has("p").alias("n_pred"), has("g").alias("n_gold"),
+    ).withColumn("n_correct", F.least("n_pred", "n_gold"))
+
+
+def _io_spans(pairs: DataFrame) -> DataFrame:
+    return spans.runs(_sides(pairs), spans.io_break, keys=("sid", "side")).withColumnRenamed("tag", "type")
+
+
+def io_counts(pairs: DataFrame) -> DataFrame:
+    """``(n_pred, n_gold, n_correct)`` of identical-tag spans, one row."""
+    return _matched(_io_spans(pairs)).agg(*[
+        F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_pred", "n_gold", "n_correct")])
 
 
 def _ratio(correct: str, total: str, epsilon: float) -> Column:
@@ -63,8 +69,7 @@ def _with_scores(counts: DataFrame, epsilon: float) -> DataFrame:
 
 def io_scores(pairs: DataFrame) -> DataFrame:
     """Precision, recall and F1 of identical-tag spans, one row."""
-    counts = io_counts(spans.io_runs(side(pairs, "gold")), spans.io_runs(side(pairs, "pred")))
-    return _with_scores(counts, EPSILON)
+    return _with_scores(io_counts(pairs), EPSILON)
 
 
 def type_errors(pairs: DataFrame) -> DataFrame:
@@ -75,13 +80,13 @@ def type_errors(pairs: DataFrame) -> DataFrame:
     1e-6, so that it can be divided by). The coarse type is the part of the
     name before the first hyphen.
     """
-    at = ["sid", "start", "end"]
-    gold = spans.io_runs(side(pairs, "gold")).select(*at, F.col("type").alias("g"))
-    pred = spans.io_runs(side(pairs, "pred")).select(*at, F.col("type").alias("p"))
+    # One side has one span at a place, so a place is a row with up to two types.
+    tag_of = lambda side: F.max(F.when(F.col("side") == side, F.col("type")))
+    places = _io_spans(pairs).groupBy("sid", "start", "end").agg(tag_of("g").alias("g"), tag_of("p").alias("p"))
     coarse = lambda c: F.substring_index(c, "-", 1)
     wrong = F.col("g") != F.col("p")
     same = coarse(F.col("g")) == coarse(F.col("p"))
-    return gold.join(pred, at).agg(
+    return places.where(F.col("g").isNotNull() & F.col("p").isNotNull()).agg(
         F.count_if(wrong & same).alias("within"),
         F.count_if(wrong & ~same).alias("outer"),
         (F.count(F.lit(1)) + F.lit(1e-6)).alias("same_span"),
@@ -96,9 +101,9 @@ def bio_scores(pairs: DataFrame) -> DataFrame:
 
     The overall row has type ``overall`` and carries the token accuracy.
     """
-    gold = spans.bio_entities(side(pairs, "gold"))
-    pred = spans.bio_entities(side(pairs, "pred"))
-    counts = _match(gold, pred).groupingSets(
+    entities = spans.runs(_sides(pairs), spans.bio_break, keys=("sid", "side")).withColumn(
+        "type", entity_type(F.col("tag")))
+    counts = _matched(entities).groupingSets(
         [["type"], []], "type"
     ).agg(
         F.grouping("type").alias("all"),
@@ -106,14 +111,13 @@ def bio_scores(pairs: DataFrame) -> DataFrame:
         F.sum("n_gold").alias("n_gold"),
         F.sum("n_correct").alias("n_correct"),
     )
-    scored = _with_scores(counts, 0.0).select(
+    accuracy = pairs.agg(F.count_if(F.col("gold") == F.col("pred")) / F.count(F.lit(1))).scalar()
+    return _with_scores(counts, 0.0).select(
         F.when(F.col("all") == 1, "overall").otherwise(F.col("type")).alias("type"),
         "precision", "recall", "f1",
         F.coalesce("n_gold", F.lit(0)).cast("long").alias("number"),
+        F.when(F.col("all") == 1, accuracy).alias("accuracy"),
     )
-    tokens = pairs.agg((F.count_if(F.col("gold") == F.col("pred")) / F.count(F.lit(1))).alias("accuracy"))
-    tokens = tokens.withColumn("type", F.lit("overall"))
-    return scored.join(F.broadcast(tokens), "type", "left")
 
 
 # --- annotation statistics --------------------------------------------------

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import scores as S
 from gleaner.functions.hashing import race_key, uniform
 from gleaner.operators import annotate, predictions as P, spans
+from gleaner.operators.skew import cut_lineage
 from gleaner.operators.topk import By, first_k
 
 RANDOM = "random"
@@ -136,15 +137,17 @@ def query(
 
     ``k`` counts sentences, seed tokens or tokens. At entity level a seed
     reveals the whole run of entity tokens around it, so more than ``k`` tokens
-    may be annotated and two seeds in one run count once.
+    may be annotated and two seeds in one run count once. The picks are used
+    several times over, so they are computed and stored first: the pool is
+    scored once.
     """
     if level == SENTENCE:
-        picks = rank_sentences(pred, labelled, strategy, k, seed, aggregate).select("sid")
+        picks = cut_lineage(rank_sentences(pred, labelled, strategy, k, seed, aggregate).select("sid"))
         return QueryOutput(picks, labelled, annotate.sentences(tokens, labelled, picks, k))
-    seeds = rank_tokens(pred, labelled, strategy, k, seed).select("sid", "tid")
+    seeds = cut_lineage(rank_tokens(pred, labelled, strategy, k, seed).select("sid", "tid"))
     if level == TOKEN:
         return QueryOutput(seeds, labelled, annotate.tokens(tokens, labelled, seeds))
     if level == ENTITY:
-        picks = spans.expand_runs(seeds, tokens, k)
+        picks = cut_lineage(spans.expand_runs(seeds, tokens, k))
         return QueryOutput(picks, labelled, annotate.tokens(tokens, labelled, picks))
     raise ValueError(f"unknown level {level!r}")

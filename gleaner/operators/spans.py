@@ -36,13 +36,15 @@ def any_entity_break(before: Column, here: Column) -> Column:
     return F.lit(False)
 
 
-def runs(tokens: DataFrame, scheme: Scheme, chunk_rows: int = CHUNK_ROWS, keep: list[str] | None = None) -> DataFrame:
-    """Entity runs as ``(sid, start, end, tag)`` with ``end`` past the last token.
-
-    ``tag`` is the tag of the first token; ``keep`` names further columns to
-    take from the first token. ``chunk_rows`` is at least 2.
+def runs(
+    tokens: DataFrame, scheme: Scheme, chunk_rows: int = CHUNK_ROWS, keys: tuple[str, ...] = ("sid",)
+) -> DataFrame:
+    """Entity runs as ``(*keys, start, end, tag)`` with ``end`` past the last token.
+
+    ``keys`` identify a sequence and ``tag`` is the tag of the run's first
+    token. ``chunk_rows`` is at least 2. The tokens are read once; only the
+    first and last token of each run go on after the first window.
     """
-    keep = keep or []
     chunk = F.floor(F.col("tid") / chunk_rows).cast("long")
     # The tokens at both rims of a chunk also go to its neighbour, where they
     # serve as the token before the first and after the last.
@@ -51,30 +53,31 @@ def runs(tokens: DataFrame, scheme: Scheme, chunk_rows: int = CHUNK_ROWS, keep:
         .when((F.col("tid") % chunk_rows == 0) & (F.col("tid") > 0), F.array(chunk, chunk - 1))
         .otherwise(F.array(chunk))
     )
-    placed = tokens.select("sid", "tid", "tag", *keep, F.explode(homes).alias("chunk"))
-    w = Window.partitionBy("sid", "chunk").orderBy("tid")
+    placed = tokens.select(*keys, "tid", "tag", F.explode(homes).alias("chunk"))
+    w = Window.partitionBy(*keys, "chunk").orderBy("tid")
     before, here, after = F.lag("tag").over(w), F.col("tag"), F.lead("tag").over(w)
     opens = before.isNull() | (before == "O") | scheme(before, here)
     closes = after.isNull() | (after == "O") | scheme(here, after)
     edges = (
-        placed.select("sid", "tid", "tag", *keep, "chunk", opens.alias("opens"), closes.alias("closes"))
+        placed.select(*keys, "tid", "tag", "chunk", opens.alias("opens"), closes.alias("closes"))
         .where(G.is_entity(F.col("tag")) & (F.col("chunk") == chunk) & (F.col("opens") | F.col("closes")))
     )
-    # Opening and closing tokens alternate, so the next edge closes this run.
+    # Opening and closing tokens alternate, so the next edge closes a run. An
+    # edge without its partner in the chunk is loose; there are at most two per
+    # chunk of a million tokens, and they are lined up over the whole sequence.
     paired = edges.select(
         "*",
         F.when(F.col("closes"), F.col("tid")).otherwise(F.lead("tid").over(w)).alias("last"),
         F.lag("tid").over(w).alias("earlier"),
     )
-    columns = ["sid", F.col("tid").alias("start"), (F.col("last") + 1).alias("end"), "tag", *keep]
-    whole = paired.where(F.col("opens") & F.col("last").isNotNull()).select(*columns)
-    loose = paired.where(
-        (F.col("opens") & F.col("last").isNull()) | (~F.col("opens") & F.col("earlier").isNull())
-    ).select("sid", "tid", "tag", *keep, "opens")
-    # At most two loose ends per chunk of a million tokens.
-    across = Window.partitionBy("sid").orderBy("tid")
-    stitched = loose.withColumn("last", F.lead("tid").over(across)).where("opens").select(*columns)
-    return whole.unionByName(stitched)
+    starts = F.col("opens") & F.col("last").isNotNull()
+    loose = (F.col("opens") & F.col("last").isNull()) | (~F.col("opens") & F.col("earlier").isNull())
+    lined = paired.where(starts | loose).withColumn("line", F.when(loose, F.lit(-1)).otherwise(F.col("chunk")))
+    across = Window.partitionBy(*keys, "line").orderBy("tid")
+    joined = lined.withColumn(
+        "last", F.when(F.col("line") == -1, F.lead("tid").over(across)).otherwise(F.col("last")))
+    return joined.where("opens").select(
+        *keys, F.col("tid").alias("start"), (F.col("last") + 1).alias("end"), "tag")
 
 
 def io_runs(tokens: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -40,15 +40,21 @@ def term_counts(texts: DataFrame, how: Vectorizer) -> DataFrame:
     return listed.groupBy("sid", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf(texts: DataFrame, how: Vectorizer = Vectorizer()) -> DataFrame:
-    """``tf * (ln((1 + n) / (1 + df)) + 1)``, optionally scaled to length 1 per row."""
+def tfidf(texts: DataFrame, how: Vectorizer = Vectorizer(), with_df: bool = False) -> DataFrame:
+    """``tf * (ln((1 + n) / (1 + df)) + 1)``, optionally scaled to length 1 per row.
+
+    ``with_df`` keeps the number of texts each term is in, as ``df``.
+    """
     n = texts.count()
     counts = term_counts(texts, how)
-    dfs = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Reading tf here keeps this plan over `counts` equal to the one below, so
+    # that Spark splits and shuffles the texts once for both.
+    dfs = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     hot = dfs.where(F.col("df") > how.hot_term_rows)
     weighted = lookup(counts, dfs, "term", ["sid", "term"], hot).select(
         "sid", "term",
         (F.col("tf") * (F.log(F.lit(1.0 + n) / (F.col("df") + 1)) + 1)).alias("w"),
+        *(["df"] if with_df else []),
     )
     if how.norm is None:
         return weighted

@@ -176,16 +176,16 @@ def _best_rows(rows: DataFrame, centers: np.ndarray, numbers: list[int], sign: f
 
 
 def most_dissimilar(texts: DataFrame, size: int, how: Vectorizer = UNIT, block: int = 256,
-                    hot_rows: int = 1_000_000) -> DataFrame:
+                    hot_rows: int = 1_000_000, max_block: int = 4096) -> DataFrame:
     """Rows whose nearest other row is farthest away: ``(sid, score)``.
 
     ``score`` is the cosine distance to the nearest other row. It is never
     computed for all rows. A few likely neighbours of every row give an upper
     bound on its score; rows are then settled exactly in the order of that
-    bound, a block at a time against the whole table, until the bound of the
-    next row falls below the scores already found.
+    bound, a block at a time against the whole table, each block twice the last,
+    until the bound of the next row falls below the scores already found.
     """
-    weights = cut_lineage(tfidf(texts, how))
+    weights = cut_lineage(tfidf(texts, how, with_df=True))
     rows = cut_lineage(packed(weights))
     bounds = cut_lineage(
         texts.select("sid").join(_near_bound(weights, hot_rows), "sid", "left").select(
@@ -209,22 +209,21 @@ def most_dissimilar(texts: DataFrame, size: int, how: Vectorizer = UNIT, block:
             len(following) <= block or following[block]["bound"] < settled[size - 1][1])
         if settled_enough:
             break
+        block = min(2 * block, max_block)
     return spark.createDataFrame(settled[:size], "sid long, score double")
 
 
 def _near_bound(weights: DataFrame, hot_rows: int, heavy: int = 3) -> DataFrame:
     """Upper bound on the distance to the nearest other row: ``(sid, bound)``.
 
-    Under each of a row's heaviest terms, rows are lined up by weight and
+    Under each of a row's heaviest shared terms, rows are lined up by weight and
     neighbours in the line are compared. Any comparison gives a valid bound, so
     a line that grows too long is simply dealt out over several lines.
     """
     by_weight = Window.partitionBy("sid").orderBy(F.col("w").desc(), "term")
-    top = weights.withColumn("r", F.row_number().over(by_weight)).where(F.col("r") <= heavy).drop("r")
-    sizes = top.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
-    dealt = top.join(F.broadcast(sizes), "term", "left").withColumn(
-        "line", F.when(F.col("n").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64("sid"), F.ceil(F.col("n") / hot_rows))))
+    shared = weights.where(F.col("df") > 1)
+    top = shared.withColumn("r", F.row_number().over(by_weight)).where(F.col("r") <= heavy)
+    dealt = top.withColumn("line", F.pmod(F.xxhash64("sid"), F.ceil(F.col("df") / hot_rows)))
     beside = F.lag("sid").over(Window.partitionBy("term", "line").orderBy("w", "sid"))
     pairs = dealt.select(F.col("sid").alias("a"), beside.alias("b")).where(F.col("b").isNotNull()).distinct()
     pairs = cut_lineage(pairs.withColumn("pair", F.concat_ws(":", F.least("a", "b"), F.greatest("a", "b"))))

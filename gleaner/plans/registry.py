@@ -218,9 +218,7 @@ def io_spans(spark, d):
 
 
 def io_counts(spark, d):
-    pairs = X.event_pairs(spark, d)
-    return metrics.io_counts(
-        spans.io_runs(metrics.side(pairs, "gold")), spans.io_runs(metrics.side(pairs, "pred")))
+    return metrics.io_counts(X.event_pairs(spark, d))
 
 
 def io_prf(spark, d):
