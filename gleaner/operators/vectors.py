@@ -31,6 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 UNIT = Vectorizer(ngrams=(1, 1), stop_words="english", norm="l2")
 _MAX_CELLS = 4_000_000
+_MAX_BLOCK = 32_000_000
 
 
 def packed(weights: DataFrame) -> DataFrame:
@@ -120,7 +121,12 @@ def kmeans(
         if picked:
             taken = spark.createDataFrame([(s,) for _, s, _ in picked], "sid long")
             left = rows.join(at_most(taken, len(picked)), "sid", "left_anti")
-        lists = _best_rows(left, centers[todo], todo, sign, depth)
+        # A slice of centers at a time, so that what a task holds stays bounded.
+        lists: dict[int, list[tuple[int, float]]] = {}
+        width = max(1, _MAX_BLOCK // features)
+        for a in range(0, len(todo), width):
+            part = todo[a:a + width]
+            lists.update(_best_rows(left, centers[part], part, sign, depth))
         if not lists:
             break
         used = {s for _, s, _ in picked}
@@ -245,7 +251,7 @@ def _exact(rows: DataFrame, sids: list[int]) -> list[tuple[int, float]]:
     place = {t: i for i, t in enumerate(vocabulary)}
 
     # Slices of the block, so that a dense vocabulary-by-slice matrix stays small.
-    width = max(1, min(len(own), 32_000_000 // max(1, len(vocabulary))))
+    width = max(1, min(len(own), _MAX_BLOCK // max(1, len(vocabulary))))
     entries = [([place[t] for t in r["terms"]], r["ws"]) for r in own]
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
