@@ -32,7 +32,7 @@ def softmax(logits: Column | str) -> Column:
 
 
 def entropy(scores: Column | str) -> Column:
-    """Shannon entropy in nats of the scores scaled to sum 1; ``0 ln 0`` is 0.
+    """Shannon entropy in nats of the scores scaled to sum 1; ``0 ln 0`` is 0, and so is that of zeros only.
 
     Written as ``ln s - sum(p ln p) / s``, which needs the sum only once at
     the end.
@@ -44,7 +44,7 @@ def entropy(scores: Column | str) -> Column:
         F.lit(0.0),
         lambda acc, p: acc + F.when(p > 0, p * F.log(p)).otherwise(F.lit(0.0)),
     )
-    return F.log(total) - weighted / total
+    return F.when(total > 0, F.log(total) - weighted / total).when(total <= 0, 0.0)
 
 
 def margin(scores: Column | str) -> Column:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The published tag and part-of-speech vocabularies of the corpora.
 CONLL_TAGS = ["O", "B-PER", "I-PER", "B-ORG", "I-ORG", "B-LOC", "I-LOC", "B-MISC", "I-MISC"]
@@ -16,12 +15,6 @@ CONLL_POS = [
     "WDT", "WP", "WP$", "WRB",
 ]
 
-CONLL_CHUNKS = [
-    "O", "B-ADJP", "I-ADJP", "B-ADVP", "I-ADVP", "B-CONJP", "I-CONJP", "B-INTJ", "I-INTJ",
-    "B-LST", "I-LST", "B-NP", "I-NP", "B-PP", "I-PP", "B-PRT", "I-PRT", "B-SBAR", "I-SBAR",
-    "B-UCP", "I-UCP", "B-VP", "I-VP",
-]
-
 ONTONOTES_TYPES = [
     "PERSON", "NORP", "FAC", "ORG", "GPE", "LOC", "PRODUCT", "DATE", "TIME", "PERCENT", "MONEY",
     "QUANTITY", "ORDINAL", "CARDINAL", "EVENT", "WORK_OF_ART", "LAW", "LANGUAGE",
@@ -43,22 +36,6 @@ def bio_tags(types: list[str]) -> list[str]:
 ONTONOTES_TAGS = bio_tags(ONTONOTES_TYPES)
 
 
-def labels_table(spark: SparkSession, names: list[str]) -> DataFrame:
-    """Label dimension ``(tag_id, tag, prefix, type)``; one row per class."""
-    rows = []
-    for i, name in enumerate(names):
-        has_prefix = name[:2] in ("B-", "I-")
-        rows.append((i, name, name[0] if has_prefix else None,
-                     None if name == "O" else name[2:] if has_prefix else name))
-    schema = T.StructType([
-        T.StructField("tag_id", T.IntegerType(), False),
-        T.StructField("tag", T.StringType(), False),
-        T.StructField("prefix", T.StringType()),
-        T.StructField("type", T.StringType()),
-    ])
-    return spark.createDataFrame(rows, schema)
-
-
 def decode(tag_id: Column, names: list[str]) -> Column:
     """Class number to class name, by position in a literal array."""
     return F.element_at(F.array(*[F.lit(n) for n in names]), (tag_id + 1).cast("int"))
@@ -81,5 +58,10 @@ def has_prefix(tag: Column, letter: str) -> Column:
 def entity_type(tag: Column) -> Column:
     """Type of a BIO tag, or the whole name of an IO tag; NULL for ``O``."""
     return F.when(tag == "O", F.lit(None).cast("string")).when(
-        F.substring(tag, 1, 2).isin("B-", "I-"), F.substring(tag, 3, 10_000)
+        F.substring(tag, 1, 2).isin("B-", "I-"), F.substr(tag, F.lit(3))
     ).otherwise(tag)
+
+
+def required_pos(column: str = "pos_tags_text", kind: str = "array<string>") -> Column:
+    """The part-of-speech column; a row without a value fails the job instead of dropping out of the result."""
+    return F.coalesce(F.col(column), F.raise_error(F.lit(f"this needs part-of-speech tags, and {column} is null")).cast(kind))

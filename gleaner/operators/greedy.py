@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.hashing import uniform
 from gleaner.functions.tags import is_entity
-from gleaner.operators.skew import at_most, cut_lineage, lookup
-from gleaner.operators.tfidf import HOT_TERM_ROWS, Vectorizer, tfidf
+from gleaner.operators.skew import at_most, cut_lineage
+from gleaner.operators.tfidf import Vectorizer, tfidf
 from gleaner.operators.topk import By, first_k
 
 # Terms of one row as (term, weight, times the term was picked so far).
@@ -50,10 +50,10 @@ def without_repeats(
         return round(sum(best) / len(best), 9)
 
     weights = tfidf(texts, how)
-    return _pick(texts.select("sid"), weights, size, rescore, score, F.col("sid"), batch, how.hot_term_rows)
+    return _pick(texts.select("sid"), weights, size, rescore, score, F.col("sid"), batch)
 
 
-def cover(tokens: DataFrame, size: int, seed: int = 1, batch: int = 128, hot_rows: int = HOT_TERM_ROWS) -> DataFrame:
+def cover(tokens: DataFrame, size: int, seed: int = 1, batch: int = 128) -> DataFrame:
     """``tokens(sid, tid, token, tag)``: most entity tokens with a text not seen yet.
 
     Equal counts are ordered by a seeded hash of the id.
@@ -72,7 +72,7 @@ def cover(tokens: DataFrame, size: int, seed: int = 1, batch: int = 128, hot_row
         .agg(F.count(F.lit(1)).cast("double").alias("w"))
     )
     ids = tokens.select("sid").distinct()
-    return _pick(ids, weights, size, rescore, score, uniform(seed, "sid"), batch, hot_rows)
+    return _pick(ids, weights, size, rescore, score, uniform(seed, "sid"), batch)
 
 
 def _pick(
@@ -83,12 +83,9 @@ def _pick(
     score: Callable[[RowTerms], float],
     tie: Column,
     batch: int,
-    hot_rows: int,
 ) -> DataFrame:
     spark = ids.sparkSession
     weights = cut_lineage(weights)
-    frequent = cut_lineage(
-        weights.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("term"))
     schema = "step int, sid long, score double"
     picks: list[tuple[int, int, float]] = []
 
@@ -99,9 +96,7 @@ def _pick(
             weights.join(at_most(picked, len(picks)), "sid", "left_semi")
             .groupBy("term").agg(F.count(F.lit(1)).cast("int").alias("c"))
         )
-        hot_counts = counts.join(F.broadcast(frequent), "term", "left_semi")
-        counted = lookup(weights, counts, "term", ["sid", "term"], hot_counts, outer=True).withColumn(
-            "c", F.coalesce("c", F.lit(0)))
+        counted = weights.join(counts, "term", "left").withColumn("c", F.coalesce("c", F.lit(0)))
         fresh = (
             ids.join(rescore(counted), "sid", "left")
             .join(at_most(picked.select("sid"), len(picks)), "sid", "left_anti")

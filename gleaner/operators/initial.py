@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import scores as S
 from gleaner.functions.hashing import race_key, uniform
-from gleaner.functions.tags import entity_type
-from gleaner.operators.skew import at_most, cut_lineage, lookup
+from gleaner.functions.tags import entity_type, required_pos
+from gleaner.operators.skew import at_most, cut_lineage
 from gleaner.operators.tfidf import Vectorizer, text_scores
 from gleaner.operators.topk import By, first_k
 
@@ -80,20 +80,20 @@ def static(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.select("sid").join(ids.select("sid").distinct(), "sid", "left_semi")
 
 
-def nnp_frequency(tokens: DataFrame, size: int, hot_token_rows: int = 1_000_000) -> DataFrame:
+def nnp_frequency(tokens: DataFrame, size: int) -> DataFrame:
     """``tokens(sid, tid, token, pos)``: mean share of proper-noun uses of a sentence's nouns.
 
     Of every token text, the share of its uses tagged ``NNP``; a sentence
     scores the mean share over its tokens whose tag contains ``NNP``, else 0.
+    A token without part of speech is an error.
     """
+    tokens = tokens.withColumn("pos", required_pos("pos", "string"))
     shares = tokens.groupBy("token").agg(
         (F.count_if(F.col("pos") == "NNP") / F.count(F.lit(1))).alias("share"),
         F.count_if(F.col("pos").contains("NNP")).alias("uses"),
     )
     nouns = tokens.where(F.col("pos").contains("NNP")).select("sid", "tid", "token")
-    needed = shares.where(F.col("uses") > 0).select("token", "share", "uses")
-    hot = needed.where(F.col("uses") > hot_token_rows)
-    valued = lookup(nouns, needed.drop("uses"), "token", ["sid", "tid"], hot.drop("uses"))
+    valued = nouns.join(shares.where(F.col("uses") > 0).select("token", "share"), "token")
     scored = valued.groupBy("sid").agg(F.avg("share").alias("score"))
     everyone = tokens.select("sid").distinct()
     ranked = everyone.join(scored, "sid", "left").select(
@@ -108,7 +108,9 @@ def passes_nnp_filter(n_nnp: Column, length: Column, alpha: float) -> Column:
 
 def nnp_filter(sentences: DataFrame, size: int, alpha: float = 2.0, seed: int = 1) -> DataFrame:
     """Random among sentences rich in proper nouns: ``sentences(sid, tokens, pos_tags_text)``."""
-    n_nnp = F.size(F.filter("pos_tags_text", lambda p: p.contains("NNP")))
+    if "pos_tags_text" not in sentences.columns:
+        raise ValueError("this strategy needs part-of-speech tags (column pos_tags_text)")
+    n_nnp = F.size(F.filter(required_pos(), lambda p: p.contains("NNP")))
     kept = sentences.where(passes_nnp_filter(n_nnp, F.size("tokens"), alpha))
     return random(kept, size, seed)
 

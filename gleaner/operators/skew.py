@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1 << 20
@@ -13,9 +13,6 @@ CHUNK_ROWS = 1 << 20
 MAX_BROADCAST_ROWS = 100_000
 """Most rows that are broadcast, where the size is counted or given."""
 
-_COARSE = 32
-_FINE = 32
-
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage, as the cluster names it.
@@ -49,97 +46,32 @@ def at_most(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
-def positions(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    hint: Column,
-    out: str = "tid",
-    chunk_rows: int = CHUNK_ROWS,
-) -> DataFrame:
-    """Number the rows of each key 0, 1, 2... by ``order``.
-
-    ``hint`` is a number that never falls along ``order``. Keys of up to
-    ``chunk_rows`` rows are numbered by one window. A larger key is cut at
-    quantiles of the hint into about a thousand ranges; every range is numbered
-    on its own and then shifted by the rows in the ranges before it, so no task
-    sorts a whole hot key.
+def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "tid", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Number the rows of each key 0, 1, 2... by ``order``, of any types.
+
+    Keys of up to ``chunk_rows`` rows are numbered by one window. The rows of
+    larger keys are dealt to ranges of key and order, numbered within each range
+    and shifted by the rows of the key in the ranges before it, so that no task
+    sorts a whole hot key, whatever its values and ties.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.where(F.col("_n") > chunk_rows).select(*keys)
-    n_hot = hot.limit(MAX_BROADCAST_ROWS + 1).count()
-    if n_hot == 0:
-        w = Window.partitionBy(*keys).orderBy(*order)
+    hot = sizes.where(F.col("_n") > chunk_rows)
+    known = hot.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    w = Window.partitionBy(*keys).orderBy(*order)
+    if not known[0]:
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
 
-    hinted = df.withColumn("_hint", hint)
-    fractions = [i / (_COARSE * _FINE) for i in range(1, _COARSE * _FINE)]
-    bounds = (
-        hinted.join(at_most(hot, n_hot), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx("_hint", fractions, 8 * _COARSE * _FINE).alias("_bounds"))
-    )
-    # Bounds are about 8 kB per hot key, hence the stricter limit here.
-    ranged = hinted.join(at_most(bounds, n_hot * 100), keys, "left").withColumn("_range", _range_of())
-    ranged = ranged.drop("_bounds", "_hint")
-
-    w = Window.partitionBy(*keys, "_range").orderBy(*order)
-    numbered = ranged.withColumn("_rn", F.row_number().over(w) - 1)
+    marked = at_most(hot.select(*keys), known[0])
+    cold = df.join(marked, keys, "left_anti").withColumn(out, (F.row_number().over(w) - 1).cast("long"))
+    ranges = max(2, 2 * -(-known[1] // chunk_rows))
+    # Ties on everything are equal rows; a hash of the row number deals them out without changing the order.
+    dealt = df.join(marked, keys, "left_semi").withColumn("_deal", F.monotonically_increasing_id())
+    ranged = cut_lineage(dealt.repartitionByRange(ranges, *keys, *order, "_deal").withColumn("_range", F.spark_partition_id()))
+    numbered = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order, "_deal")) - 1)
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        ranged.where(F.col("_range") >= 0)
-        .groupBy(*keys, "_range")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    return (
-        numbered.join(shifts, [*keys, "_range"], "left")
-        .withColumn(out, (F.col("_rn") + F.coalesce("_shift", F.lit(0))).cast("long"))
-        .drop("_rn", "_shift", "_range")
-    )
-
-
-def _range_of() -> Column:
-    """Number of bounds at or below the hint; -1 for keys without bounds.
-
-    Bounds are searched in two steps of 32, coarse and then fine.
-    """
-    n = _COARSE * _FINE - 1
-    at_or_below = lambda b: b <= F.col("_hint")
-    steps = F.transform(F.sequence(F.lit(1), F.lit(_COARSE - 1)),
-                        lambda i: F.element_at("_bounds", (i * _FINE).cast("int")))
-    coarse = F.size(F.filter(steps, at_or_below)) * _FINE
-    fine = F.size(F.filter(F.slice("_bounds", coarse + 1, F.least(F.lit(_FINE), F.lit(n) - coarse)), at_or_below))
-    return F.when(F.col("_bounds").isNull(), F.lit(-1)).otherwise((coarse + fine).cast("int"))
-
-
-def lookup(
-    facts: DataFrame,
-    dimension: DataFrame,
-    key: str,
-    spread: list[str],
-    hot: DataFrame,
-    outer: bool = False,
-) -> DataFrame:
-    """Join ``facts`` to one row per ``key``, with the hot keys apart.
-
-    ``hot`` holds the dimension rows of keys so frequent that all their facts
-    should not meet in one task. There are at most (facts / threshold) of them,
-    so they are broadcast; the facts they match get a filler key that spreads
-    over the cluster, and everything else is an ordinary shuffle join. Facts
-    are read and shuffled once. Facts without a match are dropped, or kept with
-    NULL when ``outer`` is set.
-    """
-    values = [c for c in dimension.columns if c != key]
-    hot_side = hot.select(key, *[F.col(v).alias(f"_hot_{v}") for v in values], F.lit(True).alias("_is_hot"))
-    marked = facts.join(F.broadcast(hot_side), key, "left")
-    filler = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*spread), F.lit(4096)).cast("string"))
-    marked = marked.withColumn("_key", F.when(F.col("_is_hot"), filler).otherwise(F.col(key)))
-    cold_side = dimension.select(F.col(key).alias("_key"), *[F.col(v).alias(f"_cold_{v}") for v in values])
-    joined = marked.join(cold_side, "_key", "left")
-    result = joined.select(
-        *facts.columns,
-        *[F.coalesce(f"_hot_{v}", f"_cold_{v}").alias(v) for v in values],
+        ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     )
-    return result if outer else result.where(F.col(values[0]).isNotNull())
+    shifted = numbered.join(shifts, [*keys, "_range"]).withColumn(out, (F.col("_rn") + F.col("_shift")).cast("long"))
+    return cold.unionByName(shifted.select(*cold.columns))

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import english_stop_words, terms
-from gleaner.operators.skew import lookup
-
-HOT_TERM_ROWS = 1_000_000
-"""A term in more rows than this is joined by broadcast."""
-
 
 @dataclass(frozen=True)
 class Vectorizer:
@@ -25,7 +20,6 @@ class Vectorizer:
     ngrams: tuple[int, int] = (1, 2)
     stop_words: list[str] | str | None = None
     norm: str | None = None
-    hot_term_rows: int = field(default=HOT_TERM_ROWS)
 
     def words(self) -> list[str] | None:
         return english_stop_words() if self.stop_words == "english" else self.stop_words
@@ -50,8 +44,8 @@ def tfidf(texts: DataFrame, how: Vectorizer = Vectorizer(), with_df: bool = Fals
     # Reading tf here keeps this plan over `counts` equal to the one below, so
     # that Spark splits and shuffles the texts once for both.
     dfs = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    hot = dfs.where(F.col("df") > how.hot_term_rows)
-    weighted = lookup(counts, dfs, "term", ["sid", "term"], hot).select(
+    # The rows of a frequent term are split by Spark when they are joined (AQE, skewed sort-merge joins).
+    weighted = counts.join(dfs, "term").select(
         "sid", "term",
         (F.col("tf") * (F.log(F.lit(1.0 + n) / (F.col("df") + 1)) + 1)).alias("w"),
         *(["df"] if with_df else []),

@@ -7,71 +7,56 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 1_000_000
-"""Up to this k Spark's own sort and limit gathers the k rows in one task."""
+from gleaner.operators.skew import cut_lineage
+
+DIRECT_ROWS = 2_000_000
+"""Most rows that Spark's own sort and limit may gather in one task, counted over all partitions."""
 
 
 @dataclass(frozen=True)
 class By:
-    """One numeric sort column."""
+    """One sort column. NULL and NaN come last in either direction."""
 
     column: str
     descending: bool = False
 
-    def key(self) -> Column:
-        """Sort key in ascending form."""
-        return -F.col(self.column) if self.descending else F.col(self.column)
-
-    def order(self) -> Column:
-        return F.col(self.column).desc() if self.descending else F.col(self.column).asc()
+    def order(self, kind: str) -> Column:
+        value = F.col(self.column)
+        if kind in ("double", "float"):
+            value = F.when(~F.isnan(value), value)
+        return value.desc_nulls_last() if self.descending else value.asc_nulls_last()
 
 
 def first_k(df: DataFrame, order: list[By], k: int, direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """The ``k`` first rows by ``order``, fewer when the table is smaller.
 
-    A budget in the millions (one per cent of a huge corpus) must not pass
-    through one task. Beyond ``direct_rows`` the sort value at the cut is found
-    by quantile sketches, each checked by an exact count, and the answer is a
-    plain filter plus whatever the cut value's ties or the last narrow bracket
-    still owe. Ties are split by the next sort column in the same way.
+    Sort and limit keeps k rows of each partition and gathers them in one task.
+    Where that could be more than ``direct_rows``, the rows are dealt to ranges
+    of the order and counted; the ranges before the cut are in, and the search
+    goes on within the range that the cut falls into. Both ways give the same
+    rows for any types, NULLs and ties; rows that are equal in all sort columns
+    are interchangeable.
     """
     if k <= 0:
         return df.limit(0)
-    text = dict(df.dtypes)[order[0].column] == "string"
-    if k <= direct_rows or text:
-        # Text ids only ever split rows that tie on the numbers before them.
-        return df.orderBy(*[b.order() for b in order]).limit(k)
-
-    key = order[0].key()
-    n_inside = df.count()
-    if n_inside <= k:
-        return df
-    low = high = None  # rows at or below `low` are in, rows at or above `high` are out
-    n_low = 0
-    while True:
-        inside = df if low is None else df.where(key > low)
-        if high is not None:
-            inside = inside.where(key < high)
-        rest = k - n_low
-        if n_inside <= direct_rows:
-            tail = inside.orderBy(*[b.order() for b in order]).limit(rest)
-            return tail if low is None else df.where(key <= low).unionByName(tail)
-        pivot = inside.agg(F.percentile_approx(key, rest / n_inside, 100_000)).first()[0]
-        n_below, n_upto = df.agg(F.count_if(key < pivot), F.count_if(key <= pivot)).first()
-        if n_below <= k <= n_upto:
-            ties = df.where(key == pivot)
-            owed = k - n_below
-            tail = first_k(ties, order[1:], owed, direct_rows) if len(order) > 1 else ties.limit(owed)
-            return df.where(key < pivot).unionByName(tail)
-        if n_upto < k:
-            n_inside -= n_upto - n_low
-            low, n_low = pivot, n_upto
-        else:
-            n_inside = n_below - n_low
-            high = pivot
-
-
-def share_of(df: DataFrame, ratio: float) -> int:
-    """``int(rows * ratio)``, at least 1 for a table with rows."""
-    n = df.count()
-    return min(n, max(1, int(n * ratio))) if n else 0
+    spark = df.sparkSession
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    kinds = dict(df.dtypes)
+    keys = [b.order(kinds[b.column]) for b in order]
+    if k * partitions <= direct_rows:
+        return df.orderBy(*keys).limit(k)
+    ranged = cut_lineage(df.repartitionByRange(partitions, *keys).withColumn("_range", F.spark_partition_id()))
+    sizes = sorted(map(tuple, ranged.groupBy("_range").count().collect()))  # a row for each partition
+    done = 0
+    for at, n in sizes:
+        if done + n > k:
+            break
+        done += n
+    else:
+        return ranged.drop("_range")
+    inside, cut = ranged.where(F.col("_range") < at).drop("_range"), ranged.where(F.col("_range") == at).drop("_range")
+    if done == k:
+        return inside
+    if done == 0 and len(sizes) == 1:  # no range can be split: equal rows, or too few of them to matter
+        return cut.orderBy(*keys).limit(k)
+    return inside.unionByName(first_k(cut, order, k - done, direct_rows))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gleaner import UNKNOWN
 from gleaner.functions.arrays import after, before, computed
+from gleaner.functions.tags import required_pos
 
 MASK_ALL = "mask_all_unknown"
 DROP_ALL = "drop_all_unknown"
@@ -35,7 +36,7 @@ def with_candidates(rows: DataFrame) -> DataFrame:
     if "pos_tags_text" not in rows.columns:
         raise ValueError("this training style needs part-of-speech tags (column pos_tags_text)")
     letter = lambda p: F.when(p == "NNP", "N").when(p == "IN", "I").otherwise("O")
-    letters = F.array_join(F.transform("pos_tags_text", letter), "")
+    letters = F.array_join(F.transform(required_pos(), letter), "")
     marked = F.regexp_replace(letters, "(N+)I(N+)", "$1X$2")
     chars = F.when(marked == "", F.array().cast("array<string>")).otherwise(F.split(marked, ""))
     rows = computed(rows, inside=F.transform(chars, lambda c: c.isin("N", "X")))
@@ -124,29 +125,31 @@ def dynamic_window(rows: DataFrame) -> DataFrame:
     kind = F.when(single, "keep").when(closed, "close").otherwise("split")
     found = found.withColumn("_kind", kind)
 
-    # One candidate per output row; the sentences that stay whole get a dummy.
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(True).alias("full")))
-    split = F.col("_kind") == "split"
-    each = found.select("*", F.posexplode(F.when(split, F.col("cands")).otherwise(whole)).alias("_no", "_c"))
-    open_spans = lambda part: F.filter(part, lambda c: ~c["full"])
-    left = F.array_max(F.transform(open_spans(F.slice("cands", 1, F.col("_no"))), lambda c: c["end"]))
-    right = F.array_min(F.transform(
-        open_spans(F.slice("cands", F.col("_no") + 2, F.size("cands"))), lambda c: c["start"]))
-    windows = computed(each, _w=F.struct(
-        F.col("_no").alias("no"),
-        F.when(split, F.coalesce(left, F.lit(0))).otherwise(0).alias("left"),
-        F.when(split, F.coalesce(right, F.size("al_tags"))).otherwise(F.size("al_tags")).alias("right"),
-        F.col("_c.start").alias("start"),
-        F.col("_c.end").alias("end"),
-    ))
-    cut = lambda c: F.slice(c, F.col("_w.left") + 1, F.col("_w.right") - F.col("_w.left"))
-    tags = F.transform(cut("al_tags"), lambda t, i: F.when(
-        (t == UNKNOWN)
-        & ((F.col("_kind") == "close")
-           | ((F.col("_kind") == "split")
-              & ((i + F.col("_w.left") < F.col("_w.start")) | (i + F.col("_w.left") >= F.col("_w.end"))))),
-        0).otherwise(t))
-    return windows.select(*_row(cut("tokens"), tags, F.col("_w.no")))
+    # Windows are numbers until the end: a candidate's window ends where the
+    # nearest candidate with a gap before or after it ends or starts.
+    cells = F.size("al_tags")
+    edge = lambda c, side: F.when(~c["full"], c[side])
+    none = F.array().cast("array<int>")
+    running = lambda cands, side, start: F.aggregate(
+        cands, F.struct(none.alias("seen"), start.alias("last")),
+        lambda acc, c: F.struct(F.array_append(acc["seen"], acc["last"]).alias("seen"), F.coalesce(edge(c, side), acc["last"]).alias("last")),
+        lambda acc: acc["seen"])
+    found = computed(found, _left=running(F.col("cands"), "end", F.lit(0)),
+                     _right=F.reverse(running(F.reverse("cands"), "start", cells)))
+    split = F.transform(F.arrays_zip(F.col("cands").alias("c"), F.col("_left").alias("l"), F.col("_right").alias("r")), lambda z: F.struct(
+        z["l"].alias("left"), z["r"].alias("right"), z["c"]["start"].alias("start"), z["c"]["end"].alias("end")))
+    whole = F.array(F.struct(F.lit(0).alias("left"), cells.alias("right"), F.lit(0).alias("start"), F.lit(0).alias("end")))
+    windows = found.select("sid", "tokens", "al_tags", "_kind", F.when(F.col("_kind") == "split", split).otherwise(whole).alias("_w"))
+
+    def row(w: Column) -> Column:
+        cut = lambda c: F.slice(c, w["left"] + 1, w["right"] - w["left"])
+        inside = lambda i: (i + w["left"] >= w["start"]) & (i + w["left"] < w["end"])
+        closed = lambda i: (F.col("_kind") == "close") | ((F.col("_kind") == "split") & ~inside(i))
+        tags = F.transform(cut(F.col("al_tags")), lambda t, i: F.when((t == UNKNOWN) & closed(i), 0).otherwise(t))
+        return F.struct(cut(F.col("tokens")).alias("tokens"), tags.alias("ner_tags"))
+
+    rows_of = windows.select("sid", F.posexplode(F.transform("_w", row)).alias("window_no", "r"))
+    return rows_of.select(*_row("r.tokens", "r.ner_tags", F.col("window_no")))
 
 
 _BY_STYLE = {

@@ -23,7 +23,7 @@ TEXT_TAGS = bio_tags(["PER", "ORG", "LOC"])
 POS_NAMES = ["NN", "NNP", "IN"]
 PREPOSITIONS = ["of", "in", "by", "with", "de"]
 STOP_WORDS = ["the", "and", "of", "in", "to", "is", "on", "that", "it", "an", "for", "with"]
-LINES_PER_DOCUMENT = 1 << 20
+LINES_PER_DOCUMENT = 1 << 32
 
 # Event types as two-part entity names, next one in the list as the wrong guess.
 EVENT_NAMES = {
@@ -65,8 +65,7 @@ def line_tokens(spark: SparkSession, sf_dir: str, *extra: Column) -> DataFrame:
         F.coalesce(F.concat(prefix, kind), F.lit("O")).alias("tag"),
         *extra,
     )
-    hint = F.col("l_linenumber").cast("long") * (1 << 40) + F.col("l_partkey")
-    return positions(rows, ["sid"], order, hint).drop(*order)
+    return positions(rows, ["sid"], order).drop(*order)
 
 
 def _line_logits() -> Column:
@@ -180,7 +179,7 @@ def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = name({k: EVENT_NAMES[following[k]] for k in kinds})
     rows = rows.withColumn("gold", gold).withColumn(
         "pred", F.when(uniform(15, "event_id") < 0.2, wrong).otherwise(gold))
-    placed = positions(rows, ["sid"], ["ts", "event_id"], F.col("ts").cast("double"))
+    placed = positions(rows, ["sid"], ["ts", "event_id"])
     return placed.select("sid", "tid", "gold", "pred")
 
 
@@ -188,8 +187,8 @@ def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(id, scores)``: softmax of ten scaled embedding columns."""
-    logits = F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double") * 10)
+    """``(id, scores)``: softmax of the scaled embedding."""
+    logits = F.transform("embedding", lambda v: v.cast("double") * 10)
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), S.softmax(logits).alias("scores"))
 

@@ -7,6 +7,7 @@ grows with the number of rounds and a lost executor costs one round at most.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
@@ -20,11 +21,11 @@ from pyspark.sql import functions as F
 from gleaner import UNKNOWN
 from gleaner.functions import scores as S
 from gleaner.functions.arrays import after, before
-from gleaner.functions.tags import decode, encode
+from gleaner.functions.tags import decode, encode, required_pos
 from gleaner.operators import annotate, greedy, initial, metrics, query, training, vectors
 from gleaner.operators.skew import cut_lineage
 from gleaner.operators.tfidf import Vectorizer
-from gleaner.sources.corpus import Corpus, to_tokens
+from gleaner.sources.corpus import Corpus, dense_ids, to_tokens
 from gleaner.sources.views import text_view
 
 Predict = Callable[[DataFrame], DataFrame]
@@ -122,11 +123,13 @@ def choose_initial(
     train: DataFrame, tags: list[str], config: RunConfig, ids: DataFrame | None = None, lm_scores: DataFrame | None = None
 ) -> DataFrame:
     """The initial ids ``(sid)`` by the configured strategy."""
+    if config.proper_nouns_only:
+        train = proper_nouns(train)
     n = train.count()
     size = min(n, int(n * config.starting_ratio))
     name = config.initial
     tokens = to_tokens(train, tags)
-    view = text_view(train, tags, config.proper_nouns_only).select("sid", "text")
+    view = text_view(train, tags).select("sid", "text")
     how = Vectorizer(config.ngrams, config.stop_words)
     choices: dict[str, Callable[[], DataFrame]] = {
         "random": lambda: initial.random(train, size, config.seed),
@@ -148,6 +151,22 @@ def choose_initial(
     return choices[name]().select("sid")
 
 
+def proper_nouns(sentences: DataFrame) -> DataFrame:
+    """Sentences cut to the tokens whose part of speech contains ``NNP``, in text, tags and parts of speech alike."""
+    if "pos_tags_text" not in sentences.columns:
+        raise ValueError("choosing proper nouns needs part-of-speech tags (column pos_tags_text)")
+    zipped = F.arrays_zip(F.col("tokens").alias("w"), F.col("ner_tags").alias("t"), required_pos().alias("p"))
+    kept = sentences.withColumn("_z", F.filter(zipped, lambda z: z["p"].contains("NNP")))
+    return kept.withColumns({"tokens": F.col("_z.w"), "ner_tags": F.col("_z.t"), "pos_tags_text": F.col("_z.p")}).drop("_z")
+
+
+def with_ids(sentences: DataFrame) -> DataFrame:
+    """Sentences with ``sid``, numbered within each split by the ids that their corpus has, unless they have one."""
+    if "sid" in sentences.columns:
+        return sentences
+    return dense_ids(sentences, [c for c in ("id", "document_id", "position") if c in sentences.columns])
+
+
 def evaluate(pred: DataFrame, gold_tokens: DataFrame, tags: list[str], metric: str) -> DataFrame:
     """Span scores of predictions against gold tokens ``(sid, tid, tag)``."""
     guessed = pred.select("sid", "tid", decode(S.argmax("scores"), tags).alias("pred"))
@@ -171,12 +190,15 @@ def run(
 ) -> tuple[DataFrame, DataFrame]:
     """Run all rounds; returns ``(results, labelled)``.
 
-    ``corpus.sentences`` needs a ``sid`` that is unique within each split.
+    A ``sid`` of ``corpus.sentences`` must be unique within each split; without
+    one, sentences are numbered by their corpus ids. Draws of later rounds use
+    seeds of their own.
     ``results`` has one row per round (``RESULT_SCHEMA``) and is ready to be
     appended to a log.
     """
     tags = corpus.tags
-    split = {s: corpus.sentences.where(F.col("split") == s) for s in ("train", "val_train", "validation", "test")}
+    sentences = cut_lineage(with_ids(corpus.sentences))
+    split = {s: sentences.where(F.col("split") == s) for s in ("train", "val_train", "validation", "test")}
     train = split["train"]
     gold = to_tokens(train, tags)
     chosen = train.select("sid") if config.full else choose_initial(train, tags, config, ids, lm_scores)
@@ -199,10 +221,11 @@ def run(
             round_no, config.dataset, config.level, config.strategy, config.style, config.initial, config.seed,
             config.starting_ratio, config.examples(round_no), config.rounds, stats["n_annotated"], stats["n_non_o"],
             stats["n_sentences"], stats["n_tokens"], stats["percentage"], made["n_rows"], made["n_unmasked"],
-            spread, scores, str(asdict(config)),
+            spread, scores, json.dumps(asdict(config), sort_keys=True),
         ))
         if not config.full and round_no + 1 < config.rounds:
             out = query.query(
-                config.level, config.strategy, predict(train), gold, labelled, config.examples(round_no), config.seed)
+                config.level, config.strategy, predict(train), gold, labelled, config.examples(round_no),
+                config.seed + 1_000_003 * round_no)
             labelled = cut_lineage(out.labelled)
     return spark.createDataFrame(records, RESULT_SCHEMA), labelled

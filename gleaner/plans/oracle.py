@@ -58,7 +58,7 @@ MEASURED = [TOK, PRED, SORTED, MEASURES]
 WORDS = f"""
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
     generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
-split_lines AS (SELECT doc_id * 1048576 + line_no AS sid, doc_id, line_no, regexp_extract_all(line, '[^ \\t\\r\\n]+') AS ws FROM lines),
+split_lines AS (SELECT doc_id * 4294967296 + line_no AS sid, doc_id, line_no, regexp_extract_all(line, '[^ \\t\\r\\n]+') AS ws FROM lines),
 listed AS (SELECT sid, doc_id, line_no, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS tid FROM split_lines),
 tagged AS (SELECT *, CASE WHEN lower(substr(word, 1, 1)) <> substr(word, 1, 1) THEN 'NNP'
     WHEN word IN {PREPOSITIONS} THEN 'IN' ELSE 'NN' END AS pos FROM listed),
@@ -145,9 +145,9 @@ IO_COUNTS = """SELECT (SELECT count(*) FROM predrun) AS n_pred, (SELECT count(*)
   (SELECT count(*) FROM goldrun JOIN predrun USING (sid, s, e, tag)) AS n_correct"""
 
 CLASS = f"""class AS (SELECT vec_id AS id, {_softmax('x')} AS scores FROM
-  (SELECT vec_id, list_transform(embedding[1:10], lambda v: v::DOUBLE * 10) AS x FROM embeddings)),
+  (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE * 10) AS x FROM embeddings)),
 csort AS (SELECT id, scores, list_reverse_sort(scores) AS s FROM class),
-cm AS (SELECT id, {ENTROPY} AS entropy, s[1] - s[2] AS margin, s[1] AS confidence, s[10] AS lowest FROM csort)"""
+cm AS (SELECT id, {ENTROPY} AS entropy, s[1] - s[2] AS margin, s[1] AS confidence, list_min(scores) AS lowest FROM csort)"""
 
 SPLIT = "CASE WHEN {0} % 10 < 8 THEN 'train' WHEN {0} % 10 = 8 THEN 'validation' ELSE 'test' END"
 
@@ -344,12 +344,13 @@ def oracle_sql() -> dict[str, str]:
   UNION ALL SELECT sid, 'val_train', tokens, pos_tags_text, ner_tags FROM flat WHERE split = 'validation'"""
     q["flatten_documents"] = _with(WORDS) + """SELECT doc_id AS document_id, line_no AS position, string_agg(word, ' ' ORDER BY tid) AS tokens,
   string_agg(CASE pos WHEN 'NNP' THEN '1' WHEN 'IN' THEN '2' ELSE '0' END, ' ' ORDER BY tid) AS pos_tags,
-  string_agg(CAST(length(word) % 5 AS VARCHAR), ' ' ORDER BY tid) AS ner_tags FROM words GROUP BY doc_id, line_no"""
+  string_agg(CAST(length(word) % 5 AS VARCHAR), ' ' ORDER BY tid) AS ner_tags FROM words GROUP BY doc_id, line_no
+  UNION ALL SELECT doc_id, line_no, '', '', '' FROM split_lines WHERE len(ws) = 0"""
     held_docs = f"""held AS (SELECT doc_id AS id FROM documents ORDER BY {_u(1, 'doc_id')}, doc_id
   LIMIT (SELECT ceil(count(*) * 0.01::DOUBLE)::BIGINT FROM documents))"""
     q["nested_corpus"] = _with(WORDS, held_docs) + """SELECT doc_id AS document_id,
   CASE WHEN doc_id IN (SELECT id FROM held) THEN 'val_train' ELSE 'train' END AS split,
-  count(DISTINCT line_no) AS n_sentences, count(*) AS n_tokens FROM words GROUP BY doc_id"""
+  count(*) AS n_sentences, CAST(sum(len(ws)) AS BIGINT) AS n_tokens FROM split_lines GROUP BY doc_id"""
     io_names = "['O', 'PAGE-CLICK', 'PAGE-ERROR', 'SHOP-BUY', 'SHOP-JOIN', 'ART-FILM', 'ART-SONG']"
     held_sids = f"""sids AS (SELECT DISTINCT sid FROM words WHERE {split} = 'train'),
 held AS (SELECT sid FROM sids ORDER BY {_u(1, 'sid')}, sid LIMIT (SELECT ceil(count(*) * 0.01::DOUBLE)::BIGINT FROM sids))"""
@@ -364,12 +365,19 @@ held AS (SELECT sid FROM sids ORDER BY {_u(1, 'sid')}, sid LIMIT (SELECT ceil(co
   UNION ALL SELECT o_orderkey, 'val_train' FROM orders WHERE {osplit} = 'validation'"""
     q["dense_ids"] = f"""SELECT o_orderkey AS id, {osplit} AS split,
   row_number() OVER (PARTITION BY {osplit} ORDER BY o_orderkey) - 1 AS sid FROM orders"""
+    q["dense_ids_text"] = f"""SELECT 'o' || o_orderkey AS id, {osplit} AS split,
+  row_number() OVER (PARTITION BY {osplit} ORDER BY 'o' || o_orderkey) - 1 AS sid FROM orders"""
     q["token_table"] = _with(WORDS) + (
         f"SELECT sid, tid, word AS token, pos, tag_id::INTEGER AS tag_id, {_names(TEXT_TAGS)}[tag_id + 1] AS tag FROM words")
     view = "SELECT s.sid, {0} AS text, {1} AS ner_tags, {2} AS pos_tags FROM (SELECT DISTINCT sid FROM words) s LEFT JOIN (SELECT * FROM words{3}) w ON w.sid = s.sid GROUP BY s.sid"
     agg = lambda e: f"coalesce(string_agg({e}, ' ' ORDER BY tid), '')"
     for name, where in (("text_view", ""), ("text_view_nouns", " WHERE pos LIKE '%NNP%'")):
         q[name] = _with(WORDS) + view.format(agg("word"), agg(f"{_names(TEXT_TAGS)}[tag_id + 1]"), agg("pos"), where)
+    io_view = f"""iov AS (SELECT sid, string_agg(word, ' ' ORDER BY tid) AS text,
+    string_agg({io_names}[tag_id + 1], ' ' ORDER BY tid) AS ner_tags FROM words WHERE NOT sid IN (SELECT sid FROM held) GROUP BY sid)"""
+    q["text_view_io"] = _with(WORDS, held_sids, io_view) + "SELECT sid, text, ner_tags, '' AS pos_tags FROM iov"
+    q["init_longest_io"] = _with(WORDS, held_sids, io_view) + """SELECT sid, round(len(string_split(text, ' ')), 6) AS score FROM iov
+  ORDER BY len(string_split(text, ' ')) DESC, sid LIMIT 100"""
     q["align_labels"] = _with(WORDS) + """SELECT sid, '-100 ' || string_agg(tag_id || CASE WHEN length(word) > 6 THEN ' -100' ELSE '' END, ' ' ORDER BY tid)
   || ' -100' AS labels FROM words GROUP BY sid"""
 

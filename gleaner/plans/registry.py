@@ -269,7 +269,7 @@ def flat_corpus(spark, d):
 
 
 def flatten_documents(spark, d):
-    rows = corpus.flatten_documents(X.nested_documents(spark, d)).where(F.size("tokens") > 0)
+    rows = corpus.flatten_documents(X.nested_documents(spark, d))
     return rows.select(
         "document_id", F.col("position").cast("long").alias("position"),
         _joined("tokens"), _joined("pos_tags"), _joined("ner_tags"))
@@ -278,15 +278,16 @@ def flatten_documents(spark, d):
 def nested_corpus(spark, d):
     docs = X.nested_documents(spark, d)
     made = corpus.ontonotes(docs)
-    return made.sentences.where(F.size("tokens") > 0).groupBy("document_id", "split").agg(
+    return made.sentences.groupBy("document_id", "split").agg(
         F.count(F.lit(1)).alias("n_sentences"), F.sum(F.size("tokens")).alias("n_tokens"))
 
 
-def _io_corpus(fine: bool) -> Query:
-    names = ["o", "page-click", "page-error", "shop-buy", "shop-join", "art-film", "art-song"]
+IO_NAMES = ["o", "page-click", "page-error", "shop-buy", "shop-join", "art-film", "art-song"]
+
 
+def _io_corpus(fine: bool) -> Query:
     def run(spark, d):
-        made = corpus.fewnerd(_as_corpus_rows(spark, d), names, fine=fine)
+        made = corpus.fewnerd(_as_corpus_rows(spark, d), IO_NAMES, fine=fine)
         tags = F.transform("ner_tags", lambda t: decode(t, made.tags))
         return made.sentences.select("id", "split", _joined("tokens"), F.array_join(tags, " ").alias("tags"))
     return run
@@ -302,6 +303,24 @@ def full_split(spark, d):
     return corpus.split_train(orders, "id", full=True)
 
 
+def text_view_io(spark, d):
+    """A corpus without part-of-speech tags, by way of its reader."""
+    made = corpus.fewnerd(_as_corpus_rows(spark, d), IO_NAMES)
+    kept = made.sentences.where("split <> 'val_train'").withColumnRenamed("id", "sid")
+    return views.text_view(kept, made.tags)
+
+
+def init_longest_io(spark, d):
+    return initial.longest(text_view_io(spark, d), 100).select("sid", _six("score"))
+
+
+def dense_ids_text(spark, d):
+    """Ids that are text, numbered in ranges."""
+    orders = X.table(spark, d, "orders").select(
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), _split_of("o_orderkey").alias("split"))
+    return corpus.dense_ids(orders, ["id"], chunk_rows=1000)
+
+
 def dense_ids(spark, d):
     orders = X.table(spark, d, "orders").select(
         F.col("o_orderkey").alias("id"), _split_of("o_orderkey").alias("split"))
@@ -402,6 +421,7 @@ def queries() -> dict[str, Query]:
             tag_distribution, annotation_stats, flat_corpus, flatten_documents, nested_corpus, holdout_split,
             full_split, dense_ids, token_table, align_labels, cosine_distance, init_supervised, init_static,
             init_tfidf_nodup, init_cover, init_kmeans, init_kmeans_nearest, al_round, al_round_stats,
+            text_view_io, init_longest_io, dense_ids_text,
         )
     }
     for name, measure in {"entropy": S.entropy, "margin": S.margin, "confidence": S.confidence, "lowest": S.lowest}.items():

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import tags as G
@@ -71,17 +71,14 @@ def ontonotes(rows: DataFrame, full: bool = False) -> Corpus:
 
 
 def fewnerd(rows: DataFrame, names: list[str], fine: bool = False, full: bool = False) -> Corpus:
-    """Flat rows with IO tags, coarse or fine, and no part-of-speech tags.
+    """Flat rows with IO tags, coarse or fine; there are no columns for part-of-speech tags.
 
     ``names`` are the class names in the order of their ids; they are kept in
     upper case.
     """
     tags = F.col("fine_ner_tags" if fine else "ner_tags").alias("ner_tags")
     shaped = split_train(rows, "id", full).select(
-        "id", "tokens",
-        F.lit(None).cast("array<int>").alias("pos_tags"),
-        F.lit(None).cast("array<string>").alias("pos_tags_text"),
-        tags, "split")
+        "id", "tokens", tags, "split")
     return Corpus(shaped, [n.upper() for n in names])
 
 
@@ -137,15 +134,12 @@ def holdout(
     return drawn.withColumn("split", F.when(is_train & held, "val_train").otherwise(F.col("split"))).drop("_u")
 
 
-def dense_ids(
-    rows: DataFrame, order: list[str], hint: Column | None = None, out: str = "sid", chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
-    """Number the rows of each split 0, 1, 2... by ``order``.
+def dense_ids(rows: DataFrame, order: list[str], out: str = "sid", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Number the rows of each split 0, 1, 2... by ``order``, of any types.
 
-    A split is a hot key by nature; ``positions`` numbers it in ranges of
-    ``hint``, by default the first column of the order, which must be a number.
+    A split is a hot key by nature; ``positions`` numbers it in ranges.
     """
-    return positions(rows, ["split"], order, F.col(order[0]) if hint is None else hint, out, chunk_rows)
+    return positions(rows, ["split"], order, out, chunk_rows)
 
 
 def to_tokens(sentences: DataFrame, tags: list[str]) -> DataFrame:

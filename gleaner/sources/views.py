@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 from gleaner import UNKNOWN
 from gleaner.functions.arrays import before, computed
-from gleaner.functions.tags import decode
+from gleaner.functions.tags import decode, required_pos
 
 
 def text_view(sentences: DataFrame, tags: list[str], proper_nouns_only: bool = False) -> DataFrame:
     """``(sid, text, ner_tags, pos_tags)``, each joined by single spaces.
 
     With ``proper_nouns_only``, only tokens whose part of speech contains
-    ``NNP``. Without part-of-speech tags ``pos_tags`` is empty.
+    ``NNP``, which fails where those tags are missing. Otherwise ``pos_tags`` is
+    empty for a sentence without them.
     """
     has_pos = "pos_tags_text" in sentences.columns
     if proper_nouns_only and not has_pos:
         raise ValueError("choosing proper nouns needs part-of-speech tags (column pos_tags_text)")
-    pos = F.col("pos_tags_text") if has_pos else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+    pos = none if not has_pos else required_pos() if proper_nouns_only else F.coalesce("pos_tags_text", none)
     zipped = F.arrays_zip(F.col("tokens").alias("w"), F.col("ner_tags").alias("t"), pos.alias("p"))
     if proper_nouns_only:
         zipped = F.filter(zipped, lambda z: z["p"].contains("NNP"))

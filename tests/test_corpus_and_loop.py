@@ -1,9 +1,11 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner import UNKNOWN
 from gleaner.functions import tags as G
-from gleaner.operators import query, training
+from gleaner.operators import initial, query, training
 from gleaner.plans import loop
 from gleaner.sources import corpus, results, views
 
@@ -23,7 +25,7 @@ def flat_rows(spark, n=120):
 
 
 def test_vocabularies():
-    assert (len(G.CONLL_TAGS), len(G.CONLL_POS), len(G.CONLL_CHUNKS)) == (9, 47, 23)
+    assert (len(G.CONLL_TAGS), len(G.CONLL_POS)) == (9, 47)
     assert (len(G.ONTONOTES_TAGS), len(G.ONTONOTES_POS)) == (37, 49)
 
 
@@ -81,17 +83,43 @@ def test_align_labels(spark):
     assert views.align_labels(row).first()["labels"] == [u, 5, 6, 7, u, 8, u]
 
 
-def test_labels_table(spark):
-    rows = {r["tag"]: (r["tag_id"], r["prefix"], r["type"]) for r in G.labels_table(spark, ["O", "B-PER", "ART-FILM"]).collect()}
-    assert rows == {"O": (0, None, None), "B-PER": (1, "B", "PER"), "ART-FILM": (2, None, "ART-FILM")}
+def test_types_of_tags(spark):
+    names = ["O", "B-PER", "I-" + "X" * 12_000, "ART-FILM"]
+    rows = spark.createDataFrame([(n,) for n in names], "tag string").select(G.entity_type(F.col("tag")).alias("t"))
+    assert [r["t"] for r in rows.collect()] == [None, "PER", "X" * 12_000, "ART-FILM"]
+
+
+def test_corpus_without_part_of_speech(spark):
+    """Text comes through; whatever needs the tags fails instead of losing rows."""
+    made = corpus.fewnerd(flat_rows(spark), ["O", "B-A", "I-A", "X", "Y", "Z"])
+    s = made.sentences.withColumn("sid", F.col("id").cast("long"))
+    assert "pos_tags_text" not in s.columns
+    nulls = s.withColumn("pos_tags_text", F.lit(None).cast("array<string>"))
+    for rows in (s, nulls):
+        view = views.text_view(rows, made.tags).where("sid = 0").first()
+        assert view["text"] == "today Anna Smith went to Paris" and view["pos_tags"] == ""
+        assert initial.longest(views.text_view(rows, made.tags), 3).first()["score"] == 6
+        marked = rows.withColumn("al_tags", F.col("ner_tags"))
+        for style in (training.MASK_ENTITY, training.DROP_ENTITY, training.DYNAMIC_WINDOW):
+            with pytest.raises(Exception, match="part-of-speech"):
+                training.materialize(marked, style).collect()
+        for choose in (lambda: initial.nnp_filter(rows, 5, 0.5), lambda: initial.nnp_frequency(corpus.to_tokens(rows, made.tags), 5),
+                       lambda: views.text_view(rows, made.tags, proper_nouns_only=True)):
+            with pytest.raises(Exception, match="part-of-speech"):
+                choose().collect()
+
+
+def test_proper_nouns_for_every_strategy(spark):
+    s = corpus.conll2003(flat_rows(spark)).sentences.where("id = '0'")
+    row = loop.proper_nouns(s).first()
+    assert (row["tokens"], row["ner_tags"], row["pos_tags_text"]) == (["Anna", "Smith", "Paris"], [1, 2, 5], ["NNP"] * 3)
+    assert loop.with_ids(s).columns[-1] == "sid" and loop.with_ids(loop.with_ids(s)).first()["sid"] == 0
 
 
 @pytest.fixture(scope="module")
 def small_corpus(spark):
     made = corpus.conll2003(flat_rows(spark))
-    numbered = corpus.dense_ids(
-        made.sentences.withColumn("n", F.col("id").cast("long")), ["n"]).drop("n").cache()
-    return corpus.Corpus(numbered, made.tags, made.pos)
+    return corpus.Corpus(loop.with_ids(made.sentences).cache(), made.tags, made.pos)
 
 
 @pytest.mark.parametrize("level, strategy, style", [
@@ -105,7 +133,7 @@ def test_loop(spark, small_corpus, tmp_path, level, strategy, style):
     results.append(table, str(tmp_path / "log"))
     results.append(table, str(tmp_path / "log"))
     log = results.read(spark, str(tmp_path / "log"), loop.RESULT_SCHEMA)
-    assert log.count() == 4
+    assert log.count() == 4 and json.loads(log.first()["config"])["rounds"] == 2
     rows = sorted(table.collect(), key=lambda r: r["round"])
     annotated = [r["n_annotated"] for r in rows]
     assert annotated[0] == 3 * 6 and annotated == sorted(set(annotated))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators.skew import at_most, lookup, positions
+from gleaner.operators.skew import at_most, positions
 from gleaner.operators.topk import By, first_k
 from gleaner.sources.corpus import dense_ids, holdout
 
@@ -15,9 +15,8 @@ def test_positions_of_a_hot_key(spark):
     rows = [(7, rng.randint(1, 7), i) for i in range(6000)] + [(k, rng.randint(1, 7), k) for k in range(100, 3000)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "k long, a long, b long").repartition(5)
-    hint = F.col("a") * 1_000_000 + F.col("b")
     for limit in (500, 10**6):
-        out = positions(df, ["k"], ["a", "b"], hint, chunk_rows=limit).collect()
+        out = positions(df, ["k"], ["a", "b"], chunk_rows=limit).collect()
         seen = {}
         for r in sorted(out, key=lambda r: (r["k"], r["a"], r["b"])):
             assert r["tid"] == seen.get(r["k"], 0)
@@ -25,15 +24,18 @@ def test_positions_of_a_hot_key(spark):
         assert len(out) == len(rows)
 
 
-def test_positions_with_one_hint_value(spark):
-    df = spark.range(1000).select(F.lit(1).alias("k"), "id", F.lit(5).alias("h"))
-    out = positions(df, ["k"], ["id"], F.col("h"), chunk_rows=10).collect()
-    assert all(r["tid"] == r["id"] for r in out)
+def test_positions_by_text_and_ties(spark):
+    df = spark.range(1000).select(F.lit(1).alias("k"), F.concat(F.lit("d"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("id"))
+    out = positions(df, ["k"], ["id"], chunk_rows=10).collect()
+    assert all(r["tid"] == int(r["id"][1:]) for r in out)
+    ties = spark.range(1000).select(F.lit(1).alias("k"), F.lit(5).alias("same"))
+    ranged = positions(ties, ["k"], ["same"], chunk_rows=10)
+    assert sorted(r["tid"] for r in ranged.collect()) == list(range(1000))
 
 
 @pytest.mark.parametrize("k", [37, 500, 1999, 5000])
 @pytest.mark.parametrize("distinct", [3, 10**6])
-def test_first_k_by_cut(spark, k, distinct):
+def test_first_k_by_ranges(spark, k, distinct):
     rng = random.Random(k + distinct)
     rows = [(i, rng.randrange(distinct) / 7) for i in range(2000)]
     df = spark.createDataFrame(rows, "sid long, score double").cache()
@@ -43,15 +45,27 @@ def test_first_k_by_cut(spark, k, distinct):
         assert sorted(r["sid"] for r in found) == sorted(r[0] for r in expected)
 
 
-def test_lookup_with_hot_keys(spark):
-    rows = [(i, "hot" if i % 3 else f"t{i % 50}") for i in range(900)] + [(999, "absent")]
-    facts = spark.createDataFrame(rows, "sid long, term string")
-    dimension = facts.where("term <> 'absent'").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hot = dimension.where("df > 100")
-    inner = lookup(facts, dimension, "term", ["sid"], hot)
-    assert inner.count() == 900 and inner.where("term = 'hot' and df = 600").count() == 600
-    outer = lookup(facts, dimension, "term", ["sid"], hot, outer=True)
-    assert outer.count() == 901 and outer.where("df is null").count() == 1
+@pytest.mark.parametrize("k", [3, 12, 35, 40, 60])
+@pytest.mark.parametrize("down", [False, True])
+def test_first_k_with_nulls_and_text(spark, k, down):
+    """NULL and NaN come last, whichever way is taken and whatever the types."""
+    value = lambda i: None if i % 4 == 1 else float("nan") if i % 4 == 2 else float(i % 7)
+    rows = [(f"s{i:02d}", value(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "sid string, score double").repartition(3)
+    bad = lambda v: v is None or v != v
+    expected = sorted(rows, key=lambda r: (bad(r[1]), 0 if bad(r[1]) else -r[1] if down else r[1], r[0]))[:k]
+    for limit in (10**9, 5):
+        found = first_k(df, [By("score", down), By("sid")], k, direct_rows=limit).collect()
+        assert sorted(r["sid"] for r in found) == sorted(r[0] for r in expected)
+    by_text = first_k(df, [By("sid", down)], k, direct_rows=5).collect()
+    assert sorted(r["sid"] for r in by_text) == sorted(sorted((r[0] for r in rows), reverse=down)[:k])
+
+
+def test_large_k_is_not_gathered_in_one_task(spark):
+    df = spark.range(1000).select(F.col("id").alias("sid"), F.col("id").alias("score"))
+    small = first_k(df, [By("score"), By("sid")], 10)._jdf.queryExecution().executedPlan().toString()
+    large = first_k(df, [By("score"), By("sid")], 900, direct_rows=1000)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in small and large.count("limit=900") == 0
 
 
 def test_broadcast_only_within_the_bound(spark):

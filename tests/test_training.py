@@ -4,13 +4,9 @@ from gleaner import UNKNOWN
 from gleaner.operators import training
 
 U = UNKNOWN
-WORDS = [f"w{i}" for i in range(19)]
-POS = ["O"] * 19
-for i in (0, 3, 5, 6, 16, 18):
-    POS[i] = "NNP"
-for i in (4, 17):
-    POS[i] = "IN"
-KNOWN = [U, U, U, 1, 2, 2, 2] + [0] * 12
+# Candidates are 0 to 1, 2 to 5 and 6 to 7; only the first is fully annotated.
+POS = ["NNP", "O", "NNP", "IN", "NNP", "O", "NNP", "O", "O"]
+KNOWN = [2, U, U, 0, 1, U, U, U, 0]
 
 
 def tags_of(spark, style, pos=POS, known=KNOWN):
@@ -24,10 +20,10 @@ def tags_of(spark, style, pos=POS, known=KNOWN):
 
 @pytest.mark.parametrize("style, expected", [
     (training.MASK_ALL, [KNOWN]),
-    (training.DROP_ALL, [[1, 2, 2, 2] + [0] * 12]),
-    (training.MASK_ENTITY, [[U, 0, 0, 1, 2, 2, 2] + [0] * 12]),
-    (training.DROP_ENTITY, [[0, 0, 1, 2, 2, 2] + [0] * 12]),
-    (training.DYNAMIC_WINDOW, [[U, 0, 0, 1, 2, 2, 2] + [0] * 12] + [[0, 0, 1, 2, 2, 2] + [0] * 12] * 2),
+    (training.DROP_ALL, [[2, 0, 1, 0]]),
+    (training.MASK_ENTITY, [[2, 0, U, 0, 1, 0, U, 0, 0]]),
+    (training.DROP_ENTITY, [[2, 0, 0, 1, 0, 0, 0]]),
+    (training.DYNAMIC_WINDOW, [[2, 0], [2, 0, U, 0, 1, 0], [0, U, 0, 0]]),
 ])
 def test_golden_sentence(spark, style, expected):
     assert tags_of(spark, style) == expected
@@ -69,6 +65,13 @@ def test_part_of_speech_is_required(spark):
         training.materialize(rows, "other")
 
 
+def test_very_long_sentence(spark):
+    """Windows of 5,000 candidates; a row for each of them would once have held the whole sentence."""
+    pos = ["NNP", "O", "O", "O"] * 5_000
+    out = tags_of(spark, training.DYNAMIC_WINDOW, pos, [U, 0, 0, 0] * 5_000)
+    assert len(out) == 5_000 and out[1] == [0, 0, 0, U, 0, 0, 0] and out[0] == [U, 0, 0, 0] and out[-1] == [0, 0, 0, U, 0, 0, 0]
+
+
 def test_rejects(spark):
     rows = spark.createDataFrame(
         [(1, ["a", "b"], [U, U]), (2, ["a", "b"], [U, 0])], "sid long, tokens array<string>, al_tags array<int>")
