@@ -5,19 +5,18 @@ smallest hashes. Documents with the same set of shingles form a class, and only
 its smallest id goes on. Inverted lists of the retained values then say which
 classes share how many of them:
 
-* two linked sets share at least ``NEED`` of their sketches (5 standard
-  deviations below what a similarity of 0.75 gives at k = 96), so a class with
-  fewer values on any list with others has no partner;
+* two linked sets share a number of retained values that follows from the
+  similarity (``_need``), so a class with fewer values on any list with others
+  has no partner;
 * of the others, only the rarest values must be looked up: two sketches that
-  share ``NEED`` of ``k`` values also share one of their ``k - NEED + 1`` rarest.
+  share ``m`` of ``k`` values also share one of their ``k - m + 1`` rarest.
   Values of a passage that everybody quotes come last and mostly aren't used.
 
-Within a list all pairs are never formed. Each member is compared with one hub
-of its list; members that verify are in one component, and what remains to be
-compared is only what the components so far leave apart. Lists that still
-touch several components get another hub, and after ``ROUNDS`` hubs the members
-of different components are compared directly, so no link is lost. A candidate
-is first judged on the sketch of the union, then on the full sets.
+Within a list all pairs are never formed. Each member is compared with a hub of
+its list; members that verify are in one component, and what remains to be
+compared is only what the components so far leave apart (``parts_by_hubs``), so
+no link is lost. A candidate is first judged on the sketch of the union, then on
+the full sets.
 """
 
 from __future__ import annotations
@@ -26,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.components import components
+from gleaner.llm.components import jaccard_links, parts_by_hubs
 from gleaner.llm.store import stored
 from gleaner.llm.words import list_array, ngrams, shingle_set, text_blocks, words_of
 from gleaner.operators.skew import at_most
@@ -38,9 +37,8 @@ K = 96
 SHINGLE = 5
 SIMILAR = 75
 """Least similarity in per cent."""
-NEED = 0.55
-"""Share of a sketch that two linked documents have in common at least."""
-ROUNDS = 3
+SPREADS = 5
+"""Standard deviations by which an estimate from sketches may miss what it must reach."""
 
 
 def near_duplicates(docs: DataFrame, k: int = K, shingle: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
@@ -62,7 +60,7 @@ def near_duplicates(docs: DataFrame, k: int = K, shingle: int = SHINGLE, similar
                      .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     reps = stored(rows.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "key_a", "key_b"], "left_semi")
                   .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"))
-    keys = stored(_lookup_keys(reps, k))
+    keys = stored(_lookup_keys(reps, k, similar))
     found = _components(keys, reps, docs, k, shingle, similar)
 
     known = (classes.join(found, F.col("rep") == F.col("node"), "left")
@@ -103,17 +101,26 @@ def _sets(shingle: int):
     return run
 
 
-def _need(n, k: int):
-    return F.ceil(F.least(n, F.lit(k)) * NEED).cast("int")
+def _need(n: Column, k: int, similar: int) -> Column:
+    """Values that the sketch of a set of ``n`` shares with that of any linked set, but for one case in millions.
+
+    Of the ``k`` least values of the union, a share of ``similar`` lies in both
+    sets, with the spread of a draw without replacement from a union of at most
+    ``n / similar``; ``SPREADS`` times that is taken off. Sets that fit their
+    sketch have no spread.
+    """
+    share = similar / 100
+    spread = F.sqrt(share * (1 - share) * k * F.greatest(F.lit(0.0), 1 - share * k / n))
+    return F.greatest(F.lit(1), F.ceil(share * F.least(n, F.lit(k)) - SPREADS * spread - 1e-9)).cast("int")
 
 
-def _lookup_keys(reps: DataFrame, k: int) -> DataFrame:
+def _lookup_keys(reps: DataFrame, k: int, similar: int) -> DataFrame:
     """``(v, id, n)``: the rarest shared values by which a class must be looked up."""
     posts = reps.select("id", "n", F.explode("sketch").alias("v"))
     lists = posts.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = (posts.join(lists, "v").groupBy("id", "n").agg(F.collect_list(F.struct("c", "v")).alias("m"))  # at most k values
-              .where(F.size("m") >= _need(F.col("n"), k)))
-    rarest = F.slice(F.sort_array("m"), 1, F.size("m") - _need(F.col("n"), k) + 1)
+              .where(F.size("m") >= _need(F.col("n"), k, similar)))
+    rarest = F.slice(F.sort_array("m"), 1, F.size("m") - _need(F.col("n"), k, similar) + 1)
     return shared.select("id", "n", F.explode(rarest).alias("e")).select("e.v", "id", "n")
 
 
@@ -124,47 +131,16 @@ def _components(keys: DataFrame, reps: DataFrame, docs: DataFrame, k: int, shing
     sets = stored(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
                   .join(wanted, "id").select("id", "text")
                   .mapInArrow(_sets(shingle), "id long, full array<long>"))
-    sketches = reps.join(wanted, "id").select("id", "sketch")
-
-    found = docs.sparkSession.createDataFrame([], "node long, component long")
-    left = keys.withColumn("part", F.col("id"))
-    for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
-            draw = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
-            first = F.min(F.struct(draw.alias("draw"), F.col("id").alias("hub"), F.col("part").alias("hub_part")))
-            hubs = left.groupBy("v").agg(first.alias("h")).select("v", "h.hub", "h.hub_part")
-            pairs = left.join(hubs, "v").where("part <> hub_part").select(
-                F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        else:
-            one = left.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-            two = left.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-            alike = f"least(na, nb) * 100 >= {similar} * greatest(na, nb)"
-            pairs = one.join(two, "v").where(f"a < b and pa <> pb and {alike}").select("a", "b")
-        fresh = stored(_verified(pairs.distinct(), sketches, sets, k, similar))
-        if fresh.isEmpty():
-            continue
-        found = components(fresh.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        if turn == ROUNDS:
-            break
-        tagged = (left.drop("part").join(found, F.col("id") == F.col("node"), "left")
-                  .select("v", "id", "n", F.coalesce("component", "id").alias("part")))
-        split = tagged.groupBy("v").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("v")
-        left = stored(tagged.join(split, "v"))
-        if left.isEmpty():
-            break
-    return found
+    sketches = reps.join(wanted, "id").select("id", "n", "sketch")
+
+    return parts_by_hubs(keys, lambda pairs: _verified(pairs, sketches, sets, k, similar), sets, similar)
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, similar: int) -> DataFrame:
     """The pairs that pass on the sketch of the union and then on the full sets."""
-    side = lambda c, value, name: sketches.select(F.col("id").alias(c), F.col(value).alias(name))
-    both = pairs.join(side("a", "sketch", "sa"), "a").join(side("b", "sketch", "sb"), "b")
+    side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
     common = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    likely = stored(both.where(common >= F.size(union) * NEED).select("a", "b"))
-
-    full = lambda c, name: sets.select(F.col("id").alias(c), F.col("full").alias(name))
-    whole = likely.join(full("a", "fa"), "a").join(full("b", "fb"), "b")
-    shared = F.size(F.array_intersect("fa", "fb"))
-    judged = whole.select("a", "b", shared.alias("i"), (F.size("fa") + F.size("fb") - shared).alias("u"))
-    return judged.where(f"100 * i >= {similar} * u").select("a", "b").distinct()
+    likely = stored(both.where(common >= F.greatest(_need(F.col("na"), k, similar), _need(F.col("nb"), k, similar))).select("a", "b"))
+    return jaccard_links(likely, sets, similar)
