@@ -16,10 +16,13 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
-_PIECE_BYTES = 1 << 18
+_PIECE_BYTES = 1 << 16
 
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
+SEPARATORS = np.ones(256, bool)
+"""For words without punctuation: whatever is neither a letter or digit of ASCII nor part of another character."""
+SEPARATORS[48:58] = SEPARATORS[65:91] = SEPARATORS[97:123] = SEPARATORS[128:] = False
 _SAME = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LOWER = _SAME.copy()
 _LOWER[65:91] += np.uint64(32)
@@ -91,13 +94,14 @@ def text_blocks(column: pa.Array) -> Iterator[Texts]:
         row = last
 
 
-def words_of(texts: Texts, lower: bool = False) -> Words:
+def words_of(texts: Texts, lower: bool = False, breaks: np.ndarray = SPACES) -> Words:
+    """Words between bytes that ``breaks`` marks; ``lower`` takes A-Z for a-z."""
     data, bounds = texts.data, texts.bounds
     n = len(data)
     if not n:
         nothing = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), nothing, nothing, np.zeros(len(bounds), np.int64))
-    solid = ~SPACES[data]
+    solid = ~breaks[data]
     begins, stops = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     stops[:-1] &= ~solid[1:]
