@@ -14,14 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.hashing import uniform
-from gleaner.operators.skew import at_most, cut_lineage
+from gleaner.operators.skew import at_most, cut_lineage, positions
 from gleaner.operators.tfidf import Vectorizer, cosine, tfidf
 from gleaner.operators.topk import By, first_k
 
@@ -32,6 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 UNIT = Vectorizer(ngrams=(1, 1), stop_words="english", norm="l2")
 _MAX_CELLS = 4_000_000
 _MAX_BLOCK = 32_000_000
+_MAX_CENTERS = 256
+_GOLDEN = 0.6180339887498949
 
 
 def packed(weights: DataFrame) -> DataFrame:
@@ -75,58 +74,57 @@ def kmeans(
     texts: DataFrame,
     size: int,
     how: Vectorizer = UNIT,
-    features: int = 1 << 14,
     pick: str = "farthest",
     seed: int = 1,
     depth: int = 64,
-    iterations: int = 20,
+    rounds: int = 4,
+    block_entries: int = 500_000,
 ) -> DataFrame:
     """One row per cluster of ``size`` clusters: ``(cluster, sid, distance)``.
 
-    ``pick`` takes the ``"farthest"`` row from each center or the
-    ``"nearest"``; ties go by a seeded hash. Terms are hashed to ``features``
-    columns. For every center the best ``depth`` rows are kept on the way; a
-    center whose rows were all taken by earlier centers gets another pass over
-    the rows that are left, so ``depth`` never changes the answer.
+    Spherical k-means on the whole vocabulary: the ``size`` rows with the
+    smallest seeded hash are the first centers; ``rounds`` times each row joins
+    the center of the largest cosine, and centers become the direction of the
+    sum of their rows. ``pick`` then takes, center by center, the ``"farthest"``
+    row not taken yet or the ``"nearest"``; ties go by a seeded hash that
+    differs between centers, then by ``sid``. Products are rounded, so results
+    don't depend on partitioning. Fewer rows than ``size`` are all taken.
+
+    Centers stay a long table; they go to the tasks in blocks of about
+    ``block_entries`` weights, and a task returns the best center of each row,
+    or the ``depth`` best rows of each center. A center whose rows were all
+    taken gets another pass, so ``depth`` never changes the answer.
     """
     if pick not in ("farthest", "nearest"):
         raise ValueError(f"unknown pick {pick!r}")
-    hashed = tfidf(texts, how).withColumn("i", F.pmod(F.xxhash64("term"), F.lit(features)).cast("int"))
-    columns = hashed.groupBy("sid", "i").agg(F.sum("w").alias("w"))
-    rows = columns.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("e"))
-    # A text without terms is a zero vector: distance 1 from every center.
-    rows = texts.select("sid").join(rows, "sid", "left").select(
-        "sid",
-        F.coalesce(F.col("e.i"), F.array().cast("array<int>")).alias("ix"),
-        F.coalesce(F.col("e.w"), F.array().cast("array<double>")).alias("ws"),
-        uniform(seed, "sid").alias("tie"),
-    )
-    rows = cut_lineage(rows)
-    to_vector = F.udf(lambda ix, ws: SparseVector(features, ix, ws), VectorUDT())
-    points = rows.select(to_vector("ix", "ws").alias("v"))
-    if size == 1:  # KMeans wants two clusters or more; one cluster has the mean as center.
-        centers = np.array([points.select(Summarizer.mean(F.col("v"))).first()[0].toArray()])
-    else:
-        model = KMeans(k=size, seed=seed, maxIter=iterations, featuresCol="v").fit(points)
-        centers = np.array(model.clusterCenters())
-    lengths = np.linalg.norm(centers, axis=1)
-    centers = centers / np.where(lengths > 0, lengths, 1.0)[:, None]
+    weights = cut_lineage(tfidf(texts, how).select("sid", "term", "w"))
+    # A text without terms is a zero vector: cosine 0 with every center.
+    rows = cut_lineage(texts.select("sid").join(packed(weights), "sid", "left").select(
+        "sid", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"),
+        F.coalesce("ws", F.array().cast("array<double>")).alias("ws"), uniform(seed, "sid").alias("tie")))
+    starts = first_k(rows.select("sid", "tie"), [By("tie"), By("sid")], size).withColumn("_all", F.lit(0))
+    starts = cut_lineage(positions(starts, ["_all"], ["tie", "sid"], "cluster").select("sid", "cluster"))
+    n = starts.count()
+    centers = cut_lineage(weights.join(at_most(starts, n), "sid").select("cluster", "term", "w"))
+    for _ in range(rounds):
+        joined = _nearest_centers(rows, centers, n, block_entries)
+        sums = weights.join(joined, "sid").groupBy("cluster", "term").agg(F.sum("w").alias("w"))
+        lengths = sums.groupBy("cluster").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+        moved = sums.join(lengths, "cluster").select("cluster", "term", F.round(F.col("w") / F.col("length"), 9).alias("w"))
+        kept = centers.join(lengths.select("cluster"), "cluster", "left_anti")  # a center without rows stays
+        centers = cut_lineage(moved.unionByName(kept))
 
     spark = texts.sparkSession
-    sign = -1.0 if pick == "farthest" else 1.0
+    sign = -1 if pick == "farthest" else 1
     picked: list[tuple[int, int, float]] = []
-    todo = list(range(len(centers)))
+    todo = list(range(n))
     while todo:
-        left = rows
+        left, wanted = rows, centers
         if picked:
             taken = spark.createDataFrame([(s,) for _, s, _ in picked], "sid long")
             left = rows.join(at_most(taken, len(picked)), "sid", "left_anti")
-        # A slice of centers at a time, so that what a task holds stays bounded.
-        lists: dict[int, list[tuple[int, float]]] = {}
-        width = max(1, _MAX_BLOCK // features)
-        for a in range(0, len(todo), width):
-            part = todo[a:a + width]
-            lists.update(_best_rows(left, centers[part], part, sign, depth))
+            wanted = centers.join(at_most(spark.createDataFrame([(c,) for c in todo], "cluster long"), len(todo)), "cluster", "left_semi")
+        lists = _best_rows(left, wanted, todo, sign, depth, block_entries)
         if not lists:
             break
         used = {s for _, s, _ in picked}
@@ -143,38 +141,74 @@ def kmeans(
     return spark.createDataFrame(picked, "cluster int, sid long, distance double")
 
 
-def _best_rows(rows: DataFrame, centers: np.ndarray, numbers: list[int], sign: float, depth: int):
+def _center_blocks(centers: DataFrame, numbers: list[int], block_entries: int) -> Iterator[tuple[np.ndarray, pd.Index, np.ndarray]]:
+    """Cluster numbers, vocabulary and dense weights (terms x clusters) of a block of centers at a time."""
+    blocks = max(1, -(-centers.count() // block_entries), -(-len(numbers) // _MAX_CENTERS))
+    for i in range(blocks):
+        own = np.array([c for c in numbers if c % blocks == i], np.int64)
+        if not len(own):
+            continue
+        part = centers.where(F.pmod("cluster", F.lit(blocks)) == i).toPandas()  # about `block_entries` rows
+        vocabulary = pd.Index(part["term"].unique())
+        place = vocabulary.get_indexer(part["term"])
+        column = np.searchsorted(own, part["cluster"].to_numpy())
+        # Slices of the block, so that a dense matrix stays small.
+        width = max(1, _MAX_BLOCK // max(1, len(vocabulary)))
+        for a in range(0, len(own), width):
+            some = (column >= a) & (column < a + width)
+            matrix = np.zeros((len(vocabulary), min(width, len(own) - a)))
+            matrix[place[some], column[some] - a] = part["w"].to_numpy()[some]
+            yield own[a:a + width], vocabulary, matrix
+
+
+def _row_products(pdf: pd.DataFrame, vocabulary: pd.Index, matrix: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    lengths = pdf["terms"].map(len).to_numpy()
+    flat = vocabulary.get_indexer(_flatten(pdf["terms"])) if len(vocabulary) else np.full(lengths.sum(), -1)
+    for first, cos in _products(flat, _flatten(pdf["ws"]).astype(float), lengths, matrix):
+        yield first, np.round(cos, 9)
+
+
+def _nearest_centers(rows: DataFrame, centers: DataFrame, n: int, block_entries: int) -> DataFrame:
+    """``(sid, cluster)``: the center of the largest cosine, the first one of several."""
+    found = None
+    for own, vocabulary, matrix in _center_blocks(centers, list(range(n)), block_entries):
+        def best(batches, own=own, vocabulary=vocabulary, matrix=matrix):
+            for pdf in batches:
+                for first, cos in _row_products(pdf, vocabulary, matrix):
+                    at = cos.argmax(axis=1)
+                    yield pd.DataFrame({"sid": pdf["sid"].to_numpy()[first:first + len(cos)], "cos": cos[np.arange(len(cos)), at], "cluster": own[at]})
+        part = rows.mapInPandas(best, "sid long, cos double, cluster long")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return rows.select("sid", F.lit(0).cast("long").alias("cluster")).limit(0)
+    top = F.max(F.struct("cos", (-F.col("cluster")).alias("c"))).alias("b")
+    return cut_lineage(found.groupBy("sid").agg(top).select("sid", (-F.col("b.c")).alias("cluster")))
+
+
+def _best_rows(rows: DataFrame, centers: DataFrame, numbers: list[int], sign: int, depth: int, block_entries: int):
     """Per center the ``depth`` best rows in order, as a dict of ``[(sid, distance)]``."""
-    block = np.ascontiguousarray(centers.T)
-
-    def local_best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = [pd.DataFrame({"c": [], "sid": [], "d": [], "tie": []})] * len(numbers)
-        for pdf in batches:
-            lengths = pdf["ix"].map(len).to_numpy()
-            flat = _flatten(pdf["ix"]).astype(np.int64)
-            ws = _flatten(pdf["ws"]).astype(float)
-            for first, cos in _products(flat, ws, lengths, block):
-                d = np.round(1.0 - cos, 9)
-                part = pdf.iloc[first:first + len(d)]
-                for j in range(d.shape[1]):
-                    col = d[:, j] * sign
-                    cut = np.partition(col, depth - 1)[depth - 1] if len(col) > depth else np.inf
-                    keep = col <= cut
-                    both = pd.concat([kept[j], pd.DataFrame({
-                        "c": numbers[j], "sid": part["sid"].to_numpy()[keep], "d": d[keep, j],
-                        "tie": part["tie"].to_numpy()[keep]})])
-                    order = np.lexsort((both["sid"], both["tie"], both["d"] * sign))[:depth]
-                    kept[j] = both.iloc[order]
-        for k in kept:
-            if len(k):
-                yield k.astype({"c": "int32", "sid": "int64", "d": "float64", "tie": "float64"})
-
-    found = rows.mapInPandas(local_best, "c int, sid long, d double, tie double")
-    w = Window.partitionBy("c").orderBy((F.col("d") * F.lit(sign)).asc(), "tie", "sid")
-    best = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= depth).orderBy("c", "r")
     lists: dict[int, list[tuple[int, float]]] = {}
-    for r in best.collect():
-        lists.setdefault(r["c"], []).append((r["sid"], r["d"]))
+    for own, vocabulary, matrix in _center_blocks(centers, numbers, block_entries):
+        def best(batches, own=own, vocabulary=vocabulary, matrix=matrix):
+            # Distance in billionths, then 20 bits of the tie: one whole number to sort by.
+            kept = np.zeros((0, 3), np.int64)  # center, key, sid
+            for pdf in batches:
+                for first, cos in _row_products(pdf, vocabulary, matrix):
+                    part = pdf.iloc[first:first + len(cos)]
+                    turn = (part["tie"].to_numpy()[:, None] + own[None, :] * _GOLDEN) % 1.0
+                    key = (np.rint((1.0 - cos) * 1e9).astype(np.int64) * sign << 20) + (turn * (1 << 20)).astype(np.int64)
+                    cut = np.partition(key, depth - 1, axis=0)[depth - 1] if len(key) > depth else np.full(len(own), np.iinfo(np.int64).max)
+                    i, j = np.nonzero(key <= cut)
+                    kept = np.concatenate([kept, np.stack([own[j], key[i, j], part["sid"].to_numpy()[i]], axis=1)])
+                    kept = kept[np.lexsort(kept.T[::-1])]
+                    rank = np.arange(len(kept)) - np.searchsorted(kept[:, 0], kept[:, 0])
+                    kept = kept[rank < depth]
+            yield pd.DataFrame(kept, columns=["c", "key", "sid"])
+        found = rows.mapInPandas(best, "c long, key long, sid long")
+        w = Window.partitionBy("c").orderBy("key", "sid")
+        ranked = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= depth).orderBy("c", "r")
+        for r in ranked.collect():
+            lists.setdefault(r["c"], []).append((r["sid"], (r["key"] >> 20) * sign / 1e9))
     return lists
 
 

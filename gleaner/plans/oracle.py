@@ -205,6 +205,35 @@ def _all_picks() -> str:
             f"(SELECT * FROM done{PICKS} UNION ALL SELECT * FROM pick{PICKS})")
 
 
+def _kmeans(farthest: bool, rounds: int = 4) -> str:
+    """Spherical k-means with one set of tables for each round, then one table per pick."""
+    ctes = [
+        *_weights(1, True, True),
+        "kw AS MATERIALIZED (SELECT sid, term, w FROM weights)",
+        f"ids AS MATERIALIZED (SELECT doc_id AS sid, {_u(1, 'doc_id')} AS u FROM documents)",
+        f"starts AS MATERIALIZED (SELECT sid, row_number() OVER (ORDER BY u, sid) - 1 AS c FROM ids ORDER BY u, sid LIMIT {PICKS})",
+        "cen0 AS MATERIALIZED (SELECT c, term, w FROM kw JOIN starts USING (sid))",
+    ]
+    cosines = """SELECT i.sid, i.u, s.c, round(coalesce(d.dot, 0), 9) AS cos FROM ids i CROSS JOIN starts s
+  LEFT JOIN (SELECT kw.sid, x.c, sum(kw.w * x.w) AS dot FROM kw JOIN cen{0} x USING (term) GROUP BY kw.sid, x.c) d ON d.sid = i.sid AND d.c = s.c"""
+    for i in range(rounds):
+        ctes += [
+            f"cos{i} AS MATERIALIZED ({cosines.format(i)})",
+            f"near{i} AS MATERIALIZED (SELECT sid, c FROM cos{i} QUALIFY row_number() OVER (PARTITION BY sid ORDER BY cos DESC, c) = 1)",
+            f"sum{i} AS MATERIALIZED (SELECT c, term, sum(w) AS w FROM kw JOIN near{i} USING (sid) GROUP BY c, term)",
+            f"len{i} AS MATERIALIZED (SELECT c, sqrt(sum(w * w)) AS len FROM sum{i} GROUP BY c)",
+            f"""cen{i + 1} AS MATERIALIZED (SELECT c, term, round(w / len, 9) AS w FROM sum{i} JOIN len{i} USING (c)
+  UNION ALL SELECT c, term, w FROM cen{i} WHERE c NOT IN (SELECT c FROM len{i}))""",
+        ]
+    tie = "CAST(floor(((u + c * 0.6180339887498949::DOUBLE) - floor(u + c * 0.6180339887498949::DOUBLE)) * 1048576) AS BIGINT)"
+    ctes.append(f"keyed AS MATERIALIZED (SELECT sid, c, CAST(round((1 - cos) * 1e9) AS BIGINT) AS dist, {tie} AS tie FROM ({cosines.format(rounds)}))")
+    ctes.append("p0 AS MATERIALIZED (SELECT 0 AS c, 0 AS sid, 0 AS dist WHERE FALSE)")
+    for i in range(PICKS):
+        ctes.append(f"""p{i + 1} AS MATERIALIZED (SELECT * FROM p{i} UNION ALL SELECT * FROM (SELECT c, sid, dist FROM keyed
+  WHERE c = {i} AND sid NOT IN (SELECT sid FROM p{i}) ORDER BY dist {"DESC" if farthest else "ASC"}, tie, sid LIMIT 1))""")
+    return _with(*ctes) + f"SELECT c::INTEGER AS cluster, sid::BIGINT AS sid, round(dist / 1e9::DOUBLE, 6) AS distance FROM p{PICKS}"
+
+
 # --- training styles in long form ------------------------------------------
 
 CANDS = r"""full_rows AS (SELECT sid, count(*) AS n, bool_and(al_tag <> -100) AS all_known FROM al GROUP BY sid),
@@ -428,6 +457,9 @@ ms AS (SELECT sid, round(min(s[1] - s[2]), 9) AS score FROM lm GROUP BY sid)""")
         "ids AS MATERIALIZED (SELECT DISTINCT sid FROM words)",
         _greedy("SELECT sid FROM ids", uncovered, _u(1, "d.sid"))) + _all_picks()
 
+    for name, down in (("init_kmeans", True), ("init_kmeans_nearest", False)):
+        q[name] = _kmeans(down)
+
     # One round.
     one = [*MEASURED, LAB, f"picks AS ({_token_pick('breaking_ties')})", ANY_RUNS, EXPANDED, REVEALED]
     q["al_round"] = _with(*one) + "SELECT tag, count(*) AS n FROM revealed GROUP BY tag"
