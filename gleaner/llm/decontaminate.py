@@ -44,8 +44,10 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     words, its equal words, and where it lies in the text, counted in words.
     Case and punctuation don't matter. Items of fewer than ``N`` words, and null
     or empty ones, match nothing; rows that repeat an ``item_id`` are texts of
-    the same item, and repeated ``doc_id``s likewise. No items, no rows.
+    the same item, and repeated ``doc_id``s likewise. Rows without an id are left
+    out on either side. No items, no rows.
     """
+    docs, items = docs.where("doc_id is not null"), items.where("item_id is not null")
     known = stored(reference_words(items, "item_id", N))
     every = seeds_of(known, "item_id")
     seeds = stored(_rare(docs, known, every))

@@ -74,8 +74,10 @@ def scan(docs: DataFrame, known: DataFrame, least: float = LEAST) -> DataFrame:
     words. Case and punctuation don't matter. A place may match several
     templates, when one holds the other; a template matches at most once in a
     region, but in any number of regions. Templates of fewer than ``N`` words
-    and null texts match nothing; repeated rows are scanned each.
+    and null texts match nothing. Rows that repeat an id with the same words around
+    a notice give one row; rows without an id are left out.
     """
+    docs, known = docs.where("doc_id is not null"), known.where("template is not null")
     references = stored(reference_words(known, "template", N, winnowed(WINDOW)))
     index = stored(seeds_of(references, "template"))
     n_index = index.count()

@@ -14,11 +14,13 @@ def plain_blocks(later, earlier, least):
         if a[-1] == b[-1]:
             return match(a[:-1], b[:-1], i, j) + [(i + len(a) - 1, j + len(b) - 1)]
         once = [(x, b.index(v)) for x, v in enumerate(a) if a.count(v) == 1 and b.count(v) == 1]
-        best = [[p] for p in once]
+        best = []  # longest chain that ends in each pair; of equal ones the one whose pairs come latest
         for k in range(len(once)):
             before = [best[m] for m in range(k) if once[m][1] < once[k][1]]
-            best[k] = max(before, key=len, default=[]) + [once[k]]
-        chain = max(best, key=len, default=[])
+            longest = max(map(len, before), default=0)
+            best.append(next((c for c in reversed(best) if len(c) == longest), []) + [once[k]])
+        longest = max(map(len, best), default=0)
+        chain = next((c for c in reversed(best) if len(c) == longest), [])
         out, x0, y0 = [], 0, 0
         for x, y in chain:
             out += match(a[x0:x], b[y0:y], i + x0, j + y0) + [(i + x, j + y)]
