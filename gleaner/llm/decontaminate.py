@@ -25,7 +25,7 @@ from gleaner.operators.skew import at_most
 N = 3
 CHANCE = 1.0
 SLACK = 12
-LEAST = 0.5
+LEAST = 0.45
 """Least score over the item's length at which a text counts as contaminated."""
 LEAST_WORDS = 6
 """Least number of equal words in the alignment; of shorter items all."""
