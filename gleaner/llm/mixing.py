@@ -102,8 +102,11 @@ def fitted(rows: DataFrame, exponents: dict[str, float] | None = None, budget: f
 
 
 def drawn() -> Column:
-    """Whether a document with ``doc_id`` and ``prob`` is kept; the same on every run and retry."""
-    return uniform(SEED, "doc_id") < F.col("prob")
+    """Whether a document with ``doc_id``, ``prob`` and ``n_tokens`` is kept; the same on every run and retry.
+
+    One without words adds nothing to the mix and is not.
+    """
+    return (uniform(SEED, "doc_id") < F.col("prob")) & (F.col("n_tokens") > 0)
 
 
 def mixed(rows: DataFrame, cells: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ all_tokens as materialized (select sum(tokens) as n from cells)"""]
     draw = f"(cast('0x' || substr(md5('{m.SEED}:' || doc_id), 1, 13) as bigint) + 0.5) / 4503599627370496.0"
     return "with " + ",\n".join(steps) + f""",
 probs as (select ratios.*, least(1, round(ratio * (select c from c{m.CALIBRATIONS}), 9)) as p from ratios)
-select doc_id, r.source, r.lang, r.topic, n_tokens, round(weight, 6) as cell_weight, round(p, 6) as prob, {draw} < p as sampled
+select doc_id, r.source, r.lang, r.topic, n_tokens, round(weight, 6) as cell_weight, round(p, 6) as prob, {draw} < p and n_tokens > 0 as sampled
 from rows_of r join probs using (source, lang, topic)"""
 
 
