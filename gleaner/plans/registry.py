@@ -6,6 +6,7 @@ decimals, so that they can be compared row by row.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,10 @@ from gleaner.functions.tags import decode
 from gleaner.operators import (
     annotate, greedy, initial, metrics, predictions, query, spans, tfidf, training, vectors,
 )
+from gleaner.operators.skew import checkpoint_dir
 from gleaner.plans import fixtures as X
-from gleaner.sources import corpus, views
+from gleaner.plans import loop
+from gleaner.sources import corpus, results, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -406,6 +409,40 @@ def al_round(spark, d):
     return metrics.tag_distribution(_round(spark, d)[1].labelled)
 
 
+def _frequency_model(rows: DataFrame, tags: list[str], config: loop.RunConfig) -> loop.Predict:
+    """Smoothed tag frequencies of each token text: a model that SQL can repeat."""
+    pairs = rows.select(F.explode(F.arrays_zip("tokens", "ner_tags")).alias("z")).select("z.tokens", "z.ner_tags").where(F.col("ner_tags") >= 0)
+    seen = pairs.groupBy(F.col("tokens").alias("token")).agg(F.array(*[F.count_if(F.col("ner_tags") == i) for i in range(len(tags))]).alias("n"))
+
+    def predict(sentences: DataFrame) -> DataFrame:
+        tokens = sentences.select("sid", F.posexplode("tokens").alias("tid", "token")).withColumn("tid", F.col("tid").cast("long"))
+        n = F.coalesce("n", F.array(*[F.lit(0).cast("long")] * len(tags)))
+        total = F.aggregate(n, F.lit(float(len(tags))), lambda acc, c: acc + c)
+        return tokens.join(seen, "token", "left").select("sid", "tid", F.transform(n, lambda c: (c + 1) / total).alias("scores"))
+    return predict
+
+
+def _loop(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = X.sentences(spark, d).select("sid", "tokens", "ner_tags", _split_of("sid").alias("split"))
+    config = loop.RunConfig(level=query.TOKEN, strategy=query.BREAKING_TIES, rounds=2, starting_ratio=0.05, new_examples=[K])
+    return loop.run(spark, corpus.Corpus(rows, X.TEXT_TAGS), config, fit=_frequency_model)
+
+
+def al_loop(spark, d):
+    """Two rounds of the loop: what is labelled in the end."""
+    return _loop(spark, d)[1].select("sid", "tid", "tag")
+
+
+def results_log(spark, d):
+    """The log of the loop, appended twice and read back."""
+    made, _ = _loop(spark, d)
+    path = f"{checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
+    results.append(made, path)
+    results.append(made, path)
+    log = results.read(spark, path, loop.RESULT_SCHEMA)
+    return log.select("round", "level", "strategy", "n_annotated", "n_non_o", "n_sentences", F.round("percentage", 6).alias("percentage"))
+
+
 def al_round_stats(spark, d):
     pred, out = _round(spark, d)
     return metrics.annotation_stats(pred, out.labelled).withColumn("percentage", F.round("percentage", 6))
@@ -421,7 +458,7 @@ def queries() -> dict[str, Query]:
             tag_distribution, annotation_stats, flat_corpus, flatten_documents, nested_corpus, holdout_split,
             full_split, dense_ids, token_table, align_labels, cosine_distance, init_supervised, init_static,
             init_tfidf_nodup, init_cover, init_kmeans, init_kmeans_nearest, al_round, al_round_stats,
-            text_view_io, init_longest_io, dense_ids_text,
+            text_view_io, init_longest_io, dense_ids_text, al_loop, results_log,
         )
     }
     for name, measure in {"entropy": S.entropy, "margin": S.margin, "confidence": S.confidence, "lowest": S.lowest}.items():
