@@ -79,10 +79,11 @@ def _reach(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if levels[-1].isEmpty():
             levels.pop()
             break
+        # Messages whose path is complete are looked up, but not joined any more.
         above = now.select("conv_id", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("n").alias("_n"), F.col("total").alias("_total"))
-        now = stored(now.join(above, ["conv_id", "up"], "left").select(
-            "conv_id", "node", F.col("_up").alias("up"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"),
-            (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")))
+        longer = now.where("up is not null").join(above, ["conv_id", "up"]).select(
+            "conv_id", "node", F.col("_up").alias("up"), (F.col("n") + F.col("_n")).alias("n"), (F.col("total") + F.col("_total")).alias("total"))
+        now = stored(longer.unionByName(now.where("up is null")))
     return now.where("up is null"), levels
 
 
@@ -97,12 +98,27 @@ def _branches(rows: DataFrame, reach: DataFrame, branches: int | None) -> DataFr
 
 
 def _turns(rows: DataFrame, chosen: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """The messages of the chosen paths, ``at`` 0 for the root."""
-    steps = chosen.withColumn("_back", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("node", F.col("leaf_id"))
-    for k, level in enumerate(levels):
+    """The messages of the chosen paths, ``at`` 0 for the root.
+
+    A message ``d`` steps from its leaf takes the steps of ``d``'s bits, the
+    largest first; it enters where its largest bit is taken, so that a long path
+    doesn't send the short ones through its joins.
+    """
+    chosen = stored(chosen)
+
+    def entering(low: int, end: int) -> DataFrame:
+        there = chosen.where(F.col("n") > low)
+        back = F.explode(F.sequence(F.lit(low).cast("long"), F.least(F.lit(end), F.col("n")) - 1))
+        return there.withColumn("_back", back).withColumn("node", F.col("leaf_id"))
+
+    steps = None
+    for k in reversed(range(len(levels))):
+        fresh = entering(1 << k, 1 << (k + 1))
+        steps = fresh if steps is None else steps.unionByName(fresh)
         moves = F.col("_back").bitwiseAND(F.lit(1 << k)) != 0
-        steps = (steps.join(level.withColumnRenamed("up", "_up"), ["conv_id", "node"], "left")
+        steps = (steps.join(levels[k].withColumnRenamed("up", "_up"), ["conv_id", "node"], "left")
                  .withColumn("node", F.when(moves, F.col("_up")).otherwise(F.col("node"))).drop("_up"))
+    steps = entering(0, 1) if steps is None else steps.unionByName(entering(0, 1))
     return (steps.withColumn("at", F.col("n") - 1 - F.col("_back"))
             .join(rows.select("conv_id", "node", "role", "text"), ["conv_id", "node"]))
 

@@ -1,6 +1,5 @@
 import hashlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from gleaner.llm import chat, queries
@@ -35,11 +34,11 @@ def test_tree_paths_and_ranks(spark):
     assert {r["conv_id"]: r["leaf_id"] for r in best} == {1: 5, 2: 2}
 
 
-@pytest.mark.parametrize("n", [1, 2, 7, 8, 9, 33])
-def test_depths_around_powers_of_two(spark, n):
-    rows = [(5, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(n)]
-    [r] = read(chat.formatted(chat.from_turns(spark.createDataFrame(rows[::-1], "conv_id long, turn long, role string, text string"))))
-    assert [t["text"] for t in r["turns"]] == [f"t{i}" for i in range(n)]
+def test_depths_around_powers_of_two(spark):
+    depths = [1, 2, 3, 4, 5, 7, 8, 9, 16, 17, 33]
+    rows = [(n, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for n in depths for i in range(n)]
+    out = read(chat.formatted(chat.from_turns(spark.createDataFrame(rows[::-1], "conv_id long, turn long, role string, text string"))))
+    assert {r["conv_id"]: [t["text"] for t in r["turns"]] for r in out} == {n: [f"t{i}" for i in range(n)] for n in depths}
 
 
 def test_nulls_ties_and_empty_table(spark):
