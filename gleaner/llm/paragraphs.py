@@ -4,7 +4,7 @@ A paragraph is a line of at least ``LEAST_WORDS`` words. Equal word sequences
 form a class, which goes on as its first paragraph. Classes get a MinHash
 signature of their five-word shingles, cut into ``BANDS`` bands of ``ROWS``
 values: two paragraphs of similarity 0.75 share a band with a probability of
-1 - (1 - 0.75 ** 3) ** 18, about 0.99995. Paragraphs that share a band are
+1 - (1 - 0.75 ** 2) ** 12, about 0.99995. Paragraphs that share a band are
 compared on their full shingle sets, hub by hub, and all but the first of each
 connected component are removed.
 """
@@ -21,12 +21,11 @@ from pyspark.sql import functions as F
 from gleaner.llm.components import jaccard_links, parts_by_hubs
 from gleaner.llm.store import stored
 from gleaner.llm.words import Texts, Words, list_array, mixed, ngrams, text_blocks, words_of
-from gleaner.operators.skew import at_most
 
 LEAST_WORDS = 20
 SHINGLE = 5
 SIMILAR = 75
-BANDS, ROWS = 18, 3
+BANDS, ROWS = 12, 2
 _LINES = 10 ** 10
 """More than a text has lines; a paragraph's id is its document's times this, plus its line."""
 
@@ -43,19 +42,27 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, similar: int = SIMI
     repeat a ``doc_id`` with an equal text are the same paragraphs and appear once.
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # The row number is fixed once the table is written; it stands for the paragraph in all that follows.
     rows = stored(texts.mapInArrow(
-        _scanner(least_words), "doc_id long, line int, n_words int, key_a long, key_b long, bands array<long>"))
+        _scanner(least_words), "doc_id long, line int, n_words int, key_a long, key_b long, bands array<long>")
+        .withColumn("row", F.monotonically_increasing_id()))
     classes = stored(rows.groupBy("key_a", "key_b").agg(
         F.min(_id("doc_id", "line")).alias("id"), F.max(_id("doc_id", "line")).alias("last")))
-    reps = rows.select(_id("doc_id", "line").alias("id"), "key_a", "key_b", "n_words", "bands").join(classes, ["id", "key_a", "key_b"], "left_semi")
-    posts = reps.select("id", F.greatest(F.lit(1), F.col("n_words") - (SHINGLE - 1)).alias("n"), F.explode("bands").alias("v"))
+    firsts = stored(rows.select("row", "doc_id", "line", "n_words", "key_a", "key_b", _id("doc_id", "line").alias("id"))
+                    .join(classes, ["id", "key_a", "key_b"]).dropDuplicates(["id", "key_a", "key_b"]))
+    posts = rows.select("row", "bands").join(firsts.select("row"), "row", "left_semi").select(F.col("row").alias("id"), F.explode("bands").alias("v"))
     shared = posts.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v")
-    keys = stored(posts.join(shared, "v").select("v", "id", "n"))
-    sets = _sets_of(texts, keys, least_words)
+    candidates = posts.join(shared, "v")
+    sizes = firsts.select(F.col("row").alias("id"), (F.col("n_words") - (SHINGLE - 1)).cast("long").alias("n"))
+    keys = stored(candidates.join(sizes, "id").select("v", "id", "n"))
+    sets = _sets_of(texts, firsts, keys, least_words)
     found = parts_by_hubs(keys, lambda pairs: jaccard_links(pairs, sets, similar), sets, similar)
 
-    known = (classes.join(found, F.col("id") == F.col("node"), "left").where("last > id or component is not null")
-             .select("key_a", "key_b", F.coalesce("component", "id").alias("first")))
+    linked = firsts.select("row", "id").join(found, F.col("row") == F.col("node"))
+    first_of = linked.groupBy("component").agg(F.min("id").alias("first"))
+    moved = linked.select("row", "component").join(first_of, "component").select("row", "first")
+    known = (firsts.join(moved, "row", "left").where("last > id or first is not null")
+             .select("key_a", "key_b", F.coalesce("first", "id").alias("first")))
     line = lambda c: F.pmod(F.col(c), F.lit(_LINES)).cast("int")
     own = _id("doc_id", "line")
     return (rows.select("doc_id", "line", "n_words", "key_a", "key_b").join(known, ["key_a", "key_b"])
@@ -78,13 +85,17 @@ def _id(doc: str, line: str) -> Column:
     return (F.col(doc).cast("decimal(20,0)") * F.lit(_LINES) + F.col(line)).cast("decimal(38,0)")
 
 
-def _sets_of(texts: DataFrame, keys: DataFrame, least_words: int) -> DataFrame:
-    """``id, full``: the shingles of the paragraphs in ``keys``."""
-    ids = stored(keys.select("id").distinct())
-    wanted = ids.select(F.floor(F.col("id") / _LINES).cast("long").alias("doc_id")).distinct()
-    of = (texts.join(at_most(wanted, ids.count()), "doc_id").select("doc_id", "text")
+def _sets_of(texts: DataFrame, firsts: DataFrame, keys: DataFrame, least_words: int) -> DataFrame:
+    """``id, full``: the shingles of the paragraphs in ``keys``.
+
+    Texts meet the wanted documents by a shuffle at every size, so that what
+    this takes grows evenly with the corpus.
+    """
+    ids = stored(firsts.select("doc_id", "line", F.col("row").alias("id")).join(keys.select("id").distinct(), "id", "left_semi"))
+    wanted = ids.select("doc_id").distinct()
+    of = (texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text")
           .mapInArrow(_sets(least_words), "doc_id long, line int, full array<long>"))
-    return stored(of.select(_id("doc_id", "line").alias("id"), "full").join(ids, "id"))
+    return stored(of.join(ids, ["doc_id", "line"]).select("id", "full"))
 
 
 def _paragraphs(texts: Texts, words: Words, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
