@@ -7,15 +7,21 @@ values: two paragraphs of similarity 0.75 share a band with a probability of
 1 - (1 - 0.75 ** 2) ** 12, about 0.99995. Paragraphs that share a band are
 compared on their full shingle sets, hub by hub, and all but the first of each
 connected component are removed.
+
+What then stays is searched for passages: runs of ``PASSAGE`` equal words or
+more, in the middle of longer lines and across line ends too. Such a run always
+holds a winnowed n-gram of half its length. Where one occurs again, the windows of
+``PASSAGE`` words around it are counted, and all but the first of each are removed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.components import jaccard_links, parts_by_hubs
@@ -26,6 +32,8 @@ LEAST_WORDS = 20
 SHINGLE = 5
 SIMILAR = 75
 BANDS, ROWS = 12, 2
+PASSAGE = 50
+"""Least number of equal words in a row that make a passage, wherever lines end."""
 _LINES = 10 ** 10
 """More than a text has lines; a paragraph's id is its document's times this, plus its line."""
 
@@ -81,6 +89,76 @@ def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
             .withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept)).drop("_id", "_cut"))
 
 
+def passages(docs: DataFrame, found: DataFrame, least: int = PASSAGE) -> DataFrame:
+    """A row for each run of ``least`` words or more that stands earlier in what ``repeats`` leaves.
+
+    ``found`` is the result of ``repeats`` for ``docs``. Has its columns and
+    ``word, end_line, first_word``: the run starts at word ``word`` of ``line``,
+    counted from 0, has ``n_words`` words and ends in ``end_line``; its first
+    copy starts at word ``first_word`` of ``first_line``. Windows of ``least`` words
+    are compared, and of each the first by document and place stays. A copy in the same
+    document counts if it does not overlap the first. Runs whose first copies are in
+    different documents are rows of their own and may overlap.
+    """
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    gone = stored(found.where("removed").select("doc_id", "line").distinct())
+    marks = stored(stored(texts.mapInArrow(_marks(least), "doc_id long, line int, mark long")).join(gone, ["doc_id", "line"], "left_anti").select("doc_id", "mark"))
+    shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mark")
+    wanted = marks.join(shared, "mark").distinct().groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
+    cut = gone.groupBy("doc_id").agg(F.collect_list("line").alias("cut"))
+    wanted = stored(wanted.join(cut, "doc_id", "left").select("doc_id", "marks", F.coalesce("cut", F.array().cast("array<int>")).alias("cut")))
+    windows = stored(texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", F.xxhash64("text").alias("content"), "text", "marks", "cut")
+                     .mapInArrow(_windows(least), "doc_id long, content long, at int, line int, word int, end_line int, window long"))
+
+    place = F.struct("doc_id", "content", "at", "line", "word")
+    firsts = windows.groupBy("window").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f < l").select("window", "f")
+    again = (windows.join(firsts, "window").where(f"doc_id <> f.doc_id or content <> f.content or at >= f.at + {least}")
+             .dropDuplicates(["doc_id", "content", "at"]))
+    order = Window.partitionBy("doc_id", "content").orderBy("at")
+    starts = F.coalesce((F.col("at") > F.lag("at").over(order) + least) | (F.lag("f.doc_id").over(order) != F.col("f.doc_id")), F.lit(True))
+    runs = again.withColumn("run", F.sum(starts.cast("int")).over(order)).groupBy("doc_id", "content", "run").agg(
+        F.min(F.struct("at", "line", "word", "f")).alias("a"), F.max(F.struct("at", "end_line")).alias("z"))
+    return runs.select("doc_id", "a.line", (F.col("z.at") + least - F.col("a.at")).alias("n_words"), F.col("a.f.doc_id").alias("first_doc_id"),
+                       F.col("a.f.line").alias("first_line"), F.lit(True).alias("removed"), "a.word", "z.end_line", F.col("a.f.word").alias("first_word")).distinct()
+
+
+def all_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of ``repeats`` and ``passages``; a whole line starts and its first copy starts at word 0."""
+    found = stored(repeats(docs))
+    lines = found.withColumns({"word": F.lit(0), "end_line": F.col("line"), "first_word": F.lit(0)})
+    return lines.unionByName(passages(docs, found))
+
+
+def without_all(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with what ``all_repeats`` found taken out of ``text``, and the lines that lose all their words."""
+    cuts = (found.where("removed").groupBy(F.col("doc_id").alias("_id"))
+            .agg(F.collect_set(F.struct("line", "word", "n_words")).alias("_cut")))
+    return (docs.join(cuts, F.col("doc_id") == F.col("_id"), "left")
+            .withColumn("text", F.udf(_without, "string")("text", "_cut")).drop("_id", "_cut"))
+
+
+def _without(text, cuts):
+    if text is None or cuts is None:
+        return text
+    lines = text.split("\n")
+    words = [(k, m.start(), m.end()) for k, line in enumerate(lines) for m in re.finditer(r"[^\x20\x09-\x0D]+", line)]
+    begins: dict[int, int] = {}
+    for i, (k, _, _) in enumerate(words):
+        begins.setdefault(k, i)
+    gone = {i for line, word, n in cuts if line in begins for i in range(begins[line] + word, begins[line] + word + n)}
+    kept: dict[int, list[str]] = {}
+    at = 0
+    for i, (k, first, end) in enumerate(words):
+        at = 0 if i == begins[k] else at
+        if i in gone:
+            kept.setdefault(k, [])
+        else:
+            kept.setdefault(k, []).append(lines[k][at if at < first else first: end])
+        at = end
+    touched = {words[i][0] for i in gone if i < len(words)}
+    return "\n".join("".join(kept[k]) if k in touched else line for k, line in enumerate(lines) if k not in touched or kept[k])
+
+
 def _id(doc: str, line: str) -> Column:
     return (F.col(doc).cast("decimal(20,0)") * F.lit(_LINES) + F.col(line)).cast("decimal(38,0)")
 
@@ -160,3 +238,74 @@ def _sets(least_words: int):
                     [batch.column(0).take(pa.array(texts.first_row + text)), pa.array(line.astype(np.int32)), list_array(sets, pa.int64())],
                     names=["doc_id", "line", "full"])
     return run
+
+
+def _slid(values: np.ndarray, width: int, pick: Callable) -> np.ndarray:
+    """``pick`` over each ``width`` neighbours."""
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        values, span = pick(values[:-step], values[step:]), span + step
+    return values
+
+
+def _winnowed(words: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of half of ``least`` words, and the places of those that are the least of all in some run of ``least`` words."""
+    n = least // 2
+    if len(words.hashes) < least:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    grams, width = ngrams(words.hashes, n), least - n + 1
+    low = _slid(grams, width, np.minimum)
+    end = np.repeat(words.first[1:], np.diff(words.first))[: len(low)]
+    low = np.where(np.arange(len(low)) + least <= end, low, np.uint64(0))  # no run crosses the end of a text
+    rim = np.zeros(width - 1, np.uint64)
+    top = _slid(np.concatenate([rim, low, rim]), width, np.maximum)
+    return grams, np.flatnonzero((top == grams) & (top > 0))
+
+
+def _lines_of(texts: Texts, words: Words, at: np.ndarray) -> np.ndarray:
+    """Line numbers, in their texts, of the words at some places."""
+    feeds = np.flatnonzero(texts.data == 10)
+    text = np.searchsorted(words.first, at, "right") - 1
+    return np.searchsorted(feeds, words.starts[at]) - np.searchsorted(feeds, texts.bounds[text])
+
+
+def _marks(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in text_blocks(batch.column(1)):
+                words = words_of(texts, lower=True)
+                grams, at = _winnowed(words, least)
+                text = np.searchsorted(words.first, at, "right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(texts.first_row + text)), pa.array(_lines_of(texts, words, at).astype(np.int32)),
+                     pa.array(grams[at].astype(np.int64))], names=["doc_id", "line", "mark"])
+    return run
+
+
+def _windows(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in text_blocks(batch.column(2)):
+                words = words_of(texts, lower=True)
+                grams, chosen = _winnowed(words, least)
+                if not len(chosen):
+                    continue
+                hashes, lines = ngrams(words.hashes, least), _lines_of(texts, words, np.arange(len(words.hashes)))
+                for k in range(len(texts)):
+                    row, a, b = texts.first_row + k, words.first[k], words.first[k + 1]
+                    near = chosen[np.searchsorted(chosen, a): np.searchsorted(chosen, b)]
+                    near = near[np.isin(grams[near].astype(np.int64), batch.column(3)[row].values.to_numpy())]
+                    if not len(near):
+                        continue
+                    edges = np.zeros(b - a + 1, np.int64)  # windows that hold a shared n-gram
+                    np.add.at(edges, np.maximum(near - (least - least // 2), a) - a, 1)
+                    np.add.at(edges, near + 1 - a, -1)
+                    cut = np.concatenate([[0], np.cumsum(np.isin(lines[a:b], batch.column(4)[row].values.to_numpy()))])
+                    at = np.flatnonzero((np.cumsum(edges)[: b - a - least + 1] > 0) & (cut[least:] == cut[: b - a - least + 1]))
+                    line = lines[a + at]
+                    ints = [at, line, at - np.searchsorted(lines[a:b], line), lines[a + at + least - 1]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), batch.column(c)[row].as_py(), np.int64)) for c in (0, 1)] + [pa.array(x.astype(np.int32)) for x in ints]
+                        + [pa.array(hashes[a + at].astype(np.int64))], names=["doc_id", "content", "at", "line", "word", "end_line", "window"])
+    return run

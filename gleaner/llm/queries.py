@@ -67,8 +67,8 @@ def op5_language_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op6_paragraph_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs with near copies; all but the first of each component are removed."""
-    return paragraphs.repeats(_documents(spark, d))
+    """Paragraphs with near copies and passages that stand earlier; all but the first of each are removed."""
+    return paragraphs.all_repeats(_documents(spark, d))
 
 
 def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:

@@ -58,3 +58,53 @@ def test_odd_rows(spark):
     assert got == plain([(r[0], r[1]) for r in rows])
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert P.without_repeats(empty, P.repeats(empty)).count() == 0
+
+
+def plain_passages(rows, removed):
+    """``doc_id`` and place, in words of the text, of all words in windows that stand earlier, among lines that stay."""
+    first, again = {}, set()
+    for i, t in sorted(rows):
+        tokens = [(w, k) for k, line in enumerate(t.split("\n")) for w in words(lower(line))]
+        for p in range(len(tokens) - P.PASSAGE + 1):
+            if any((i, k) in removed for _, k in tokens[p: p + P.PASSAGE]):
+                continue
+            d, q = first.setdefault(tuple(w for w, _ in tokens[p: p + P.PASSAGE]), (i, p))
+            if d != i or p >= q + P.PASSAGE:
+                again |= {(i, p + x) for x in range(P.PASSAGE)}
+    return again
+
+
+def test_passage_inside_longer_lines(spark, tmp_path):
+    from gleaner.llm import queries
+    own = lambda i, n: " ".join(f"own{i}x{k}" for k in range(n))
+    passage = [f"Shared{k}" for k in range(52)]
+    wrapped = "\n".join(" ".join(passage[k: k + 10]) for k in range(0, 52, 10))
+    rows = [(1, f"{own(1, 60)} {' '.join(passage)} {own(2, 36)}"), (2, f"head\n\n{own(3, 30)} {' '.join(passage)} {own(4, 250)}\nend"),
+            (3, f"{own(5, 30)} {' '.join(passage[:49])} {own(6, 30)}"), (4, f"start\n{wrapped}\nend"), (5, f"{own(7, 30)} {' '.join(passage).lower()}"),
+            (6, "a " * 200), (7, "b " * 60), (8, None), (9, f"{' '.join(passage)} {own(8, 99)} {' '.join(passage)}")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op6_paragraph_dedup(spark, str(tmp_path)).collect()
+    got = {(r["doc_id"], r["line"], r["word"], r["n_words"], r["end_line"], r["first_doc_id"], r["first_line"], r["first_word"], r["removed"]) for r in out}
+    first = (1, 0, 60, True)
+    assert got == {(2, 2, 30, 52, 2, *first), (4, 1, 0, 52, 6, *first), (5, 0, 30, 52, 0, *first), (6, 0, 50, 150, 0, 6, 0, 0, True),
+                   (9, 0, 0, 52, 0, *first), (9, 0, 151, 52, 0, *first)}
+    left = {r["doc_id"]: r["text"] for r in P.without_all(table, spark.createDataFrame(out)).collect()}
+    assert left[1] == rows[0][1] and left[3] == rows[2][1] and left[4] == "start\nend" and left[8] is None
+    assert left[2] == f"head\n\n{own(3, 30)} {own(4, 250)}\nend" and left[5] == own(7, 30) and left[6].split() == ["a"] * 50 and left[9] == " " + own(8, 99)
+
+
+def test_passages_equal_plain_windows(spark):
+    docs = documents()
+    rows = [(i, t) for i, t in zip(docs["doc_id"].tolist(), docs["text"], strict=True)]
+    tokens = rows[3][1].split()
+    rows += [(10 ** 6 + k, f"{' '.join(t.split()[:70])} {' '.join(rows[k][1].split()[5: 90])}") for k, (_, t) in enumerate(rows[100:130])] + [(2 * 10 ** 6, " ".join(tokens[::-1] + tokens))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = P.repeats(table).localCheckpoint()
+    removed = {(r["doc_id"], r["line"]) for r in found.where("removed").collect()}
+    got = set()
+    for r in P.passages(table, found).collect():
+        text = dict(rows)[r["doc_id"]].split("\n")
+        at = sum(len(words(x)) for x in text[: r["line"]]) + r["word"]
+        got |= {(r["doc_id"], at + x) for x in range(r["n_words"])}
+    assert got and got == plain_passages(rows, removed)
