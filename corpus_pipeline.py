@@ -30,7 +30,7 @@ def line_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the text. Documents of which nothing but white space is left go.
     """
-    left = line_dedup.without_shared(docs, line_dedup.shared_lines(docs.select("doc_id", "text")))
+    left = line_dedup.without_shared(docs, line_dedup.every_shared(docs.select("doc_id", "text")))
     cut = F.col(line_dedup.REMOVED) > 0
     left = left.where(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)

@@ -7,6 +7,11 @@ earliest document that holds one of its seeds, never with all of them: a seed
 that a third of all documents share makes one pair for each. Linked documents
 are aligned by patience diff on the line hashes, and blocks of equal lines of at
 least ``LEAST_CHARS`` characters are deleted from the document with the larger id.
+
+Alignment passes over lines that stand in another order or more than once. So each
+seed that an earlier document holds is then deleted wherever it stands
+(``every_shared``). For this, seeds also end at each line, so that they cover
+every run of ``LEAST_CHARS`` characters to its last line.
 """
 
 from __future__ import annotations
@@ -50,6 +55,23 @@ def shared_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
             .select("doc_id", "content", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed")))
 
 
+def every_shared(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """``shared_lines`` and, beside it, every run of lines of ``least_chars`` characters that an earlier document holds.
+
+    Of such a run all copies go, in any order and number. Blank lines don't count
+    when runs are compared; those inside a shortest run that starts or ends at a line go with
+    it, others may stay. The earliest document that holds a line keeps it.
+    """
+    lines = stored(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), _content(), F.col("text").cast("string")).mapInArrow(
+        _scan_runs(least_chars), "doc_id long, content long, seed long, start int, end int"))
+    firsts = lines.groupBy("seed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("seed", "first")
+    runs = (lines.join(firsts, "seed").where("doc_id <> first").groupBy("doc_id", "content")
+            .agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("end") - 1)))).alias("again")))
+    return (shared_lines(docs, least_chars).join(runs, ["doc_id", "content"], "left")
+            .select("doc_id", "content", "n_lines", F.when(F.col("again").isNull(), F.col("removed")).otherwise(
+                F.array_sort(F.array_union("removed", "again"))).alias("removed")))
+
+
 def without_shared(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with the lines that ``shared_lines`` found taken out of ``text``.
 
@@ -118,6 +140,42 @@ def _lines(texts: Texts, least_chars: int) -> tuple[list, list, list]:
     return out
 
 
+def _scan_runs(least_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in text_blocks(batch.column(2)):
+                hashes, chars, _ = _lines(texts, least_chars)
+                sizes = [len(h) for h in hashes]
+                text, at, end, seed = _runs(np.concatenate(hashes).astype(np.uint64), np.concatenate(chars).astype(np.int64), np.array(sizes), least_chars)
+                rows = pa.array(texts.first_row + text)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(seed.astype(np.int64)), pa.array(at.astype(np.int32)),
+                     pa.array(end.astype(np.int32))], names=["doc_id", "content", "seed", "start", "end"])
+    return run
+
+
+def _runs(hashes: np.ndarray, chars: np.ndarray, sizes: np.ndarray, least_chars: int) -> tuple[np.ndarray, ...]:
+    """Text, first and end line, and hash of each shortest run that starts or ends at a line and has the characters."""
+    text_of, base = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([[0], np.cumsum(sizes)])
+    full = np.flatnonzero(chars)
+    total = np.concatenate([[0], np.cumsum(chars[full])])
+    ahead = np.searchsorted(total, total[:-1] + least_chars, "left")
+    back = np.searchsorted(total, total[1:] - least_chars, "right") - 1
+    each = np.arange(len(full))
+    first, end = np.concatenate([each, np.maximum(back, 0)]), np.concatenate([ahead, each + 1])
+    kept = (end <= len(full)) & np.concatenate([np.full(len(full), True), back >= 0])
+    first, end = first[kept], end[kept]
+    same = text_of[full[first]] == text_of[full[end - 1]]
+    first, end = np.unique(np.stack([first[same], end[same]], axis=1), axis=0).T
+    seed, active, step = np.zeros(len(first), np.uint64), np.arange(len(first)), 0
+    while len(active):
+        seed[active] = mixed(seed[active] + hashes[full[first[active] + step]])
+        step += 1
+        active = active[first[active] + step < end[active]]
+    text = text_of[full[first]]
+    return text, full[first] - base[text], full[end - 1] + 1 - base[text], seed >> np.uint64(1)
+
+
 def _align(least_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

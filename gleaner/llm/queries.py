@@ -29,7 +29,7 @@ def _held_out(folds: int, fold: int) -> Column:
 def op1_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Lines that each document loses, and a digest of the text that it keeps."""
     docs = _documents(spark, d).select("doc_id", "text")
-    left = line_dedup.without_shared(docs, line_dedup.shared_lines(docs))
+    left = line_dedup.without_shared(docs, line_dedup.every_shared(docs))
     return left.select("doc_id", F.col(line_dedup.REMOVED).alias("n_removed"), F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

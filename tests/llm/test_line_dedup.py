@@ -110,3 +110,53 @@ def test_odd_rows(spark):
     assert left[0]["v"] == "v" and left[0]["id"] == 7
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert L.without_shared(empty, L.shared_lines(empty)).count() == 0
+
+
+def plain_runs(rows, least):
+    """Lines, and blank lines between them, of all runs of enough characters that an earlier document holds; ids must differ."""
+    def all_runs(text):
+        full = [(k, x) for k, x in enumerate(text.split("\n")) if x]
+        for i in range(len(full)):
+            for j in range(i + 1, len(full) + 1):
+                if sum(len(x) for _, x in full[i:j]) >= least:
+                    yield tuple(x for _, x in full[i:j]), range(full[i][0], full[j - 1][0] + 1)
+    first = {}
+    for i, t in sorted(rows):
+        for run, _ in all_runs(t):
+            first.setdefault(run, i)
+    return {i: sorted({k for run, places in all_runs(t) if first[run] < i for k in places}) for i, t in rows}
+
+
+def of_query(spark, folder, rows):
+    """What the registered query removes: number of lines and what is left, by document."""
+    import hashlib
+
+    from gleaner.llm import queries
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    kept = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in queries.op1_line_dedup(spark, folder).collect()}
+    return kept, lambda text: hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_no_shared_run_stays(spark, tmp_path):
+    a, b, c, tail = "a" * 71, "b" * 53, "c" * 65, "t" * 10
+    rows = [(1, f"{a}\n{b}\nx\n{c}\ny"), (2, f"{b}\nother\n{a}"), (3, f"p\n{c}\nq\n{c}\nr\n{c}\ns"), (4, "z" * 60), (5, "z" * 60 + f"\n{tail}"),
+            (6, "k\n" + "z" * 60 + f"\n{tail}\nm")]
+    kept, digest = of_query(spark, str(tmp_path), rows)
+    assert kept == {1: (0, digest(rows[0][1])), 2: (1, digest(f"{b}\nother")), 3: (3, digest("p\nq\nr\ns")), 4: (0, digest(rows[3][1])),
+                    5: (1, digest(tail)), 6: (2, digest("k\nm"))}
+
+
+def test_every_shared_equals_all_runs(spark):
+    random.seed(5)
+    pool = ["a" * 30, "b" * 25, "c" * 70, "dd", "e" * 10, "", "f" * 61, "é" * 20, "g" * 40]
+    rows = [(i, "\n".join(random.choice(pool) for _ in range(random.randint(0, 14)))) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: set(r["removed"]) for r in L.every_shared(table).collect()}
+    aligned, runs_ = plain(rows, L.LEAST_CHARS), plain_runs(rows, L.LEAST_CHARS)
+    more = 0
+    for i, t in rows:
+        full = {k for k, x in enumerate(t.split("\n")) if x}
+        expected = set(aligned[i]) | set(runs_[i])
+        assert got[i] & full == expected & full and got[i] <= expected  # a blank line between two runs may stay
+        more += len(expected & full - set(aligned[i]))
+    assert more
