@@ -153,12 +153,11 @@ def test_supervised_quota(spark):
     assert initial.by_type_quota(tokens, 6).count() == 6
 
 
-@pytest.mark.parametrize("hot", [1, 10**6])
-def test_nnp_frequency(spark, hot):
+def test_nnp_frequency(spark):
     sents = {0: [("x", "NNP"), ("y", "NN")], 1: [("x", "NN"), ("z", "NNPS")], 2: [("x", "NNP"), ("z", "NNP")], 3: [("q", "DT")]}
     tokens = spark.createDataFrame(
         [(i, t, w, p) for i, s in sents.items() for t, (w, p) in enumerate(s)], "sid long, tid long, token string, pos string")
-    found = {r["sid"]: r["score"] for r in initial.nnp_frequency(tokens, 4, hot).collect()}
+    found = {r["sid"]: r["score"] for r in initial.nnp_frequency(tokens, 4).collect()}
     assert found == pytest.approx({0: 2 / 3, 1: 0.5, 2: (2 / 3 + 0.5) / 2, 3: 0.0})
 
 
