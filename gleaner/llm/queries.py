@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bytecnn, chat, decontaminate, language, licenses, line_dedup, minhash, mixing, paragraphs, rules
+from gleaner.llm import bytecnn, chat, decontaminate, language, licenses, line_dedup, minhash, mixing, paragraphs, rules, wordcnn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,7 +101,16 @@ def op10_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", _held_out(3, 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op13_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    """Toxicity score of each document, learned from the labels that are not held out."""
+    docs = _documents(spark, d)
+    labels = _table(spark, d, "labels").where(~_held_out(5, 0)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    out = wordcnn.score(docs, wordcnn.learn(labels, docs.select("doc_id", "text", "lang")))
+    return out.select("doc_id", _held_out(5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "lang_guess")
+
+
 def queries() -> dict[str, Query]:
     found = (op1_line_dedup, op2_chat_formatting, op3_license_scan, op4_benchmark_decontamination, op5_language_id, op6_paragraph_dedup,
-             op7_quality_rules, op8_source_mixing, op9_minhash_near_dedup, op10_quality_classifier)
+             op7_quality_rules, op8_source_mixing, op9_minhash_near_dedup, op10_quality_classifier,
+             op13_toxicity)
     return {f.__name__: f for f in found}

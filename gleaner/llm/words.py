@@ -113,9 +113,9 @@ def words_of(texts: Texts, lower: bool = False, breaks: np.ndarray = SPACES) ->
     return Words(hashes, starts, ends, np.searchsorted(starts, bounds))
 
 
-def spans_hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def spans_hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """Hashes of byte spans that are in order and don't overlap."""
-    return _hashed(data, starts, ends, _SAME)
+    return _hashed(data, starts, ends, _LOWER if lower else _SAME)
 
 
 def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
