@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bytecnn, chat, decontaminate, language, licenses, line_dedup, minhash, mixing, paragraphs, rules, wordcnn
+from gleaner.llm import bytecnn, chat, decontaminate, language, licenses, line_dedup, minhash, mixing, paragraphs, rules, whitening, wordcnn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,6 +101,13 @@ def op10_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", _held_out(3, 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op11_embedding_whitening(spark: SparkSession, d: str) -> DataFrame:
+    """First eight whitened components of each vector."""
+    points = whitening.usable(_table(spark, d, "embeddings"))
+    out = whitening.whitened(points, whitening.fit(points))
+    return out.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 def op13_toxicity(spark: SparkSession, d: str) -> DataFrame:
     """Toxicity score of each document, learned from the labels that are not held out."""
     docs = _documents(spark, d)
@@ -112,5 +119,5 @@ def op13_toxicity(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (op1_line_dedup, op2_chat_formatting, op3_license_scan, op4_benchmark_decontamination, op5_language_id, op6_paragraph_dedup,
              op7_quality_rules, op8_source_mixing, op9_minhash_near_dedup, op10_quality_classifier,
-             op13_toxicity)
+             op11_embedding_whitening, op13_toxicity)
     return {f.__name__: f for f in found}
