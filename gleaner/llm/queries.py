@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bytecnn, chat, decontaminate, language, licenses, line_dedup, minhash, mixing, paragraphs, rules, whitening, wordcnn
+from gleaner.llm import bytecnn, chat, decontaminate, language, licenses, line_dedup, minhash, mixing, negatives, paragraphs, rules, whitening, wordcnn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,6 +108,12 @@ def op11_embedding_whitening(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("deviation", F.expr("try_cast(deviation as long)"))
 
 
+def op12_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh label is moved on first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(negatives.usable(_table(spark, d, "embeddings"), label), F.col("vec_id") % 100 == 0)
+
+
 def op13_toxicity(spark: SparkSession, d: str) -> DataFrame:
     """Toxicity score of each document, learned from the labels that are not held out."""
     docs = _documents(spark, d)
@@ -119,5 +125,5 @@ def op13_toxicity(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (op1_line_dedup, op2_chat_formatting, op3_license_scan, op4_benchmark_decontamination, op5_language_id, op6_paragraph_dedup,
              op7_quality_rules, op8_source_mixing, op9_minhash_near_dedup, op10_quality_classifier,
-             op11_embedding_whitening, op13_toxicity)
+             op11_embedding_whitening, op12_hard_negatives, op13_toxicity)
     return {f.__name__: f for f in found}

@@ -111,5 +111,26 @@ select doc_id, r.source, r.lang, r.topic, n_tokens, round(weight, 6) as cell_wei
 from rows_of r join probs using (source, lang, topic)"""
 
 
+_NEGATIVES = """
+with rows_of as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda c: floor(256 * c::double)) as x
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+), points as (select * from rows_of qualify row_number() over (partition by vec_id order by label, x) = 1),
+pairs as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, cast(list_inner_product(a.x, b.x) as bigint) as score
+  from points a join points b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+), positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from pairs where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+)
+select p.anchor_id, p.positive_id, cast(row_number() over w as integer) as rank, n.other_id as negative_id, p.positive_score, n.score as negative_score
+from positives p join pairs n on p.anchor_id = n.anchor_id and not n.same and 100 * n.score between 30 * p.positive_score and 90 * p.positive_score
+window w as (partition by p.anchor_id, p.positive_id order by n.score desc, n.other_id)
+qualify row_number() over w <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": _CHAT, "op7_quality_rules": _RULES, "op8_source_mixing": _mixing(), "op9_minhash_near_dedup": _NEAR}
+    return {"op2_chat_formatting": _CHAT, "op7_quality_rules": _RULES, "op8_source_mixing": _mixing(), "op9_minhash_near_dedup": _NEAR,
+            "op12_hard_negatives": _NEGATIVES}
