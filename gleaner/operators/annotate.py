@@ -31,6 +31,13 @@ def tokens(gold: DataFrame, labelled: DataFrame, picks: DataFrame) -> DataFrame:
     return kept.unionByName(new)
 
 
+def additions(gold: DataFrame, labelled: DataFrame, picks: DataFrame) -> DataFrame:
+    """What revealing the picks, ``(sid)`` or ``(sid, tid)``, adds to ``labelled``: ``(sid, tid, tag)``."""
+    on = [c for c in ("sid", "tid") if c in picks.columns]
+    new = gold.join(picks.select(*on).distinct(), on, "left_semi").select("sid", "tid", "tag")
+    return new.join(labelled.select("sid", "tid"), ["sid", "tid"], "left_anti")
+
+
 def repeated(gold: DataFrame, labelled: DataFrame, picks: DataFrame) -> DataFrame:
     """Picked tokens that already carry their gold tag."""
     return (

@@ -1,18 +1,29 @@
 """Initial sets where every pick changes the scores of what is left.
 
-Both rules share one property: a row's score only falls as picks are made. An
-old score is therefore an upper bound, and a pass can settle many picks on the
-few best rows alone, as long as each pick still beats the old score of the best
-row outside. Then Spark rescores everything against the picks so far. The
-result equals rescoring after every single pick.
-
-The driver holds the picked ids and, during a pass, the terms of ``batch``
-rows; the table itself never leaves the cluster.
+Both rules share two properties. A row's score only falls as picks are made, so
+an old score is an upper bound. And a pick changes a row only through terms that
+the row's score rests on at the time: its heaviest terms, or those not covered
+yet. So picks need not be made one after another:
+
+* A turn takes the ``head``, the best rows by their old scores, and scores them
+  afresh. Rows that still beat whatever is outside the head are live.
+* A live row that no better live row shares such a term with is picked with the
+  score it has: whatever is picked before it leaves it alone. All such rows are
+  picked in one turn, by a minimum for each term and a join.
+* Where rows stand in each other's way, as at the start, when all texts share
+  their frequent terms, few are picked so. Then the best ``batch`` live rows are
+  settled on the driver instead, pick by pick.
+
+No more rows are live at a time than picks are left, so every pick is one of the
+wanted set, and their order is that of their scores. The result equals
+rescoring everything after every single pick. Old scores, counts and picks stay
+tables; the driver sees the terms of ``batch`` rows at most.
 """
 
 from __future__ import annotations
 
 import heapq
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,27 +31,33 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.hashing import uniform
 from gleaner.functions.tags import is_entity
-from gleaner.operators.skew import at_most, cut_lineage
+from gleaner.operators.skew import at_most, cut_lineage, positions
 from gleaner.operators.tfidf import Vectorizer, tfidf
 from gleaner.operators.topk import By, first_k
 
+log = logging.getLogger(__name__)
+
 # Terms of one row as (term, weight, times the term was picked so far).
 RowTerms = list[tuple[str, float, int]]
 
+FEW = 8
+"""Where fewer rows than one in so many of ``batch`` are picked at once, the best are settled one by one."""
+
 
 def without_repeats(
     texts: DataFrame, size: int, top_k: int = 5, how: Vectorizer = Vectorizer(ngrams=(1, 1), stop_words="english"),
     batch: int = 128,
 ) -> DataFrame:
-    """Best TF-IDF mean first; a pick halves the weights of its terms everywhere."""
+    """Best TF-IDF mean first; a pick halves the weights of its terms everywhere: ``(step, sid, score)``."""
 
-    def rescore(weights: DataFrame) -> DataFrame:
-        faded = weights.select("sid", (F.col("w") * F.pow(F.lit(2.0), -F.col("c"))).alias("w"))
-        by_weight = Window.partitionBy("sid").orderBy(F.col("w").desc())
-        everything = Window.partitionBy("sid")
-        ranked = faded.withColumn("r", F.row_number().over(by_weight)).withColumn("s", F.sum("w").over(everything))
-        return ranked.where(F.col("r") <= top_k).groupBy("sid").agg(
-            F.when(F.max("s") < 1e-6, 0.0).otherwise(F.avg("w")).alias("score"))
+    def judged(weights: DataFrame) -> DataFrame:
+        of_row = Window.partitionBy("sid")
+        faded = weights.withColumn("f", F.col("w") * F.pow(F.lit(2.0), -F.col("c")))
+        ranked = faded.withColumn("r", F.row_number().over(of_row.orderBy(F.col("f").desc(), "term")))
+        ranked = ranked.withColumns({"s": F.sum("f").over(of_row), "top": F.avg(F.when(F.col("r") <= top_k, F.col("f"))).over(of_row)})
+        # A row of almost nothing rests on all of its terms, as their sum decides whether it counts.
+        return ranked.select("sid", "term", "w", "c", F.when(F.col("s") < 1e-6, 0.0).otherwise(F.col("top")).alias("score"),
+                             ((F.col("r") <= top_k) | (F.col("top") < 2e-6)).alias("rests"))
 
     def score(terms: RowTerms) -> float:
         faded = sorted((w * 0.5**c for _, w, c in terms), reverse=True)
@@ -50,18 +67,18 @@ def without_repeats(
         return round(sum(best) / len(best), 9)
 
     weights = tfidf(texts, how)
-    return _pick(texts.select("sid"), weights, size, rescore, score, F.col("sid"), batch)
+    return _pick(texts.select("sid"), weights, size, judged, score, F.col("sid"), batch)
 
 
 def cover(tokens: DataFrame, size: int, seed: int = 1, batch: int = 128) -> DataFrame:
-    """``tokens(sid, tid, token, tag)``: most entity tokens with a text not seen yet.
+    """``tokens(sid, tid, token, tag)``: most entity tokens with a text not seen yet: ``(step, sid, score)``.
 
     Equal counts are ordered by a seeded hash of the id.
     """
 
-    def rescore(weights: DataFrame) -> DataFrame:
-        return weights.groupBy("sid").agg(
-            F.sum(F.when(F.col("c") == 0, F.col("w")).otherwise(0.0)).alias("score"))
+    def judged(weights: DataFrame) -> DataFrame:
+        fresh, of_row = F.col("c") == 0, Window.partitionBy("sid")
+        return weights.select("sid", "term", "w", "c", F.sum(F.when(fresh, F.col("w")).otherwise(0.0)).over(of_row).alias("score"), fresh.alias("rests"))
 
     def score(terms: RowTerms) -> float:
         return sum(w for _, w, c in terms if c == 0)
@@ -72,67 +89,131 @@ def cover(tokens: DataFrame, size: int, seed: int = 1, batch: int = 128) -> Data
         .agg(F.count(F.lit(1)).cast("double").alias("w"))
     )
     ids = tokens.select("sid").distinct()
-    return _pick(ids, weights, size, rescore, score, uniform(seed, "sid"), batch)
+    return _pick(ids, weights, size, judged, score, uniform(seed, "sid"), batch)
 
 
 def _pick(
     ids: DataFrame,
     weights: DataFrame,
     size: int,
-    rescore: Callable[[DataFrame], DataFrame],
+    judged: Callable[[DataFrame], DataFrame],
     score: Callable[[RowTerms], float],
     tie: Column,
     batch: int,
 ) -> DataFrame:
+    """``weights(sid, term, w)``; ``judged`` adds to such rows with counts ``c`` the row's ``score`` and whether it ``rests`` on the term."""
     spark = ids.sparkSession
     weights = cut_lineage(weights)
-    schema = "step int, sid long, score double"
-    picks: list[tuple[int, int, float]] = []
-
-    while len(picks) < size:
-        picked = spark.createDataFrame(picks, schema)
-        # How often each term has been picked; terms never picked have no row.
-        counts = (
-            weights.join(at_most(picked, len(picks)), "sid", "left_semi")
-            .groupBy("term").agg(F.count(F.lit(1)).cast("int").alias("c"))
-        )
-        counted = weights.join(counts, "term", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-        fresh = (
-            ids.join(rescore(counted), "sid", "left")
-            .join(at_most(picked.select("sid"), len(picks)), "sid", "left_anti")
-            .select("sid", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"), tie.alias("tie"))
-        )
-        best = first_k(fresh, [By("score", True), By("tie"), By("sid")], batch + 1)
-        best = sorted((-r["score"], r["tie"], r["sid"]) for r in best.collect())
-        if not best:
-            break
-        outside = best[batch] if len(best) > batch else None
-        inside = best[:batch]
-        wanted = spark.createDataFrame([(sid,) for _, _, sid in inside], "sid long")
-        terms: dict[int, list[list]] = {sid: [] for _, _, sid in inside}
-        near = weights.join(F.broadcast(wanted), "sid", "left_semi")
-        for r in near.join(counts, "term", "left").select("sid", "term", "w", F.coalesce("c", F.lit(0)).alias("c")).collect():
-            terms[r["sid"]].append([r["term"], r["w"], r["c"]])
-        picks += _settle(inside, outside, terms, score, size - len(picks), len(picks))
-    return spark.createDataFrame(picks, schema)
-
-
-def _settle(inside, outside, terms, score, wanted, done):
-    """Picks that are certain from the rows at hand; at least one."""
+    first = judged(weights.withColumn("c", F.lit(0))).groupBy("sid").agg(F.first("score").alias("score"))
+    pool = cut_lineage(ids.join(first, "sid", "left").select("sid", tie.alias("tie"), _rounded("score")))
+    left = pool.count()
+    # How often each term has been picked; terms never picked have no row.
+    counts = spark.createDataFrame([], "term string, c int")
+    picks: list[DataFrame] = []
+    done, turn, rows = 0, 0, 4 * batch
+    while done < size and left:
+        turn += 1
+        head = cut_lineage(first_k(pool, _ORDER, rows)) if rows < left else pool
+        own = weights.join(at_most(head.select("sid"), rows), "sid", "left_semi") if rows < left else weights.join(head.select("sid"), "sid", "left_semi")
+        near = cut_lineage(judged(own.join(counts, "term", "left").withColumn("c", F.coalesce("c", F.lit(0)))))
+        scored = near.groupBy("sid").agg(F.first("score").alias("score"))
+        fresh = cut_lineage(head.select("sid", "tie").join(scored, "sid", "left").select("sid", "tie", _rounded("score"), _key().alias("k")))
+        live = fresh.where(F.col("k") <= _literal(fresh, head.agg(F.max(_key())).first()[0])) if rows < left else fresh
+        n_live = live.count()
+        taken, how = 0, "nothing live"
+        if n_live:
+            own_live = cut_lineage(first_k(live, _ORDER, size - done)) if n_live > size - done else live
+            new, how = cut_lineage(_dominant(own_live, near)), "all at once"
+            taken = new.count()
+            if FEW * taken < min(batch, n_live):
+                new, how = _settled(live, near, score, size - done, batch, head if rows < left else None), "one by one"
+                taken = new.count()
+            picks.append(new)
+        log.info("greedy turn %d: %d of %d rows looked at, %d live, %d picked %s", turn, min(rows, left), left, n_live, taken, how)
+        if taken:
+            gone = at_most(new.select("sid"), taken)
+            added = near.join(gone, "sid", "left_semi").groupBy("term").agg(F.count(F.lit(1)).cast("int").alias("c"))
+            counts = cut_lineage(counts.unionByName(added).groupBy("term").agg(F.sum("c").cast("int").alias("c")))
+            fresh = fresh.join(gone, "sid", "left_anti")
+        rest = pool.join(at_most(head.select("sid"), rows), "sid", "left_anti") if rows < left else None
+        fresh = fresh.select("sid", "tie", "score")
+        pool = cut_lineage(fresh if rest is None else rest.unionByName(fresh))
+        done, left = done + taken, left - taken
+        if 4 * n_live < rows or how == "all at once":  # old scores are far off, or there is room for more at once
+            rows = min(rows * 4, max(left, batch))
+        if len(picks) > 16:  # keep plans short
+            picks = [cut_lineage(_union(picks))]
+    if not picks:
+        return spark.createDataFrame([], "step int, sid long, score double")
+    return _numbered(_union(picks))
+
+
+_ORDER = [By("score", True), By("tie"), By("sid")]
+
+
+def _rounded(c: str) -> Column:
+    return F.round(F.coalesce(F.col(c), F.lit(0.0)), 9).alias(c)
+
+
+def _key() -> Column:
+    """Smaller is picked earlier."""
+    score = F.round(F.coalesce(F.col("score"), F.lit(0.0)), 9)
+    return F.struct((-score).alias("down"), F.col("tie").alias("tie"), F.col("sid").alias("sid"))
+
+
+def _literal(fresh: DataFrame, key) -> Column:
+    kind = fresh.schema["k"].dataType
+    return F.struct(*[F.lit(key[name]).cast(kind[name].dataType).alias(name) for name in ("down", "tie", "sid")])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _numbered(picks: DataFrame) -> DataFrame:
+    """Steps by score; picks are dealt to ranges where they are many."""
+    ordered = picks.select("sid", "score", "tie", (-F.col("score")).alias("_down"), F.lit(0).alias("_all"))
+    placed = positions(ordered, ["_all"], ["_down", "tie", "sid"], "step")
+    return placed.select((F.col("step") + 1).cast("int").alias("step"), "sid", "score")
+
+
+def _dominant(live: DataFrame, near: DataFrame) -> DataFrame:
+    """Live rows that no better live row shares a term with that their score rests on: ``(sid, tie, score)``."""
+    terms = near.select("sid", "term", "rests").join(live.select("sid", "k"), "sid")
+    best = terms.groupBy("term").agg(F.min("k").alias("best"))
+    # A frequent term's rows are many on one side only and are split by Spark (AQE, skewed joins).
+    blocked = terms.where("rests").join(best, "term").where(F.col("k") > F.col("best")).select("sid").distinct()
+    return live.join(blocked, "sid", "left_anti").select("sid", "tie", "score")
+
+
+def _settled(live: DataFrame, near: DataFrame, score, wanted: int, batch: int, head: DataFrame | None) -> DataFrame:
+    """Picks that are certain from the best ``batch`` live rows, at least one: ``(sid, tie, score)``."""
+    spark = live.sparkSession
+    rows = sorted((-r["score"], r["tie"], r["sid"]) for r in first_k(live, _ORDER, batch + 1).collect())
+    inside, outside = rows[:batch], rows[batch] if len(rows) > batch else None
+    if outside is None and head is not None:
+        last = head.agg(F.max(_key()).alias("k")).first()["k"]
+        outside = (last["down"], last["tie"], last["sid"])
+    wide = F.broadcast(spark.createDataFrame([(sid,) for _, _, sid in inside], live.select("sid").schema))
+    terms: dict[int, list[tuple]] = {sid: [] for _, _, sid in inside}
+    for r in near.join(wide, "sid", "left_semi").select("sid", "term", "w", "c").collect():
+        terms[r["sid"]].append((r["term"], r["w"], r["c"]))
     extra: dict[str, int] = {}
-    heap = list(inside)
-    heapq.heapify(heap)
+    heapq.heapify(inside)
     picks = []
-    while heap and len(picks) < wanted:
-        _, tie, sid = heapq.heappop(heap)
-        now = score([(t, w, c + extra.get(t, 0)) for t, w, c in terms[sid]])
-        entry = (-now, tie, sid)
-        if heap and entry > heap[0]:
-            heapq.heappush(heap, entry)
+    while inside and len(picks) < wanted:
+        down, tie, sid = heapq.heappop(inside)
+        # The first one has its score from Spark already; sums in another order could differ in the last digit.
+        entry = (-float(score([(t, w, c + extra.get(t, 0)) for t, w, c in terms[sid]])), tie, sid) if picks else (down, tie, sid)
+        if inside and entry > inside[0]:
+            heapq.heappush(inside, entry)
             continue
         if picks and outside is not None and entry > outside:
             break
-        picks.append((done + len(picks) + 1, sid, float(now)))
+        picks.append(entry)
         for t, _, _ in terms[sid]:
             extra[t] = extra.get(t, 0) + 1
-    return picks
+    return spark.createDataFrame([(sid, tie, -down + 0.0) for down, tie, sid in picks], live.select("sid", "tie", "score").schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gleaner import UNKNOWN
@@ -84,3 +84,35 @@ def require_same_lengths(nested: DataFrame, sentences: DataFrame) -> None:
     bad = length_mismatches(nested, sentences).limit(5).collect()
     if bad:
         raise ValueError(f"predictions and tags differ in length, for example {bad}")
+
+
+def key_sum(rows: DataFrame) -> tuple[int, int]:
+    """Number of rows and sum of the hashes of their ``(sid, tid)``: equal for equal sets of keys, and unequal else but for one chance in 2 ** 64."""
+    found = rows.agg(*_key_sum()).first()
+    return found["n"], int(found["h"] or 0)
+
+
+def _key_sum() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("sid", "tid").cast("decimal(38,0)")).alias("h")]
+
+
+def watched(pool: DataFrame) -> tuple[DataFrame, Observation]:
+    """``pool`` with its ``key_sum`` observed in the job that reads it anyway."""
+    seen = Observation()
+    return pool.observe(seen, *_key_sum()), seen
+
+
+def require_same_tokens(seen: Observation, pred: DataFrame, tokens: DataFrame, expected: tuple[int, int]) -> None:
+    """An error, with examples, if predictions and tokens differ in their positions.
+
+    What was observed may count a task twice that was run again, so only the
+    join of both decides; it runs only where the sums differ.
+    """
+    if (seen.get["n"], int(seen.get["h"] or 0)) == expected:
+        return
+    p = pred.groupBy("sid", "tid").agg(F.count(F.lit(1)).alias("n_predictions"))
+    t = tokens.groupBy("sid", "tid").agg(F.count(F.lit(1)).alias("n_tokens"))
+    both = p.join(t, ["sid", "tid"], "full_outer").na.fill(0, ["n_predictions", "n_tokens"])
+    bad = both.where(F.col("n_predictions") != F.col("n_tokens")).limit(5).collect()
+    if bad:
+        raise ValueError(f"predictions and tokens differ, for example {bad}")

@@ -132,6 +132,8 @@ def query(
     k: int,
     seed: int = 1,
     aggregate: Callable[[Column], Column] | None = None,
+    guard: bool = True,
+    expected: tuple[int, int] | None = None,
 ) -> QueryOutput:
     """Run one query strategy at one cost level.
 
@@ -140,14 +142,26 @@ def query(
     may be annotated and two seeds in one run count once. The picks are used
     several times over, so they are computed and stored first: the pool is
     scored once.
+
+    Unless ``guard`` is off, predictions must be there for exactly the positions
+    of ``tokens``; their keys are summed up in the job that scores the pool.
+    ``expected`` is ``key_sum(tokens)`` where the caller knows it already.
     """
+    if level not in LEVELS:
+        raise ValueError(f"unknown level {level!r}")
+    watched, seen = pred, None
+    if guard:
+        expected = expected or P.key_sum(tokens)
+        watched, seen = P.watched(pred.select("sid", "tid") if strategy == RANDOM else pred)
+    if level == SENTENCE:
+        picks = cut_lineage(rank_sentences(watched, labelled, strategy, k, seed, aggregate).select("sid"))
+    else:
+        seeds = cut_lineage(rank_tokens(watched, labelled, strategy, k, seed).select("sid", "tid"))
+    if seen is not None and k > 0:
+        P.require_same_tokens(seen, pred, tokens, expected)
     if level == SENTENCE:
-        picks = cut_lineage(rank_sentences(pred, labelled, strategy, k, seed, aggregate).select("sid"))
         return QueryOutput(picks, labelled, annotate.sentences(tokens, labelled, picks, k))
-    seeds = cut_lineage(rank_tokens(pred, labelled, strategy, k, seed).select("sid", "tid"))
     if level == TOKEN:
         return QueryOutput(seeds, labelled, annotate.tokens(tokens, labelled, seeds))
-    if level == ENTITY:
-        picks = cut_lineage(spans.expand_runs(seeds, tokens, k))
-        return QueryOutput(picks, labelled, annotate.tokens(tokens, labelled, picks))
-    raise ValueError(f"unknown level {level!r}")
+    picks = cut_lineage(spans.expand_runs(seeds, tokens, k))
+    return QueryOutput(picks, labelled, annotate.tokens(tokens, labelled, picks))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,10 +34,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_scratch: list[list[DataFrame]] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows, read back from shared storage."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _scratch:
+        _scratch[-1].append(out)
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``cut_lineage`` stores inside is deleted at the end.
+
+    For a step that leaves its result elsewhere: a frame that still reads such
+    a checkpoint fails afterwards.
+    """
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for df in _scratch.pop():
+            file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+            if file.isDefined():
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def at_most(df: DataFrame, rows: int) -> DataFrame:

@@ -1,13 +1,16 @@
 """Active-learning rounds: annotate, train, score, pick, repeat.
 
-The driver decides what runs next; all rows stay in Spark. After each round the
-labelled tokens are written to shared storage and read back, so a plan never
-grows with the number of rounds and a lost executor costs one round at most.
+The driver decides what runs next; all rows stay in Spark. Each round leaves
+what it added and its record in shared storage (``rounds.RunStore``) before the
+next begins. So a plan never grows with the number of rounds, a lost executor
+costs one step at most, and a run that was ended goes on behind its last whole
+step, by the same call.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
@@ -23,8 +26,10 @@ from gleaner.functions import scores as S
 from gleaner.functions.arrays import after, before
 from gleaner.functions.tags import decode, encode, required_pos
 from gleaner.operators import annotate, greedy, initial, metrics, query, training, vectors
-from gleaner.operators.skew import cut_lineage
+from gleaner.operators import predictions as P
+from gleaner.operators.skew import checkpoint_dir, scratch
 from gleaner.operators.tfidf import Vectorizer
+from gleaner.plans.rounds import BEGUN, LABELLED_STEP, SCORED, RunStore
 from gleaner.sources.corpus import Corpus, dense_ids, to_tokens
 from gleaner.sources.views import text_view
 
@@ -63,12 +68,26 @@ class RunConfig:
     features: int = 1 << 14
     iterations: int = 20
 
+    def __post_init__(self) -> None:
+        if not self.full:
+            if not 0 < self.starting_ratio <= 1:
+                raise ValueError(f"starting_ratio must be above 0 and at most 1, not {self.starting_ratio}")
+            if not self.new_examples or min(self.new_examples) < 0:
+                raise ValueError(f"new_examples must be numbers from 0, one at least, not {self.new_examples}")
+        for name in ("rounds", "top_k", "features", "iterations"):
+            if getattr(self, name) < 1:
+                raise ValueError(f"{name} must be at least 1, not {getattr(self, name)}")
+        for name, known in (("level", query.LEVELS), ("strategy", query.STRATEGIES), ("style", training.STYLES),
+                            ("initial", INITIAL), ("metric", ["bio", "io"])):
+            if getattr(self, name) not in known:
+                raise ValueError(f"unknown {name} {getattr(self, name)!r}; choose from {known}")
+
     def examples(self, round_no: int) -> int:
         return self.new_examples[min(round_no, len(self.new_examples) - 1)]
 
 
 RESULT_SCHEMA = (
-    "round int, dataset string, level string, strategy string, style string, initial string, seed int, "
+    "run string, round int, dataset string, level string, strategy string, style string, initial string, seed int, "
     "starting_ratio double, new_examples int, n_rounds int, n_annotated long, n_non_o long, n_sentences long, "
     "n_tokens long, percentage double, n_training_rows long, n_unmasked long, "
     "distribution array<struct<tag: string, n: long>>, "
@@ -187,45 +206,88 @@ def run(
     fit: Fit = fit_logistic,
     ids: DataFrame | None = None,
     lm_scores: DataFrame | None = None,
+    path: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Run all rounds; returns ``(results, labelled)``.
+    """Run all rounds; returns ``(results, labelled)``, the latter ``(sid, tid, tag, round)``.
 
     A ``sid`` of ``corpus.sentences`` must be unique within each split; without
     one, sentences are numbered by their corpus ids. Draws of later rounds use
     seeds of their own.
     ``results`` has one row per round (``RESULT_SCHEMA``) and is ready to be
     appended to a log.
+
+    The run keeps its sentences, what each round added and its records in the
+    folder ``path`` (by default a new one in the shared folder). Where ``path``
+    holds a run of the same settings, it goes on from there; only ``rounds`` may
+    have grown. What a round stores besides is deleted at its end.
     """
-    tags = corpus.tags
-    sentences = cut_lineage(with_ids(corpus.sentences))
+    if config.metric == "bio" and not any(t.startswith("B-") for t in corpus.tags):
+        raise ValueError("tags without B- need metric='io'")
+    path = path or f"{checkpoint_dir(spark).rstrip('/')}/runs/{uuid.uuid4().hex}"
+    store = RunStore(spark, path)
+    store.tidy()
+    settings = {k: v for k, v in json.loads(json.dumps(asdict(config), sort_keys=True)).items() if k != "rounds"}
+    begun = store.step(BEGUN)
+    if begun and (begun["settings"], begun["tags"]) != (settings, corpus.tags):
+        raise ValueError(f"{path} holds a run of other settings: {begun['settings']}")
+    if not begun:
+        with scratch(spark):
+            store.keep(BEGUN, with_ids(corpus.sentences), settings=settings, tags=corpus.tags, run=uuid.uuid4().hex)
+    sentences, tags = store.data(BEGUN), corpus.tags
     split = {s: sentences.where(F.col("split") == s) for s in ("train", "val_train", "validation", "test")}
     train = split["train"]
     gold = to_tokens(train, tags)
-    chosen = train.select("sid") if config.full else choose_initial(train, tags, config, ids, lm_scores)
-    labelled = cut_lineage(gold.join(chosen.distinct(), "sid", "left_semi").select("sid", "tid", "tag"))
+    if not store.step(LABELLED_STEP):
+        with scratch(spark):
+            chosen = train.select("sid") if config.full else choose_initial(train, tags, config, ids, lm_scores)
+            store.keep(LABELLED_STEP, _typed(gold.join(chosen.distinct(), "sid", "left_semi")))
 
-    records = []
+    expected = None
     for round_no in range(config.rounds):
-        known = labelled.withColumn("tag_id", encode(F.col("tag"), tags))
-        rows = training.materialize(annotate.to_arrays(train, known), config.style)
-        predict = fit(rows, tags, config)
-        stats = metrics.annotation_stats(gold, labelled).first()
-        made = metrics.training_stats(rows).first()
-        spread = [(r["tag"], r["n"]) for r in metrics.tag_distribution(labelled).collect()]
-        scores = []
-        for name in ("validation", "val_train", "test"):
-            found = evaluate(predict(split[name]), to_tokens(split[name], tags), tags, config.metric)
-            scores += [(name, r["type"], r["precision"], r["recall"], r["f1"], r["number"], r["accuracy"])
-                       for r in found.collect()]
-        records.append((
-            round_no, config.dataset, config.level, config.strategy, config.style, config.initial, config.seed,
-            config.starting_ratio, config.examples(round_no), config.rounds, stats["n_annotated"], stats["n_non_o"],
-            stats["n_sentences"], stats["n_tokens"], stats["percentage"], made["n_rows"], made["n_unmasked"],
-            spread, scores, json.dumps(asdict(config), sort_keys=True),
-        ))
-        if not config.full and round_no + 1 < config.rounds:
-            out = query.query(
-                config.level, config.strategy, predict(train), gold, labelled, config.examples(round_no),
-                config.seed + 1_000_003 * round_no)
-            labelled = cut_lineage(out.labelled)
-    return spark.createDataFrame(records, RESULT_SCHEMA), labelled
+        last = config.full or round_no + 1 == config.rounds
+        scored, added = store.step(SCORED, round_no), store.step(LABELLED_STEP, round_no + 1)
+        if scored and (last or added):
+            continue
+        labelled = store.labelled(round_no if not config.full else 0)
+        with scratch(spark):
+            known = labelled.drop("round").withColumn("tag_id", encode(F.col("tag"), tags))
+            rows = training.materialize(annotate.to_arrays(train, known), config.style)
+            predict = fit(rows, tags, config)
+            if not scored:
+                store.commit(SCORED, round_no, record=_record(config, round_no, gold, labelled, rows, predict, split, tags))
+            if not last:
+                expected = expected or P.key_sum(gold)
+                out = query.query(
+                    config.level, config.strategy, predict(train), gold, labelled, config.examples(round_no),
+                    config.seed + 1_000_003 * round_no, expected=expected)
+                store.keep(LABELLED_STEP, _typed(annotate.additions(gold, labelled, out.selections)), round_no + 1)
+    return records(spark, store, config.rounds), store.labelled(0 if config.full else config.rounds - 1)
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("sid").cast("long").alias("sid"), F.col("tid").cast("long").alias("tid"), "tag")
+
+
+def records(spark: SparkSession, store: RunStore, rounds: int) -> DataFrame:
+    """The records of the rounds that are done, as ``RESULT_SCHEMA``; also of a run that is still going on."""
+    run_id = store.step(BEGUN)["run"] if store.step(BEGUN) else None
+    done = [{"run": run_id, **s["record"]} for n in range(rounds) if (s := store.step(SCORED, n))]
+    return spark.createDataFrame(done, RESULT_SCHEMA)
+
+
+def _record(config, round_no, gold, labelled, rows, predict, split, tags) -> dict:
+    stats = metrics.annotation_stats(gold, labelled).first()
+    made = metrics.training_stats(rows).first()
+    scores = []
+    for name in ("validation", "val_train", "test"):
+        found = evaluate(predict(split[name]), to_tokens(split[name], tags), tags, config.metric)
+        scores += [{"split": name, **{k: r[k] for k in ("type", "precision", "recall", "f1", "number", "accuracy")}} for r in found.collect()]
+    return {
+        "round": round_no, "dataset": config.dataset, "level": config.level, "strategy": config.strategy, "style": config.style,
+        "initial": config.initial, "seed": config.seed, "starting_ratio": config.starting_ratio,
+        "new_examples": config.examples(round_no), "n_rounds": config.rounds, "n_annotated": stats["n_annotated"],
+        "n_non_o": stats["n_non_o"], "n_sentences": stats["n_sentences"], "n_tokens": stats["n_tokens"],
+        "percentage": stats["percentage"], "n_training_rows": made["n_rows"], "n_unmasked": made["n_unmasked"],
+        "distribution": [{"tag": r["tag"], "n": r["n"]} for r in metrics.tag_distribution(labelled).collect()],
+        "scores": scores, "config": json.dumps(asdict(config), sort_keys=True),
+    }

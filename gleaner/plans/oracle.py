@@ -469,18 +469,23 @@ ms AS (SELECT sid, round(min(s[1] - s[2]), 9) AS score FROM lm GROUP BY sid)""")
         f"""begun AS MATERIALIZED (SELECT sid FROM (SELECT DISTINCT sid FROM pool) ORDER BY {_u(1, 'sid')}, sid
   LIMIT (SELECT floor(count(DISTINCT sid) * 0.05::DOUBLE)::BIGINT FROM pool))""",
         "lab0 AS MATERIALIZED (SELECT * FROM pool WHERE sid IN (SELECT sid FROM begun))",
-        "freq AS (SELECT word, " + ", ".join(f"count(*) FILTER (WHERE tag_id = {i}) AS n{i}" for i in range(7)) + ", count(*) AS n FROM lab0 GROUP BY word)",
-        "guess AS (SELECT p.sid, p.tid, p.word, p.tag_id, list_reverse_sort([" + ", ".join(
-            f"(coalesce(n{i}, 0) + 1) / (coalesce(n, 0) + 7.0::DOUBLE)" for i in range(7))
-        + "]) AS s FROM pool p LEFT JOIN freq USING (word) WHERE p.sid NOT IN (SELECT sid FROM begun))",
-        f"more AS MATERIALIZED (SELECT * FROM guess ORDER BY round(s[1] - s[2], 9), sid, tid LIMIT {K})",
-        "known AS MATERIALIZED (SELECT sid, tid, tag_id, 0 AS round FROM lab0 UNION ALL SELECT sid, tid, tag_id, 1 FROM more)",
+        "known0 AS MATERIALIZED (SELECT sid, tid, word, tag_id, 0 AS round FROM lab0)",
     ]
+    for n in (1, 2):
+        steps += [
+            f"freq{n} AS (SELECT word, " + ", ".join(f"count(*) FILTER (WHERE tag_id = {i}) AS n{i}" for i in range(7)) + f", count(*) AS n FROM known{n - 1} GROUP BY word)",
+            f"guess{n} AS (SELECT p.sid, p.tid, p.word, p.tag_id, list_reverse_sort([" + ", ".join(
+                f"(coalesce(n{i}, 0) + 1) / (coalesce(n, 0) + 7.0::DOUBLE)" for i in range(7))
+            + f"]) AS s FROM pool p LEFT JOIN freq{n} USING (word) ANTI JOIN known{n - 1} k ON p.sid = k.sid AND p.tid = k.tid)",
+            f"more{n} AS MATERIALIZED (SELECT * FROM guess{n} ORDER BY round(s[1] - s[2], 9), sid, tid LIMIT {K})",
+            f"known{n} AS MATERIALIZED (SELECT * FROM known{n - 1} UNION ALL SELECT sid, tid, word, tag_id, {n} FROM more{n})",
+        ]
+    steps.append("known AS (SELECT * FROM known1)")
     q["al_loop"] = _with(*steps) + f"SELECT sid, tid, {_names(TEXT_TAGS)}[tag_id + 1] AS tag FROM known"
     q["results_log"] = _with(*steps) + """SELECT r.round::INTEGER AS round, 'token' AS level, 'breaking_ties' AS strategy, count(*) AS n_annotated,
   count(*) FILTER (WHERE tag_id > 0) AS n_non_o, count(DISTINCT sid) AS n_sentences,
   round(count(*) * 100 / (SELECT count(*) FROM pool)::DOUBLE, 6) AS percentage
-  FROM known JOIN (VALUES (0), (1)) AS r(round) ON known.round <= r.round CROSS JOIN (VALUES (0), (1)) AS twice(x)
-  GROUP BY r.round, twice.x"""
+  FROM known JOIN (VALUES (0), (1)) AS r(round) ON known.round <= r.round GROUP BY r.round"""
+    q["al_loop_resumed"] = _with(*steps) + f"SELECT sid, tid, {_names(TEXT_TAGS)}[tag_id + 1] AS tag, round::INTEGER AS round FROM known2"
     q["al_round_stats"] = _with(*one) + stats.format("revealed")
     return q

@@ -132,7 +132,7 @@ def _sentence_query(strategy: str) -> Query:
 def _entity_query(strategy: str) -> Query:
     def run(spark, d):
         pred = X.line_predictions(spark, d)
-        out = query.query(query.ENTITY, strategy, pred, pred, X.labelled_tokens(pred), K)
+        out = query.query(query.ENTITY, strategy, pred, pred, X.labelled_tokens(pred), K, guard=False)
         return out.selections
     return run
 
@@ -401,7 +401,7 @@ def init_kmeans_nearest(spark, d):
 
 def _round(spark, d) -> tuple[DataFrame, query.QueryOutput]:
     pred = X.line_predictions(spark, d)
-    return pred, query.query(query.ENTITY, query.BREAKING_TIES, pred, pred, X.labelled_tokens(pred), K)
+    return pred, query.query(query.ENTITY, query.BREAKING_TIES, pred, pred, X.labelled_tokens(pred), K, guard=False)
 
 
 def al_round(spark, d):
@@ -422,10 +422,10 @@ def _frequency_model(rows: DataFrame, tags: list[str], config: loop.RunConfig) -
     return predict
 
 
-def _loop(spark, d) -> tuple[DataFrame, DataFrame]:
+def _loop(spark, d, rounds: int = 2, fit: loop.Fit = _frequency_model, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     rows = X.sentences(spark, d).select("sid", "tokens", "ner_tags", _split_of("sid").alias("split"))
-    config = loop.RunConfig(level=query.TOKEN, strategy=query.BREAKING_TIES, rounds=2, starting_ratio=0.05, new_examples=[K])
-    return loop.run(spark, corpus.Corpus(rows, X.TEXT_TAGS), config, fit=_frequency_model)
+    config = loop.RunConfig(level=query.TOKEN, strategy=query.BREAKING_TIES, rounds=rounds, starting_ratio=0.05, new_examples=[K])
+    return loop.run(spark, corpus.Corpus(rows, X.TEXT_TAGS), config, fit, path=path)
 
 
 def al_loop(spark, d):
@@ -433,12 +433,29 @@ def al_loop(spark, d):
     return _loop(spark, d)[1].select("sid", "tid", "tag")
 
 
+def al_loop_resumed(spark, d):
+    """Three rounds, broken off while the second trains and then taken up again: what each round added."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/runs/{uuid.uuid4().hex}"
+    trained = []
+
+    def breaks(rows: DataFrame, tags: list[str], config: loop.RunConfig) -> loop.Predict:
+        trained.append(1)
+        if len(trained) == 2:
+            raise InterruptedError("the run is broken off here")
+        return _frequency_model(rows, tags, config)
+    try:
+        _loop(spark, d, 3, breaks, path)
+    except InterruptedError:
+        pass
+    return _loop(spark, d, 3, path=path)[1].select("sid", "tid", "tag", "round")
+
+
 def results_log(spark, d):
-    """The log of the loop, appended twice and read back."""
+    """The log of the loop, appended three times and read back."""
     made, _ = _loop(spark, d)
-    path = f"{checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
-    results.append(made, path)
-    results.append(made, path)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/logs/{uuid.uuid4().hex}"
+    for _ in range(3):
+        results.append(made, path)
     log = results.read(spark, path, loop.RESULT_SCHEMA)
     return log.select("round", "level", "strategy", "n_annotated", "n_non_o", "n_sentences", F.round("percentage", 6).alias("percentage"))
 
@@ -458,7 +475,7 @@ def queries() -> dict[str, Query]:
             tag_distribution, annotation_stats, flat_corpus, flatten_documents, nested_corpus, holdout_split,
             full_split, dense_ids, token_table, align_labels, cosine_distance, init_supervised, init_static,
             init_tfidf_nodup, init_cover, init_kmeans, init_kmeans_nearest, al_round, al_round_stats,
-            text_view_io, init_longest_io, dense_ids_text, al_loop, results_log,
+            text_view_io, init_longest_io, dense_ids_text, al_loop, al_loop_resumed, results_log,
         )
     }
     for name, measure in {"entropy": S.entropy, "margin": S.margin, "confidence": S.confidence, "lowest": S.lowest}.items():

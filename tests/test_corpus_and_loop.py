@@ -1,4 +1,6 @@
+import dataclasses
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,8 +8,8 @@ from pyspark.sql import functions as F
 from gleaner import UNKNOWN
 from gleaner.functions import tags as G
 from gleaner.operators import initial, query, training
-from gleaner.plans import loop
-from gleaner.sources import corpus, results, views
+from gleaner.plans import loop, rounds
+from gleaner.sources import corpus, files, results, views
 
 FIRST = ["Anna", "Bert", "Carl", "Dora"]
 LAST = ["Smith", "Jones"]
@@ -130,10 +132,10 @@ def test_loop(spark, small_corpus, tmp_path, level, strategy, style):
     config = loop.RunConfig(level=level, strategy=strategy, style=style, rounds=2, starting_ratio=0.05,
                             new_examples=[6], features=1 << 10, iterations=5)
     table, labelled = loop.run(spark, small_corpus, config)
-    results.append(table, str(tmp_path / "log"))
-    results.append(table, str(tmp_path / "log"))
-    log = results.read(spark, str(tmp_path / "log"), loop.RESULT_SCHEMA)
-    assert log.count() == 4 and json.loads(log.first()["config"])["rounds"] == 2
+    log = str(tmp_path / "log")
+    assert [results.append(table, log), results.append(table, log), results.append(table.where("round = 1"), log)] == [2, 0, 0]
+    log = results.read(spark, log, loop.RESULT_SCHEMA)
+    assert log.count() == 2 and sorted(map(repr, log.collect())) == sorted(map(repr, table.collect())) and json.loads(log.first()["config"])["rounds"] == 2
     rows = sorted(table.collect(), key=lambda r: r["round"])
     annotated = [r["n_annotated"] for r in rows]
     assert annotated[0] == 3 * 6 and annotated == sorted(set(annotated))
@@ -145,14 +147,101 @@ def test_loop(spark, small_corpus, tmp_path, level, strategy, style):
         assert overall[0]["accuracy"] > 0.5
 
 
-def test_unknown_names_are_refused(spark, small_corpus):
-    with pytest.raises(ValueError, match="initial"):
-        loop.choose_initial(small_corpus.sentences, small_corpus.tags, loop.RunConfig(initial="other"))
+def files_below(path):
+    return sum(len(f) for _, _, f in os.walk(path))
+
+
+@pytest.mark.parametrize("level, stops", [(query.TOKEN, (2,)), (query.ENTITY, (1, 3)), (query.SENTENCE, (3,))])
+def test_a_broken_run_goes_on(spark, small_corpus, tmp_path, level, stops):
+    """Broken off while it trains for the n-th time, once or twice, and called again, it ends as an unbroken one."""
+    config = loop.RunConfig(level=level, strategy=query.BREAKING_TIES, rounds=3, starting_ratio=0.05, new_examples=[5, 4],
+                            features=1 << 8, iterations=3)
+    whole, labelled = loop.run(spark, small_corpus, config, path=str(tmp_path / "whole"))
+    trained = []
+
+    def fit(*args):
+        trained.append(1)
+        if len(trained) in stops:
+            raise InterruptedError
+        return loop.fit_logistic(*args)
+
+    path = str(tmp_path / "broken")
+    for done in range(len(stops)):
+        with pytest.raises(InterruptedError):
+            loop.run(spark, small_corpus, config, fit, path=path)
+        assert loop.records(spark, rounds.RunStore(spark, path), 3).count() == stops[done] - 1 - done
+        os.makedirs(f"{path}/labelled/round=7/orphan")  # what a broken step left
+    again, relabelled = loop.run(spark, small_corpus, config, fit, path=path)
+    assert not os.path.exists(f"{path}/labelled/round=7/orphan")
+    assert sorted(relabelled.collect()) == sorted(labelled.collect())
+    assert relabelled.select("sid", "tid").distinct().count() == relabelled.count()
+    drop = lambda t: sorted(map(repr, t.drop("run").collect()))
+    assert drop(again) == drop(whole) and again.select("run").distinct().count() == 1
+    before = files_below(path), len(trained)
+    assert drop(loop.run(spark, small_corpus, config, fit, path=path)[0]) == drop(whole)
+    assert (files_below(path), len(trained)) == before  # nothing left to do
+    longer = dataclasses.replace(config, rounds=4)
+    assert loop.run(spark, small_corpus, longer, fit, path=path)[0].count() == 4
+    with pytest.raises(ValueError, match="other settings"):
+        loop.run(spark, small_corpus, dataclasses.replace(config, seed=2), fit, path=path)
+
+
+def test_rounds_leave_no_checkpoints(spark, small_corpus, tmp_path):
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    config = loop.RunConfig(level=query.TOKEN, strategy=query.ENTROPY, rounds=3, starting_ratio=0.05, new_examples=[3], features=1 << 8, iterations=2)
+    before = set(os.listdir(folder))
+    loop.run(spark, small_corpus, config, path=str(tmp_path / "run"))
+    assert set(os.listdir(folder)) == before
+
+
+def test_log_holds_each_record_once(spark, tmp_path):
+    path, schema = str(tmp_path / "log"), "run string, round int, v string"
+    rows = spark.createDataFrame([("a/b", 0, "x"), ("a/b", 1, "y"), ("c", 0, "z")], schema)
+    assert results.read(spark, path, schema).count() == 0
+    assert results.append(rows.where("round = 0"), path) == 2
+    changed = rows.withColumn("v", F.lit("other"))
+    assert results.append(changed, path) == 1  # only what is new; the rest stays as it was
+    # An append that broke off before its markers, and one that lost the race for them.
+    rows.write.json(f"{path}/data/part=broken")
+    assert not files.put(spark, f"{path}/commits/c-000000.json", "{}")
+    assert sorted(map(tuple, results.read(spark, path, schema).collect())) == [("a/b", 0, "x"), ("a/b", 1, "other"), ("c", 0, "z")]
+    with pytest.raises(ValueError, match="no two the same"):
+        results.append(rows.unionByName(rows), path)
+
+
+def test_predictions_must_fit_the_tokens(spark, small_corpus):
+    gold = corpus.to_tokens(small_corpus.sentences.where("split = 'train'"), small_corpus.tags)
+    pred = gold.select("sid", "tid", F.array(*[F.lit(1.0 / 9)] * 9).alias("scores"))
+    for level in query.LEVELS:
+        for strategy in (query.RANDOM, query.ENTROPY):
+            assert query.query(level, strategy, pred, gold, gold.limit(0), 3).selections.count() >= 3
+            with pytest.raises(ValueError, match="predictions and tokens differ"):
+                query.query(level, strategy, pred.where("sid <> 4 or tid <> 0"), gold, gold.limit(0), 3)
+    short = query.query(query.TOKEN, query.ENTROPY, pred.where("sid <> 4"), gold, gold.limit(0), 3, guard=False)
+    assert short.selections.count() == 3
+
+
+@pytest.mark.parametrize("wrong", [
+    {"initial": "other"}, {"level": "word"}, {"strategy": "best"}, {"style": "x"}, {"metric": "f2"}, {"starting_ratio": 0.0},
+    {"starting_ratio": 1.5}, {"new_examples": []}, {"new_examples": [5, -1]}, {"rounds": 0}, {"iterations": 0},
+])
+def test_settings_are_checked(wrong):
+    with pytest.raises(ValueError, match=next(iter(wrong))):
+        loop.RunConfig(**wrong)
+
+
+def test_io_tags_need_the_io_metric(spark, small_corpus):
+    io = corpus.Corpus(small_corpus.sentences, ["O", "PER", "LOC"])
+    with pytest.raises(ValueError, match="io"):
+        loop.run(spark, io, loop.RunConfig(starting_ratio=0.5))
+    assert loop.RunConfig(full=True, starting_ratio=0.0).full
 
 
-@pytest.mark.parametrize("name", ["random", "longest", "tfidf", "supervised", "nnp_frequency", "static"])
+@pytest.mark.parametrize("name", loop.INITIAL)
 def test_initial_by_name(spark, small_corpus, name):
     train = small_corpus.sentences.where("split = 'train'")
     ids = spark.createDataFrame([(1,), (2,), (3,)], "sid long")
-    config = loop.RunConfig(initial=name, starting_ratio=0.05)
-    assert loop.choose_initial(train, small_corpus.tags, config, ids).count() == 3
+    lm = corpus.to_tokens(train, small_corpus.tags).select("sid", "tid", F.array(F.col("tid") + 1.0, F.col("sid") * 1.0, F.lit(0.5)).alias("logits"))
+    config = loop.RunConfig(initial=name, starting_ratio=0.05, alpha=0.5)
+    chosen = [r["sid"] for r in loop.choose_initial(train, small_corpus.tags, config, ids, lm).collect()]
+    assert len(set(chosen)) == len(chosen) == 3
