@@ -139,7 +139,7 @@ def _pick(
         fresh = fresh.select("sid", "tie", "score")
         pool = cut_lineage(fresh if rest is None else rest.unionByName(fresh))
         done, left = done + taken, left - taken
-        if 4 * n_live < rows or how == "all at once":  # old scores are far off, or there is room for more at once
+        if 4 * n_live < rows or n_live < size - done:  # old scores are far off, or there is room for more at once
             rows = min(rows * 4, max(left, batch))
         if len(picks) > 16:  # keep plans short
             picks = [cut_lineage(_union(picks))]

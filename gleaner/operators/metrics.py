@@ -24,33 +24,33 @@ def side(pairs: DataFrame, column: str) -> DataFrame:
 # --- identical-tag spans ----------------------------------------------------
 
 
-def _sides(pairs: DataFrame) -> DataFrame:
-    """Both taggings in one table ``(sid, side, tid, tag)``, reading the pairs once."""
+def _sides(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Both taggings in one table ``(*by, sid, side, tid, tag)``, reading the pairs once."""
     each = F.array(
         F.struct(F.lit("g").alias("side"), F.col("gold").alias("tag")),
         F.struct(F.lit("p").alias("side"), F.col("pred").alias("tag")),
     )
-    return pairs.select("sid", "tid", F.inline(each))
+    return pairs.select(*by, "sid", "tid", F.inline(each))
 
 
-def _matched(spans_of_sides: DataFrame) -> DataFrame:
+def _matched(spans_of_sides: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Per place and type, whether a span is in the prediction, the gold set or both.
 
     Each side has a span at most once, so one aggregation does for a join.
     """
     has = lambda side: F.max((F.col("side") == side).cast("long"))
-    return spans_of_sides.groupBy("sid", "start", "end", "type").agg(
+    return spans_of_sides.groupBy(*by, "sid", "start", "end", "type").agg(
         has("p").alias("n_pred"), has("g").alias("n_gold"),
     ).withColumn("n_correct", F.least("n_pred", "n_gold"))
 
 
-def _io_spans(pairs: DataFrame) -> DataFrame:
-    return spans.runs(_sides(pairs), spans.io_break, keys=("sid", "side")).withColumnRenamed("tag", "type")
+def _io_spans(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return spans.runs(_sides(pairs, by), spans.io_break, keys=(*by, "sid", "side")).withColumnRenamed("tag", "type")
 
 
-def io_counts(pairs: DataFrame) -> DataFrame:
-    """``(n_pred, n_gold, n_correct)`` of identical-tag spans, one row."""
-    return _matched(_io_spans(pairs)).agg(*[
+def io_counts(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(*by, n_pred, n_gold, n_correct)`` of identical-tag spans, one row for each value of ``by`` that has a span."""
+    return _matched(_io_spans(pairs, by), by).groupBy(*by).agg(*[
         F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_pred", "n_gold", "n_correct")])
 
 
@@ -67,9 +67,13 @@ def _with_scores(counts: DataFrame, epsilon: float) -> DataFrame:
     return scored.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
 
 
-def io_scores(pairs: DataFrame) -> DataFrame:
-    """Precision, recall and F1 of identical-tag spans, one row."""
-    return _with_scores(io_counts(pairs), EPSILON)
+def io_scores(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Precision, recall and F1 of identical-tag spans, one row; with ``by``, such as a split, one for each of its values."""
+    if not by:
+        return _with_scores(io_counts(pairs), EPSILON)
+    nothing = pairs.select(*by).distinct()
+    counts = nothing.join(io_counts(pairs, by), list(by), "left").na.fill(0, ["n_pred", "n_gold", "n_correct"])
+    return _with_scores(counts, EPSILON)
 
 
 def type_errors(pairs: DataFrame) -> DataFrame:
@@ -96,28 +100,45 @@ def type_errors(pairs: DataFrame) -> DataFrame:
 # --- BIO entities -----------------------------------------------------------
 
 
-def bio_scores(pairs: DataFrame) -> DataFrame:
-    """Entity scores per type and overall: ``(type, precision, recall, f1, number, accuracy)``.
+COUNTS = ("n_pred", "n_gold", "n_correct", "n_tokens", "n_equal")
 
-    The overall row has type ``overall`` and carries the token accuracy.
+
+def bio_counts(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(*by, type, n_pred, n_gold, n_correct, n_tokens, n_equal)``: entities of each type, and one row without a type for the tokens.
+
+    One scan for all values of ``by``; sums of such tables over parts of a
+    corpus are the table of the whole.
     """
-    entities = spans.runs(_sides(pairs), spans.bio_break, keys=("sid", "side")).withColumn(
+    entities = spans.runs(_sides(pairs, by), spans.bio_break, keys=(*by, "sid", "side")).withColumn(
         "type", entity_type(F.col("tag")))
-    counts = _matched(entities).groupingSets(
-        [["type"], []], "type"
-    ).agg(
-        F.grouping("type").alias("all"),
-        F.sum("n_pred").alias("n_pred"),
-        F.sum("n_gold").alias("n_gold"),
-        F.sum("n_correct").alias("n_correct"),
-    )
-    accuracy = pairs.agg(F.count_if(F.col("gold") == F.col("pred")) / F.count(F.lit(1))).scalar()
-    return _with_scores(counts, 0.0).select(
-        F.when(F.col("all") == 1, "overall").otherwise(F.col("type")).alias("type"),
-        "precision", "recall", "f1",
-        F.coalesce("n_gold", F.lit(0)).cast("long").alias("number"),
-        F.when(F.col("all") == 1, accuracy).alias("accuracy"),
-    )
+    none = F.lit(0).cast("long")
+    of_types = _matched(entities, by).groupBy(*by, "type").agg(
+        *[F.sum(c).alias(c) for c in COUNTS[:3]], none.alias("n_tokens"), none.alias("n_equal"))
+    of_tokens = pairs.groupBy(*by).agg(
+        F.lit(None).cast("string").alias("type"), *[none.alias(c) for c in COUNTS[:3]],
+        F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("gold") == F.col("pred")).alias("n_equal"))
+    return of_types.unionByName(of_tokens)
+
+
+def bio_from_counts(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Scores of ``bio_counts``, also of several, put together: ``(*by, type, precision, recall, f1, number, accuracy)``."""
+    known = counts.select(*by, "type", *COUNTS, F.col("type").isNull().alias("_tokens"))
+    sums = known.groupingSets([[*by, "type", "_tokens"], [*by]], *by, "type", "_tokens").agg(
+        F.grouping("_tokens").alias("all"), *[F.sum(c).alias(c) for c in COUNTS])
+    overall = F.col("all") == 1
+    return _with_scores(sums.where(overall | ~F.col("_tokens")), 0.0).select(
+        *by, F.when(overall, "overall").otherwise(F.col("type")).alias("type"),
+        "precision", "recall", "f1", F.col("n_gold").cast("long").alias("number"),
+        F.when(overall & (F.col("n_tokens") > 0), F.col("n_equal") / F.col("n_tokens")).alias("accuracy"))
+
+
+def bio_scores(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Entity scores per type and overall: ``(*by, type, precision, recall, f1, number, accuracy)``.
+
+    The overall row has type ``overall`` and carries the token accuracy. With
+    ``by``, such as a split, there are such rows for each of its values.
+    """
+    return bio_from_counts(bio_counts(pairs, by), by)
 
 
 # --- annotation statistics --------------------------------------------------

@@ -27,7 +27,7 @@ from gleaner.functions.arrays import after, before
 from gleaner.functions.tags import decode, encode, required_pos
 from gleaner.operators import annotate, greedy, initial, metrics, query, training, vectors
 from gleaner.operators import predictions as P
-from gleaner.operators.skew import checkpoint_dir, scratch
+from gleaner.operators.skew import checkpoint_dir, cut_lineage, scratch
 from gleaner.operators.tfidf import Vectorizer
 from gleaner.plans.rounds import BEGUN, LABELLED_STEP, SCORED, RunStore
 from gleaner.sources.corpus import Corpus, dense_ids, to_tokens
@@ -186,19 +186,34 @@ def with_ids(sentences: DataFrame) -> DataFrame:
     return dense_ids(sentences, [c for c in ("id", "document_id", "position") if c in sentences.columns])
 
 
-def evaluate(pred: DataFrame, gold_tokens: DataFrame, tags: list[str], metric: str) -> DataFrame:
-    """Span scores of predictions against gold tokens ``(sid, tid, tag)``."""
+def evaluate(pred: DataFrame, gold_tokens: DataFrame, tags: list[str], metric: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Span scores of predictions against gold tokens ``(*by, sid, tid, tag)``; a ``sid`` is in one value of ``by``."""
     guessed = pred.select("sid", "tid", decode(S.argmax("scores"), tags).alias("pred"))
-    pairs = gold_tokens.select("sid", "tid", F.col("tag").alias("gold")).join(guessed, ["sid", "tid"])
+    pairs = gold_tokens.select(*by, "sid", "tid", F.col("tag").alias("gold")).join(guessed, ["sid", "tid"])
     if metric == "bio":
-        return metrics.bio_scores(pairs)
+        return metrics.bio_scores(pairs, by)
     if metric == "io":
-        return metrics.io_scores(pairs).select(
-            F.lit("overall").alias("type"), "precision", "recall", "f1",
+        return metrics.io_scores(pairs, by).select(
+            *by, F.lit("overall").alias("type"), "precision", "recall", "f1",
             F.col("n_gold").cast("long").alias("number"), F.lit(None).cast("double").alias("accuracy"))
     raise ValueError(f"unknown metric {metric!r}")
 
 
+HELD = ("validation", "val_train", "test")
+
+
+def evaluate_splits(sentences: DataFrame, predict: Predict, tags: list[str], metric: str) -> DataFrame:
+    """Span scores ``(split, type, ...)`` of all held-out splits in one job.
+
+    Ids repeat between splits, so they are made distinct for the model.
+    """
+    number = F.coalesce(*[F.when(F.col("split") == s, F.lit(i)) for i, s in enumerate(HELD)])
+    held = sentences.where(F.col("split").isin(*HELD)).withColumn("sid", F.col("sid") * len(HELD) + number)
+    split = F.element_at(F.array(*[F.lit(s) for s in HELD]), (F.pmod("sid", F.lit(len(HELD))) + 1).cast("int"))
+    gold = to_tokens(held, tags).select("sid", "tid", "tag", split.alias("split"))
+    return evaluate(predict(held), gold, tags, metric, ("split",))
+
+
 def run(
     spark: SparkSession,
     corpus: Corpus,
@@ -234,8 +249,7 @@ def run(
         with scratch(spark):
             store.keep(BEGUN, with_ids(corpus.sentences), settings=settings, tags=corpus.tags, run=uuid.uuid4().hex)
     sentences, tags = store.data(BEGUN), corpus.tags
-    split = {s: sentences.where(F.col("split") == s) for s in ("train", "val_train", "validation", "test")}
-    train = split["train"]
+    train = sentences.where(F.col("split") == "train")
     gold = to_tokens(train, tags)
     if not store.step(LABELLED_STEP):
         with scratch(spark):
@@ -251,10 +265,10 @@ def run(
         labelled = store.labelled(round_no if not config.full else 0)
         with scratch(spark):
             known = labelled.drop("round").withColumn("tag_id", encode(F.col("tag"), tags))
-            rows = training.materialize(annotate.to_arrays(train, known), config.style)
+            rows = cut_lineage(training.materialize(annotate.to_arrays(train, known), config.style))
             predict = fit(rows, tags, config)
             if not scored:
-                store.commit(SCORED, round_no, record=_record(config, round_no, gold, labelled, rows, predict, split, tags))
+                store.commit(SCORED, round_no, record=_record(config, round_no, gold, labelled, rows, predict, sentences, tags))
             if not last:
                 expected = expected or P.key_sum(gold)
                 out = query.query(
@@ -275,13 +289,11 @@ def records(spark: SparkSession, store: RunStore, rounds: int) -> DataFrame:
     return spark.createDataFrame(done, RESULT_SCHEMA)
 
 
-def _record(config, round_no, gold, labelled, rows, predict, split, tags) -> dict:
+def _record(config, round_no, gold, labelled, rows, predict, sentences, tags) -> dict:
     stats = metrics.annotation_stats(gold, labelled).first()
     made = metrics.training_stats(rows).first()
-    scores = []
-    for name in ("validation", "val_train", "test"):
-        found = evaluate(predict(split[name]), to_tokens(split[name], tags), tags, config.metric)
-        scores += [{"split": name, **{k: r[k] for k in ("type", "precision", "recall", "f1", "number", "accuracy")}} for r in found.collect()]
+    found = sorted(evaluate_splits(sentences, predict, tags, config.metric).collect(), key=lambda r: (HELD.index(r["split"]), r["type"]))
+    scores = [{k: r[k] for k in ("split", "type", "precision", "recall", "f1", "number", "accuracy")} for r in found]
     return {
         "round": round_no, "dataset": config.dataset, "level": config.level, "strategy": config.strategy, "style": config.style,
         "initial": config.initial, "seed": config.seed, "starting_ratio": config.starting_ratio,

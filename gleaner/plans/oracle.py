@@ -359,6 +359,17 @@ def oracle_sql() -> dict[str, str]:
   round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1, ng AS number,
   CASE WHEN type = 'overall' THEN (SELECT round(avg(CASE WHEN tok.tag = ptok.tag THEN 1.0 ELSE 0.0 END), 6) FROM tok JOIN ptok USING (sid, tid)) END AS accuracy
   FROM rr"""
+    q["bio_prf_splits"] = _with(
+        TOK, PRED, ptok, BIO_RUNS, _runs("prun", "ptok", BIO_BREAK),
+        """sp AS (SELECT 'part' || (coalesce(g.sid, p.sid) % 3) AS split, coalesce(g.tag[3:], p.tag[3:]) AS type, g.sid IS NOT NULL AS g, p.sid IS NOT NULL AS p
+  FROM biorun g FULL JOIN prun p ON g.sid = p.sid AND g.s = p.s AND g.e = p.e AND g.tag[3:] = p.tag[3:])""",
+        """cc AS (SELECT split, CASE WHEN grouping(type) = 1 THEN 'overall' ELSE type END AS type, count(*) FILTER (WHERE g) AS ng,
+  count(*) FILTER (WHERE p) AS np, count(*) FILTER (WHERE g AND p) AS nc FROM sp GROUP BY GROUPING SETS ((split, type), (split)))""",
+        "acc AS (SELECT 'part' || (sid % 3) AS split, avg(CASE WHEN tok.tag = ptok.tag THEN 1.0 ELSE 0.0 END) AS a FROM tok JOIN ptok USING (sid, tid) GROUP BY 1)",
+        """rr AS (SELECT *, CASE WHEN np > 0 THEN nc / np::DOUBLE ELSE 0 END AS pr, CASE WHEN ng > 0 THEN nc / ng::DOUBLE ELSE 0 END AS re FROM cc)""",
+    ) + """SELECT split, type, round(pr, 6) AS precision, round(re, 6) AS recall,
+  round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1, ng AS number, CASE WHEN type = 'overall' THEN round(a, 6) END AS accuracy
+  FROM rr JOIN acc USING (split)"""
     q["tag_distribution"] = _with(TOK, LAB) + "SELECT tag, count(*) AS n FROM lab GROUP BY tag"
     stats = """SELECT count(*) AS n_annotated, count(*) FILTER (WHERE tag <> 'O') AS n_non_o, count(DISTINCT sid) AS n_sentences,
   (SELECT count(*) FROM tok) AS n_tokens, round(count(*) / (SELECT count(*) FROM tok)::DOUBLE * 100, 6) AS percentage FROM {}"""
@@ -457,6 +468,22 @@ ms AS (SELECT sid, round(min(s[1] - s[2]), 9) AS score FROM lm GROUP BY sid)""")
         "ids AS MATERIALIZED (SELECT DISTINCT sid FROM words)",
         _greedy("SELECT sid FROM ids", uncovered, _u(1, "d.sid"))) + _all_picks()
 
+    # One row for each pick: the terms seen and the ids picked so far travel with it.
+    q["init_cover_share"] = _with(
+        WORDS, "gw AS MATERIALIZED (SELECT sid, word AS term, count(*) AS w FROM words WHERE tag_id > 0 GROUP BY sid, word)",
+        "ids AS MATERIALIZED (SELECT DISTINCT sid FROM words)",
+        f"""packed AS MATERIALIZED (SELECT i.sid, {_u(1, 'i.sid')} AS tie, coalesce(list(term) FILTER (WHERE term IS NOT NULL), []) AS ts,
+  coalesce(list(w::DOUBLE) FILTER (WHERE term IS NOT NULL), []) AS ws FROM ids i LEFT JOIN gw USING (sid) GROUP BY i.sid)""",
+        """greedy(step, sid, score, seen, done) AS (
+  SELECT 0::BIGINT, CAST(NULL AS BIGINT), 0.0::DOUBLE, []::VARCHAR[], []::BIGINT[]
+  UNION ALL
+  SELECT step + 1, arg_min(sid, k), -min(k).a, list_concat(any_value(seen), arg_min(ts, k)), list_append(any_value(done), arg_min(sid, k))
+  FROM (SELECT step, seen, done, sid, ts, struct_pack(a := -s, b := tie, c := sid) AS k FROM (SELECT step, seen, done, p.sid, tie, ts,
+    round(coalesce(list_sum(list_transform(ws, lambda x, i: CASE WHEN list_contains(seen, ts[i]) THEN 0.0::DOUBLE ELSE x END)), 0), 9) AS s
+    FROM greedy, packed p WHERE NOT list_contains(done, p.sid)))
+  WHERE step < (SELECT count(*) // 100 FROM ids) GROUP BY step)""",
+    ) + "SELECT step::INTEGER AS step, sid, round(score, 6) AS score FROM greedy WHERE step > 0"
+
     for name, down in (("init_kmeans", True), ("init_kmeans_nearest", False)):
         q[name] = _kmeans(down)
 

@@ -244,6 +244,15 @@ def bio_prf(spark, d):
         "type", _six("precision"), _six("recall"), _six("f1"), "number", _six("accuracy"))
 
 
+def bio_prf_splits(spark, d):
+    """Three splits in one scan."""
+    pairs = X.line_predictions(spark, d).select(
+        F.concat(F.lit("part"), (F.col("sid") % 3).cast("string")).alias("split"),
+        "sid", "tid", F.col("tag").alias("gold"), decode(S.argmax("scores"), X.LINE_TAGS).alias("pred"))
+    return metrics.bio_scores(pairs, ("split",)).select(
+        "split", "type", _six("precision"), _six("recall"), _six("f1"), "number", _six("accuracy"))
+
+
 def tag_distribution(spark, d):
     return metrics.tag_distribution(X.labelled_tokens(X.line_tokens(spark, d)))
 
@@ -388,6 +397,12 @@ def init_cover(spark, d):
     return greedy.cover(tokens, PICKS).select("step", "sid", _six("score"))
 
 
+def init_cover_share(spark, d):
+    """A hundredth of the sentences; of these few are settled on the driver at a time."""
+    tokens = corpus.to_tokens(X.sentences(spark, d), X.TEXT_TAGS)
+    return greedy.cover(tokens, tokens.select("sid").distinct().count() // 100, batch=16).select("step", "sid", _six("score"))
+
+
 def init_kmeans(spark, d):
     return vectors.kmeans(X.texts(spark, d), PICKS, UNIT).select("cluster", "sid", _six("distance"))
 
@@ -471,10 +486,10 @@ def queries() -> dict[str, Query]:
             softmax_mask, argmax_decode, unroll_scores, inverse_margin, sentence_scores, exclude_tokens,
             exclude_sentences, collapse_tokens, length_check, typed_entity, run_entity, annotate_sentences,
             annotate_tokens, annotated_guard, annotated_count, annotated_values, annotated_arrays, candidates,
-            train_rejects, training_stats, io_spans, io_counts, io_prf, type_errors, bio_entities, bio_prf,
+            train_rejects, training_stats, io_spans, io_counts, io_prf, type_errors, bio_entities, bio_prf, bio_prf_splits,
             tag_distribution, annotation_stats, flat_corpus, flatten_documents, nested_corpus, holdout_split,
             full_split, dense_ids, token_table, align_labels, cosine_distance, init_supervised, init_static,
-            init_tfidf_nodup, init_cover, init_kmeans, init_kmeans_nearest, al_round, al_round_stats,
+            init_tfidf_nodup, init_cover, init_cover_share, init_kmeans, init_kmeans_nearest, al_round, al_round_stats,
             text_view_io, init_longest_io, dense_ids_text, al_loop, al_loop_resumed, results_log,
         )
     }

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions.hashing import uniform
 from gleaner.operators import greedy, initial, vectors
 from gleaner.operators.tfidf import Vectorizer, tfidf
 
@@ -177,3 +178,25 @@ def test_static_and_exact_random(spark):
     assert [r["sid"] for r in initial.static(rows, ids).collect()] == [3]
     assert initial.random(rows, 17).distinct().count() == 17
     assert initial.random(rows, 170).count() == 50
+
+
+def test_greedy_turns_are_far_fewer_than_picks(spark, caplog):
+    """Rows that share little are picked many at a time, in the order of one at a time."""
+    rows = [(i, t, f"w{i}x{t}" if t else f"shared{i % 40}", "B-PER") for i in range(160) for t in range(1 + i % 5)]
+    tokens = spark.createDataFrame(rows, "sid long, tid long, token string, tag string")
+    with caplog.at_level("INFO", "gleaner.operators.greedy"):
+        found = greedy.cover(tokens, 90, batch=4).orderBy("step").collect()
+    turns = [r.getMessage() for r in caplog.records if "greedy turn" in r.getMessage()]
+    assert len(turns) <= 12 and any("all at once" in t for t in turns)
+    words = {}
+    for sid, _, w, _ in rows:
+        words.setdefault(sid, []).append(w)
+    tie = {r["sid"]: r["u"] for r in tokens.select("sid", uniform(1, "sid").alias("u")).distinct().collect()}
+    seen, left, want = set(), set(words), []
+    for step in range(1, 91):
+        gain = {s: sum(w not in seen for w in words[s]) for s in left}
+        sid = min(left, key=lambda s: (-gain[s], tie[s], s))
+        want.append((step, sid, float(gain[sid])))
+        left.remove(sid)
+        seen |= set(words[sid])
+    assert [tuple(r) for r in found] == want

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.operators import metrics, spans
 
@@ -102,3 +103,18 @@ def test_bio_scores(spark):
     assert rows["PER"]["precision"] == pytest.approx(2 / 3) and rows["PER"]["recall"] == 1.0
     assert rows["ORG"]["f1"] == 0.0 and rows["ORG"]["number"] == 1
     assert rows["overall"]["f1"] == pytest.approx(2 / 3) and rows["overall"]["accuracy"] == pytest.approx(4 / 6)
+
+
+def test_scores_by_split_and_added_up(spark):
+    """One scan for all splits equals a scan for each, and counts of parts add up to those of the whole."""
+    rows = [(f"s{i % 3}", i, t, g, p) for i in range(30) for t, (g, p) in enumerate(zip(
+        ["B-A", "I-A", "O", "B-B", "O"], ["B-A", "O" if i % 2 else "I-A", "B-B" if i % 5 == 0 else "O", "B-B", "O"], strict=True))]
+    df = spark.createDataFrame(rows + [("none", 99, 0, "O", "O")], "split string, sid long, tid long, gold string, pred string")
+    for scores, order in ((metrics.bio_scores, "type"), (metrics.io_scores, "n_pred")):
+        found = scores(df, ("split",)).orderBy("split", order).collect()
+        for split in ("s0", "s1", "s2", "none"):
+            alone = scores(df.where(F.col("split") == split)).orderBy(order).collect()
+            assert [r.asDict() for r in alone] == [{k: v for k, v in r.asDict().items() if k != "split"} for r in found if r["split"] == split]
+    parts = [metrics.bio_counts(df.where(F.col("sid") % 4 == i)) for i in range(4)]
+    together = metrics.bio_from_counts(parts[0].union(parts[1]).union(parts[2]).union(parts[3]))
+    assert sorted(map(repr, together.collect())) == sorted(map(repr, metrics.bio_scores(df).collect()))
