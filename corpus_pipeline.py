@@ -8,6 +8,8 @@ computed twice and a lost executor costs one stage's tasks at most.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,22 @@ from gleaner.llm import decontaminate, language, line_dedup, minhash, mixing
 from gleaner.llm.store import stored
 from gleaner.operators.skew import at_most
 
+BATCH_BYTES = 4 << 20
+"""Most bytes of texts that a Python worker is handed at a time. Workers live on from stage to stage, and so does what they once needed."""
+
+
+def _small_batches(stage):
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxBytesPerBatch"
+        now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+        if not 0 < now <= BATCH_BYTES:
+            spark.conf.set(name, str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+    return run
+
 
+@_small_batches
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear, with ``lang`` as predicted; learned from the labelled ones.
 
@@ -25,6 +42,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.accepted(docs, language.learn(docs.select("doc_id", "text", "lang")))
 
 
+@_small_batches
 def line_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that an earlier document has in the same order are cut from ``text``.
 
@@ -36,6 +54,7 @@ def line_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@_small_batches
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document, by id, of each component of near copies.
 
@@ -51,12 +70,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(kept, repeated).unionByName(again)
 
 
+@_small_batches
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage that matches a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _without(docs, decontaminate.leaks(docs.select("doc_id", "text"), items).select("doc_id").distinct())
 
 
+@_small_batches
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of documents by calibrated probabilities, with ``n_tokens, topic, tokens, weight, prob`` of each."""
     rows = mixing.features(docs)
