@@ -48,9 +48,17 @@ def entropy(scores: Column | str) -> Column:
 
 
 def margin(scores: Column | str) -> Column:
-    """Largest score minus the second largest."""
-    ranked = F.sort_array(_col(scores), asc=False)
-    return ranked[0] - ranked[1]
+    """Largest score minus the second largest; null with fewer than two.
+
+    The second largest is the largest of what stands before and behind the
+    first: a few passes of compiled code, however long the vector.
+    """
+    scores = _col(scores)
+    top = F.array_max(scores)
+    at = F.array_position(scores, top).cast("int")
+    left = F.array_max(F.slice(scores, F.lit(1), at - 1))
+    right = F.array_max(F.slice(scores, at + 1, F.size(scores) - at))
+    return top - F.greatest(left, right)
 
 
 def confidence(scores: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import english_stop_words, terms
@@ -24,39 +24,47 @@ class Vectorizer:
     def words(self) -> list[str] | None:
         return english_stop_words() if self.stop_words == "english" else self.stop_words
 
+    def terms(self, text: Column) -> Column:
+        return terms(text, self.ngrams, self.words())
 
-def term_counts(texts: DataFrame, how: Vectorizer) -> DataFrame:
-    """``texts(sid, text)`` to ``(sid, term, tf)``.
 
-    A text is one row, so its repeats combine before the shuffle.
+def term_counts(texts: DataFrame, how: Vectorizer, ids: bool = False) -> DataFrame:
+    """``texts(sid, text)`` to ``(sid, term, tf)``, or with ``ids`` to ``(sid, id, tf)``, terms as 64-bit hashes.
+
+    A text is one row, so its repeats combine before the shuffle, and not a
+    string of it is shuffled where hashes do.
     """
-    listed = texts.select("sid", F.explode(terms(F.col("text"), how.ngrams, how.words())).alias("term"))
-    return listed.groupBy("sid", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = how.terms(F.col("text"))
+    name = "id" if ids else "term"
+    listed = texts.select("sid", F.explode(F.transform(found, lambda t: F.xxhash64(t)) if ids else found).alias(name))
+    return listed.groupBy("sid", name).agg(F.count(F.lit(1)).alias("tf"))
+
+
+def weighted(counts: DataFrame, n: int) -> DataFrame:
+    """``w`` beside ``tf`` and ``df``: ``tf * (ln((1 + n) / (1 + df)) + 1)``."""
+    return counts.withColumn("w", F.col("tf") * (F.log(F.lit(1.0 + n) / (F.col("df") + 1)) + 1))
 
 
-def tfidf(texts: DataFrame, how: Vectorizer = Vectorizer(), with_df: bool = False) -> DataFrame:
+def tfidf(texts: DataFrame, how: Vectorizer = Vectorizer(), with_df: bool = False, ids: bool = False) -> DataFrame:
     """``tf * (ln((1 + n) / (1 + df)) + 1)``, optionally scaled to length 1 per row.
 
-    ``with_df`` keeps the number of texts each term is in, as ``df``.
+    ``with_df`` keeps the number of texts each term is in, as ``df``. With
+    ``ids`` terms are numbers, for those who don't read them.
     """
     n = texts.count()
-    counts = term_counts(texts, how)
+    counts, name = term_counts(texts, how, ids), "id" if ids else "term"
     # Reading tf here keeps this plan over `counts` equal to the one below, so
     # that Spark splits and shuffles the texts once for both.
-    dfs = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    dfs = counts.groupBy(name).agg(F.count_if(F.col("tf") > 0).alias("df"))
     # The rows of a frequent term are split by Spark when they are joined (AQE, skewed sort-merge joins).
-    weighted = counts.join(dfs, "term").select(
-        "sid", "term",
-        (F.col("tf") * (F.log(F.lit(1.0 + n) / (F.col("df") + 1)) + 1)).alias("w"),
-        *(["df"] if with_df else []),
-    )
+    rows = weighted(counts.join(dfs, name), n).select("sid", name, "w", *(["df"] if with_df else []))
     if how.norm is None:
-        return weighted
+        return rows
     if how.norm != "l2":
         raise ValueError(f"unknown norm {how.norm!r}")
     # A row of text bounds its number of terms, so this window is bounded too.
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("sid")))
-    return weighted.withColumn("w", F.col("w") / length)
+    return rows.withColumn("w", F.col("w") / length)
 
 
 def top_mean(weights: DataFrame, top_k: int) -> DataFrame:
@@ -74,7 +82,7 @@ def top_mean(weights: DataFrame, top_k: int) -> DataFrame:
 
 def text_scores(texts: DataFrame, top_k: int, how: Vectorizer) -> DataFrame:
     """``(sid, score)`` for every text, 0 for a text without terms."""
-    scored = top_mean(tfidf(texts, how), top_k)
+    scored = top_mean(tfidf(texts, how, ids=True), top_k)
     return texts.select("sid").join(scored, "sid", "left").select(
         "sid", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
 

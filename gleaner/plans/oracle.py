@@ -424,6 +424,14 @@ held AS (SELECT sid FROM sids ORDER BY {_u(1, 'sid')}, sid LIMIT (SELECT ceil(co
     # Vectors and initial sets.
     q["tfidf"] = _with(*_weights(2, False)) + "SELECT sid, term, round(w, 6) AS w FROM weights"
     q["tfidf_unit"] = _with(*_weights(1, True, True)) + "SELECT sid, term, round(w, 6) AS w FROM weights"
+    q["tfidf_transform"] = _with(
+        _terms(1, True), "tf AS (SELECT sid, term, count(*) AS tf FROM terms GROUP BY sid, term)",
+        "df AS (SELECT term, count(*) AS df FROM tf WHERE sid % 2 = 0 GROUP BY term)",
+        """plain AS (SELECT sid, term, tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM documents WHERE doc_id % 2 = 0)) / (df + 1)) + 1) AS w
+  FROM tf JOIN df USING (term) WHERE sid % 2 = 1)""",
+    ) + "SELECT sid, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY sid)), 6) AS w FROM plain"
+    q["tfidf_updated"] = _with(_terms(1, True)) + """SELECT term, count(DISTINCT sid) AS df, (SELECT count(*) FROM documents) AS n
+  FROM terms GROUP BY term"""
     q["cosine_distance"] = _with(*_weights(1, True, True)) + """SELECT a.sid AS pair, round(1 - coalesce(sum(a.w * b.w), 0), 6) AS distance
   FROM weights a LEFT JOIN weights b ON b.sid = a.sid + 1 AND b.term = a.term GROUP BY a.sid"""
     q["init_random"] = f"SELECT doc_id AS sid, round({_u(1, 'doc_id')}, 6) AS score FROM documents ORDER BY {_u(1, 'doc_id')}, doc_id LIMIT 100"

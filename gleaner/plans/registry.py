@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import scores as S
 from gleaner.functions.tags import decode
 from gleaner.operators import (
-    annotate, greedy, initial, metrics, predictions, query, spans, tfidf, training, vectors,
+    annotate, dictionary, greedy, initial, metrics, predictions, query, spans, tfidf, training, vectors,
 )
 from gleaner.operators.skew import checkpoint_dir
 from gleaner.plans import fixtures as X
@@ -366,6 +366,25 @@ def _weights(how: tfidf.Vectorizer) -> Query:
     return run
 
 
+def _fitted(spark, d) -> dictionary.Dictionary:
+    """A dictionary of the even texts."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/dictionaries/{uuid.uuid4().hex}"
+    return dictionary.fit(X.texts(spark, d).where("sid % 2 = 0"), path, UNIT)
+
+
+def tfidf_transform(spark, d):
+    """The odd texts by what was learned from the even ones."""
+    return _fitted(spark, d).transform(X.texts(spark, d).where("sid % 2 = 1")).select("sid", "term", _six("w"))
+
+
+def tfidf_updated(spark, d):
+    """The odd texts added to the even ones, twice by mistake: the dictionary of all texts."""
+    known = _fitted(spark, d)
+    for _ in range(2):
+        known.update(X.texts(spark, d).where("sid % 2 = 1"), "odd")
+    return known.table().select("term", "df", F.lit(known.n()).cast("long").alias("n"))
+
+
 def cosine_distance(spark, d):
     weights = tfidf.tfidf(X.texts(spark, d), UNIT)
     left = weights.withColumnRenamed("sid", "pair")
@@ -486,7 +505,7 @@ def queries() -> dict[str, Query]:
             softmax_mask, argmax_decode, unroll_scores, inverse_margin, sentence_scores, exclude_tokens,
             exclude_sentences, collapse_tokens, length_check, typed_entity, run_entity, annotate_sentences,
             annotate_tokens, annotated_guard, annotated_count, annotated_values, annotated_arrays, candidates,
-            train_rejects, training_stats, io_spans, io_counts, io_prf, type_errors, bio_entities, bio_prf, bio_prf_splits,
+            train_rejects, training_stats, tfidf_transform, tfidf_updated, io_spans, io_counts, io_prf, type_errors, bio_entities, bio_prf, bio_prf_splits,
             tag_distribution, annotation_stats, flat_corpus, flatten_documents, nested_corpus, holdout_split,
             full_split, dense_ids, token_table, align_labels, cosine_distance, init_supervised, init_static,
             init_tfidf_nodup, init_cover, init_cover_share, init_kmeans, init_kmeans_nearest, al_round, al_round_stats,
