@@ -382,6 +382,15 @@ def oracle_sql() -> dict[str, str]:
     string_agg(CAST(tag_id AS VARCHAR), ' ' ORDER BY tid) AS ner_tags FROM words GROUP BY sid)"""
     q["flat_corpus"] = _with(WORDS, flat) + """SELECT sid AS id, split, tokens, pos_tags_text, ner_tags FROM flat
   UNION ALL SELECT sid, 'val_train', tokens, pos_tags_text, ner_tags FROM flat WHERE split = 'validation'"""
+    lines = f"""lines_of AS (SELECT sid, count(*) AS n, count(*) - (sid % 11 = 0)::INT AS n_tags,
+  string_agg(CAST(tag_id AS VARCHAR), ' ' ORDER BY tid) AS tags, CASE WHEN sid % 23 = 0 THEN 'dev' ELSE {split} END AS split FROM words GROUP BY sid),
+judged AS (SELECT *, CASE WHEN sid % 19 = 0 THEN ['corrupt'] ELSE list_filter([
+  CASE WHEN sid % 23 = 0 THEN 'split' END, CASE WHEN sid % 17 = 0 THEN 'tokens' END,
+  CASE WHEN sid % 11 = 0 AND sid % 17 <> 0 THEN 'ner_tags length' END, CASE WHEN sid % 13 = 0 AND n_tags > 0 THEN 'ner_tags range' END],
+  lambda r: r IS NOT NULL) END AS reasons FROM lines_of)"""
+    q["flat_accepted"] = _with(WORDS, lines) + "SELECT sid::VARCHAR AS id, split, n::INTEGER AS n_tokens, tags AS ner_tags FROM judged WHERE len(reasons) = 0"
+    q["flat_rejects"] = _with(WORDS, lines) + """SELECT CASE WHEN sid % 19 <> 0 THEN sid::VARCHAR END AS id, CASE WHEN sid % 19 <> 0 THEN split END AS split,
+  array_to_string(reasons, ', ') AS reasons FROM judged WHERE len(reasons) > 0"""
     q["flatten_documents"] = _with(WORDS) + """SELECT doc_id AS document_id, line_no AS position, string_agg(word, ' ' ORDER BY tid) AS tokens,
   string_agg(CASE pos WHEN 'NNP' THEN '1' WHEN 'IN' THEN '2' ELSE '0' END, ' ' ORDER BY tid) AS pos_tags,
   string_agg(CAST(length(word) % 5 AS VARCHAR), ' ' ORDER BY tid) AS ner_tags FROM words GROUP BY doc_id, line_no

@@ -20,7 +20,7 @@ from gleaner.operators import (
 from gleaner.operators.skew import checkpoint_dir
 from gleaner.plans import fixtures as X
 from gleaner.plans import loop
-from gleaner.sources import corpus, results, views
+from gleaner.sources import checked, corpus, results, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -294,6 +294,29 @@ def nested_corpus(spark, d):
         F.count(F.lit(1)).alias("n_sentences"), F.sum(F.size("tokens")).alias("n_tokens"))
 
 
+def _faulty_corpus(spark, d) -> checked.Checked:
+    """The sentences as JSON lines, some of them spoilt, read back."""
+    rows = _as_corpus_rows(spark, d).select("id", "tokens", "pos_tags", "ner_tags", "split")
+    nth = lambda n: F.col("id") % n == 0
+    spoilt = rows.withColumns({
+        "tokens": F.when(~nth(17), F.col("tokens")), "split": F.when(nth(23), "dev").otherwise(F.col("split")),
+        "ner_tags": F.slice(F.transform("ner_tags", lambda t: F.when(nth(13), t + 100).otherwise(t)), 1, F.size("ner_tags") - F.when(nth(11), 1).otherwise(0))})
+    line = F.to_json(F.struct(F.col("id").cast("string").alias("id"), "tokens", "pos_tags", "ner_tags", "split"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lines/{uuid.uuid4().hex}"
+    spoilt.select(F.when(nth(19), F.substring(line, 1, 25)).otherwise(line).alias("value")).write.text(path)
+    return checked.read_flat(spark, path, "json", len(X.TEXT_TAGS), len(X.POS_NAMES))
+
+
+def flat_accepted(spark, d):
+    """What is left of a corpus with faults."""
+    return _faulty_corpus(spark, d).accepted.select("id", "split", F.size("tokens").alias("n_tokens"), _joined("ner_tags"))
+
+
+def flat_rejects(spark, d):
+    """What is not, and why."""
+    return _faulty_corpus(spark, d).rejects.select("id", "split", F.array_join("reasons", ", ").alias("reasons"))
+
+
 IO_NAMES = ["o", "page-click", "page-error", "shop-buy", "shop-join", "art-film", "art-song"]
 
 
@@ -506,7 +529,7 @@ def queries() -> dict[str, Query]:
             exclude_sentences, collapse_tokens, length_check, typed_entity, run_entity, annotate_sentences,
             annotate_tokens, annotated_guard, annotated_count, annotated_values, annotated_arrays, candidates,
             train_rejects, training_stats, tfidf_transform, tfidf_updated, io_spans, io_counts, io_prf, type_errors, bio_entities, bio_prf, bio_prf_splits,
-            tag_distribution, annotation_stats, flat_corpus, flatten_documents, nested_corpus, holdout_split,
+            tag_distribution, annotation_stats, flat_corpus, flat_accepted, flat_rejects, flatten_documents, nested_corpus, holdout_split,
             full_split, dense_ids, token_table, align_labels, cosine_distance, init_supervised, init_static,
             init_tfidf_nodup, init_cover, init_cover_share, init_kmeans, init_kmeans_nearest, al_round, al_round_stats,
             text_view_io, init_longest_io, dense_ids_text, al_loop, al_loop_resumed, results_log,

@@ -9,7 +9,7 @@ from gleaner import UNKNOWN
 from gleaner.functions import tags as G
 from gleaner.operators import initial, query, training
 from gleaner.plans import loop, rounds
-from gleaner.sources import corpus, files, results, views
+from gleaner.sources import checked, corpus, files, results, views
 
 FIRST = ["Anna", "Bert", "Carl", "Dora"]
 LAST = ["Smith", "Jones"]
@@ -245,3 +245,36 @@ def test_initial_by_name(spark, small_corpus, name):
     config = loop.RunConfig(initial=name, starting_ratio=0.05, alpha=0.5)
     chosen = [r["sid"] for r in loop.choose_initial(train, small_corpus.tags, config, ids, lm).collect()]
     assert len(set(chosen)) == len(chosen) == 3
+
+
+def test_rejects_add_up_with_accepted_rows(spark, tmp_path):
+    good = {"id": "1", "tokens": ["a", "b"], "pos_tags": [0, 1], "ner_tags": [0, 2], "split": "train"}
+    lines = {
+        json.dumps(good): None, "": None, json.dumps(good)[:30]: ["corrupt"], "[1, 2": ["corrupt"],
+        json.dumps({**good, "id": None, "split": "dev"}): ["id", "split"], json.dumps({**good, "tokens": ["a", None]}): ["tokens"],
+        json.dumps({k: v for k, v in good.items() if k != "tokens"}): ["tokens"],
+        json.dumps({**good, "ner_tags": [0]}): ["ner_tags length"], json.dumps({**good, "ner_tags": [0, 3], "pos_tags": [-1, None]}): ["ner_tags range", "pos_tags range"],
+        json.dumps({**good, "pos_tags": None}): ["pos_tags"], json.dumps({**good, "tokens": [], "pos_tags": [], "ner_tags": []}): None,
+    }
+    (tmp_path / "flat.json").write_text("\n".join(lines))
+    out = checked.read_flat(spark, str(tmp_path / "flat.json"), "json", 3, 2)
+    assert out.accepted.count() == 2 and out.accepted.columns == ["id", "tokens", "pos_tags", "ner_tags", "fine_ner_tags", "split"]
+    found = {r["record"]: r["reasons"] for r in out.rejects.collect()}
+    want = {k: v for k, v in lines.items() if v}
+    assert sorted(found.values()) == sorted(want.values()) and found["[1, 2"] == ["corrupt"] == found[json.dumps(good)[:30]]
+    # Without part-of-speech tags they are not asked for; the fine tags are where they are wanted.
+    assert checked.read_flat(spark, str(tmp_path / "flat.json"), "json", 3).accepted.count() == 3
+    assert {tuple(r["reasons"]) for r in checked.read_flat(spark, str(tmp_path / "flat.json"), "json", 3, None, 9).rejects.collect()} >= {("fine_ner_tags",)}
+    flat_rows(spark).drop("ner_tags").write.parquet(str(tmp_path / "short"))
+    short = checked.read_flat(spark, str(tmp_path / "short"), "parquet", 9, 47)
+    assert short.accepted.count() == 0 and {tuple(r["reasons"]) for r in short.rejects.collect()} == {("ner_tags",)}
+
+
+def test_nested_rejects(spark, tmp_path):
+    good = {"words": ["a", "b"], "pos_tags": [0, 1], "named_entities": [0, 2]}
+    documents = [("1", [good, good], "train", None), ("2", [], "test", None), ("3", None, "train", ["sentences"]), ("4", [good, None], "train", ["sentences"]),
+                 ("5", [good, {**good, "named_entities": [0]}], "train", ["ner_tags length"]), ("6", [{**good, "pos_tags": [7, 0]}, {**good, "words": None}], "train", ["tokens", "pos_tags range"])]
+    (tmp_path / "d.json").write_text("\n".join(json.dumps({"document_id": i, "sentences": s, "split": p}) for i, s, p, _ in documents) + "\n{x")
+    out = checked.read_nested(spark, str(tmp_path / "d.json"), "json", 3, 2)
+    assert {r["document_id"] for r in out.accepted.collect()} == {"1", "2"}
+    assert {r["id"]: r["reasons"] for r in out.rejects.collect()} == {None: ["corrupt"], **{i: w for i, _, _, w in documents if w}}
