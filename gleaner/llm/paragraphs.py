@@ -102,10 +102,13 @@ def passages(docs: DataFrame, found: DataFrame, least: int = PASSAGE) -> DataFra
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     gone = stored(found.where("removed").select("doc_id", "line").distinct())
-    marks = stored(stored(texts.mapInArrow(_marks(least), "doc_id long, line int, mark long")).join(gone, ["doc_id", "line"], "left_anti").select("doc_id", "mark"))
-    shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mark")
-    wanted = marks.join(shared, "mark").distinct().groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
-    cut = gone.groupBy("doc_id").agg(F.collect_list("line").alias("cut"))
+    cut = stored(gone.groupBy("doc_id").agg(F.collect_list("line").alias("cut")))
+    # Marks go by document until they are counted, and are written once.
+    marks = stored(texts.mapInArrow(_marks(least), "doc_id long, line int, mark long").join(cut, "doc_id", "left")
+                   .where("cut is null or not array_contains(cut, line)").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("c")))
+    shared = marks.groupBy("mark").agg(F.sum("c").alias("c")).where("c > 1").select("mark")
+    # What follows the join deals its rows out anew, so Spark may split a mark that many documents hold.
+    wanted = marks.join(shared, "mark").groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
     wanted = stored(wanted.join(cut, "doc_id", "left").select("doc_id", "marks", F.coalesce("cut", F.array().cast("array<int>")).alias("cut")))
     windows = stored(texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", F.xxhash64("text").alias("content"), "text", "marks", "cut")
                      .mapInArrow(_windows(least), "doc_id long, content long, at int, line int, word int, end_line int, window long"))
