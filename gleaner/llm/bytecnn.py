@@ -56,9 +56,9 @@ def learn(labels: DataFrame, docs: DataFrame, seed: int = 10) -> Network | float
 
     Other labels, nulls and labels without a text's row teach nothing; a null
     text is empty. Labels are drawn by a hash of their id, as many of either
-    kind, and only drawn texts are looked at. With one label alone there is
-    nothing to tell apart: the result is that label, or 0.5 without rows, and
-    every text scores it.
+    kind, and only drawn texts are looked at. Where the drawn texts are all of
+    one label there is nothing to tell apart: the result is that label, or 0.5
+    without any, and every text scores it.
     """
     usable = labels.where("label in (0, 1) and doc_id is not null")
     sizes = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -66,7 +66,7 @@ def learn(labels: DataFrame, docs: DataFrame, seed: int = 10) -> Network | float
         return float(next(iter(sizes), 0.5))
     rate = F.when(F.col("label") == 1, F.lit(min(1.0, 1.25 * SAMPLE_ROWS / sizes[1]))).otherwise(F.lit(min(1.0, 1.25 * SAMPLE_ROWS / sizes[0])))
     picked = usable.withColumn("u", uniform(seed, "doc_id")).where(F.col("u") < rate)  # about 2.5 * SAMPLE_ROWS rows
-    usable = docs.join(at_most(picked, round(2.5 * SAMPLE_ROWS)), "doc_id")
+    usable = docs.select("doc_id", "text").join(at_most(picked, round(2.5 * SAMPLE_ROWS)), "doc_id")
     size = 2 * HALF
     drawn = (usable.withColumn("t", F.coalesce("text", F.lit(""))).withColumn("spare", F.greatest(F.lit(0), F.length("t") - size))
              .withColumn("n", F.least(F.lit(TRAIN_CHUNKS - 1), F.ceil(F.col("spare") / HALF)).cast("int"))
@@ -76,6 +76,8 @@ def learn(labels: DataFrame, docs: DataFrame, seed: int = 10) -> Network | float
     for r in sorted(drawn, key=lambda r: (r["u"], r["chunks"])):
         if len(rows[r["label"]]) < SAMPLE_ROWS:
             rows[r["label"]].append([c.encode()[:size] for c in r["chunks"]])
+    if not rows[0] or not rows[1]:
+        return float(bool(rows[1])) if rows[0] or rows[1] else 0.5
     return _fitted(rows[0] + rows[1], np.array([0.0] * len(rows[0]) + [1.0] * len(rows[1])), seed)
 
 

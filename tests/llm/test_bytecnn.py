@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import bytecnn as B
 from gleaner.llm import queries
@@ -65,4 +66,8 @@ def test_odd_rows_and_missing_labels(spark):
     assert len(out) == rows.count() and all(0 <= r["score"] <= 1 for r in out)
     assert B.learn(labels.where("label = 1"), rows.select("doc_id", "text")) == 1.0
     assert B.learn(labels.limit(0), rows.select("doc_id", "text")) == 0.5
+    # Labels whose documents have no row teach nothing, whichever label that leaves without any.
+    texts = rows.withColumn("label", F.lit("a column of that name"))
+    assert B.learn(labels.where("doc_id in (9, 77)"), texts) == 0.0
+    assert B.learn(labels.where("doc_id = 77").unionByName(labels.sparkSession.createDataFrame([(78, 0)], "doc_id long, label int")), texts) == 0.5
     assert B.score(rows.limit(0), 0.5).count() == 0
