@@ -9,6 +9,7 @@ to be counted and to be drawn; all fitting happens on the cells.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,10 @@ TOPICS = (
 )
 
 
+SMALL_CELLS = 10_000
+"""Up to so many cells, as counted, are fitted on the driver; beyond by joins, with the same result."""
+
+
 def features(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_tokens`` and ``topic``; null sources, languages and texts count as unknown and empty.
 
@@ -98,9 +103,41 @@ def fitted(rows: DataFrame, exponents: dict[str, float] | None = None, budget: f
     """Cells of ``rows`` (with dimensions and ``n_tokens``) with ``tokens, weight`` and ``prob``."""
     exponents = exponents or TEMPERATURES
     cells = stored(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
+    if cells.count() <= SMALL_CELLS:
+        return _fitted_here(cells, exponents, budget)
     return stored(calibrated(rake(cells, {d: stored(tempered(cells, d, e)) for d, e in exponents.items()}), budget))
 
 
+def _fitted_here(cells: DataFrame, exponents: dict[str, float], budget: float) -> DataFrame:
+    """``fitted`` for a counted, small number of cells: the same steps on the driver, in place of a job with joins for each."""
+    found = sorted(cells.collect(), key=lambda r: tuple(r[d] for d in DIMENSIONS))
+    tokens = np.array([float(r["tokens"] or 0) for r in found])
+    total = tokens.sum() or 1.0
+    weight = tokens / total
+    dealt = {}
+    for d, exponent in exponents.items():
+        _, at = np.unique([r[d] for r in found], return_inverse=True) if found else (None, np.zeros(0, np.int64))
+        sums = np.bincount(at, tokens)
+        powers = np.where(sums > 0, np.maximum(sums, 1e-300) ** exponent, 0.0)
+        dealt[d] = at, powers / (powers.sum() or 1.0)
+    for _ in range(ROUNDS):
+        for at, target in dealt.values():
+            sums = np.bincount(at, weight)
+            weight = weight * np.where(sums > 0, target / np.where(sums > 0, sums, 1.0), 0.0)[at]
+    ratio = np.where(tokens > 0, weight * total / np.where(tokens > 0, tokens, 1.0), 0.0)
+    c, before = 0.0, None
+    for _ in range(CALIBRATIONS):
+        full = ratio * c >= 1
+        rest = weight[~full].sum()
+        if full.sum() == before or not rest:
+            break
+        c, before = max(c, (budget - tokens[full].sum() / total) / rest), full.sum()
+    rows = [(*[r[d] for d in DIMENSIONS], r["tokens"], float(w), float(q * c)) for r, w, q in zip(found, weight, ratio, strict=True)]
+    schema = ", ".join(f"{n} {t}" for n, t in cells.select(*DIMENSIONS, "tokens").dtypes) + ", weight double, prob double"
+    made = cells.sparkSession.createDataFrame(rows, schema)
+    return stored(made.withColumn("prob", F.least(F.lit(1.0), F.round("prob", 9))))
+
+
 def drawn() -> Column:
     """Whether a document with ``doc_id``, ``prob`` and ``n_tokens`` is kept; the same on every run and retry.
 

@@ -49,3 +49,13 @@ def test_odd_rows_and_empty_table(spark):
         assert r["n_tokens"] or not r["sampled"]
     empty = rows.limit(0)
     assert M.mixed(empty, M.fitted(empty)).count() == 0
+
+
+def test_small_tables_of_cells_are_fitted_alike(spark, monkeypatch):
+    rows = M.features(spark.read.parquet(f"{SMALL}/documents.parquet").unionByName(spark.createDataFrame(odd_rows(), SCHEMA), allowMissingColumns=True))
+    here = {tuple(r[d] for d in M.DIMENSIONS): r for r in M.fitted(rows).collect()}
+    monkeypatch.setattr(M, "SMALL_CELLS", -1)
+    joined = {tuple(r[d] for d in M.DIMENSIONS): r for r in M.fitted(rows).collect()}
+    assert here.keys() == joined.keys() and len(here) > 20
+    for k, r in here.items():
+        assert r["tokens"] == joined[k]["tokens"] and abs(r["weight"] - joined[k]["weight"]) < 1e-12 and abs(r["prob"] - joined[k]["prob"]) < 2e-9
