@@ -21,6 +21,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.skew import join_hot
 from gleaner.operators.tfidf import Vectorizer, term_counts, weighted
 from gleaner.sources import files
 
@@ -70,7 +71,7 @@ class Dictionary:
     def transform(self, texts: DataFrame) -> DataFrame:
         """``texts(sid, text)`` to ``(sid, id, term, w)``; terms that the dictionary doesn't know have no weight."""
         counts = term_counts(texts, self.how, ids=True)
-        rows = weighted(counts.join(self.table(), "id"), self.n()).select("sid", "id", "term", "w")
+        rows = weighted(join_hot(counts, self.table(), "id"), self.n()).select("sid", "id", "term", "w")
         if self.how.norm is None:
             return rows
         # A row of text bounds its number of terms, so this window is bounded too.

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.hashing import uniform
 from gleaner.functions.tags import is_entity
-from gleaner.operators.skew import at_most, cut_lineage, positions
+from gleaner.operators.skew import at_most, cut_lineage, join_hot, positions
 from gleaner.operators.tfidf import Vectorizer, tfidf
 from gleaner.operators.topk import By, first_k
 
@@ -185,7 +185,7 @@ def _dominant(live: DataFrame, near: DataFrame) -> DataFrame:
     terms = near.select("sid", "term", "rests").join(live.select("sid", "k"), "sid")
     best = terms.groupBy("term").agg(F.min("k").alias("best"))
     # A frequent term's rows are many on one side only and are split by Spark (AQE, skewed joins).
-    blocked = terms.where("rests").join(best, "term").where(F.col("k") > F.col("best")).select("sid").distinct()
+    blocked = join_hot(terms.where("rests"), best, "term").where(F.col("k") > F.col("best")).select("sid").distinct()
     return live.join(blocked, "sid", "left_anti").select("sid", "tie", "score")
 
 

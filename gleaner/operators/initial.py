@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import scores as S
 from gleaner.functions.hashing import race_key, uniform
 from gleaner.functions.tags import entity_type, required_pos
-from gleaner.operators.skew import at_most, cut_lineage
+from gleaner.operators.skew import at_most, cut_lineage, join_hot
 from gleaner.operators.tfidf import Vectorizer, text_scores
 from gleaner.operators.topk import By, first_k
 
@@ -93,7 +93,7 @@ def nnp_frequency(tokens: DataFrame, size: int) -> DataFrame:
         F.count_if(F.col("pos").contains("NNP")).alias("uses"),
     )
     nouns = tokens.where(F.col("pos").contains("NNP")).select("sid", "tid", "token")
-    valued = nouns.join(shares.where(F.col("uses") > 0).select("token", "share"), "token")
+    valued = join_hot(nouns, shares.where(F.col("uses") > 0).select("token", "share"), "token")
     scored = valued.groupBy("sid").agg(F.avg("share").alias("score"))
     everyone = tokens.select("sid").distinct()
     ranked = everyone.join(scored, "sid", "left").select(

@@ -72,6 +72,16 @@ def at_most(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
+def join_hot(left: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """``left.join(counted, key)``, where ``left`` may hold a hot key and ``counted`` was grouped by ``key``.
+
+    Grouping leaves rows dealt out by key. A join that takes them as they lie
+    can't be split by Spark (AQE), so a second key has both sides dealt out anew.
+    """
+    again = F.xxhash64(key)
+    return left.withColumn("_again", again).join(counted.withColumn("_again", again), [key, "_again"]).drop("_again")
+
+
 def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "tid", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Number the rows of each key 0, 1, 2... by ``order``, of any types.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import english_stop_words, terms
+from gleaner.operators.skew import join_hot
 
 @dataclass(frozen=True)
 class Vectorizer:
@@ -57,7 +58,7 @@ def tfidf(texts: DataFrame, how: Vectorizer = Vectorizer(), with_df: bool = Fals
     # that Spark splits and shuffles the texts once for both.
     dfs = counts.groupBy(name).agg(F.count_if(F.col("tf") > 0).alias("df"))
     # The rows of a frequent term are split by Spark when they are joined (AQE, skewed sort-merge joins).
-    rows = weighted(counts.join(dfs, name), n).select("sid", name, "w", *(["df"] if with_df else []))
+    rows = weighted(join_hot(counts, dfs, name), n).select("sid", name, "w", *(["df"] if with_df else []))
     if how.norm is None:
         return rows
     if how.norm != "l2":

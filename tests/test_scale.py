@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.operators import initial, tfidf
 from gleaner.operators.skew import at_most, positions
 from gleaner.operators.topk import By, first_k
 from gleaner.sources.corpus import dense_ids, holdout
@@ -102,3 +103,48 @@ def test_picks_do_not_depend_on_partitioning(spark):
         results.append(sorted(map(tuple, entry.queries()["tl_stochastic_breaking_ties"](spark, SMALL).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     assert results[0] == results[1] and len(results[0]) == 500
+
+
+SPLIT = {
+    "spark.sql.adaptive.enabled": "true", "spark.sql.codegen.wholeStage": "true", "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.shuffle.partitions": "8",
+}
+
+
+@pytest.fixture
+def splitting(spark):
+    """Spark as on a cluster: compiled, planned again while it runs, and with a very small idea of skew."""
+    old = {k: spark.conf.get(k) for k in SPLIT}
+    for k, v in SPLIT.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def final_plan(df):
+    """Rows, and the plan that they came from in the end."""
+    rows = sorted(map(repr, df.collect()))
+    return rows, df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_word_is_split(splitting):
+    """One word is a third of all tokens, on one side of the join; its rows go to several tasks."""
+    word = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("w"), (F.col("id") % 4001).cast("string")))
+    rows = splitting.range(0, 60_000, 1, 12).select(F.expr("id div 10").alias("sid"), (F.col("id") % 10).alias("tid"), word.alias("token"),
+                                                    F.when(F.col("id") % 5 < 3, "NNP").otherwise("NN").alias("pos"))
+    found, plan = final_plan(initial.nnp_frequency(rows, 40))
+    assert "skew=true" in plan
+    splitting.conf.set("spark.sql.adaptive.enabled", "false")
+    assert sorted(map(repr, initial.nnp_frequency(rows, 40).collect())) == found
+
+
+def test_a_frequent_term_is_split(splitting):
+    text = F.concat_ws(" ", F.lit("hot"), F.concat(F.lit("w"), F.col("id").cast("string")), F.concat(F.lit("v"), (F.col("id") % 977).cast("string")))
+    texts = splitting.range(0, 30_000, 1, 12).select(F.col("id").alias("sid"), text.alias("text"))
+    found, plan = final_plan(tfidf.tfidf(texts, tfidf.Vectorizer((1, 1), None, None), ids=True))
+    assert "skew=true" in plan and len(found) == 90_000
+    splitting.conf.set("spark.sql.adaptive.enabled", "false")
+    assert sorted(map(repr, tfidf.tfidf(texts, tfidf.Vectorizer((1, 1), None, None), ids=True).collect())) == found
