@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner import UNKNOWN
 from gleaner.functions import tags as G
-from gleaner.operators import initial, query, training
+from gleaner.operators import annotate, initial, predictions, query, training
 from gleaner.plans import loop, registry, rounds
 from gleaner.sources import checked, corpus, files, results, views
 
@@ -277,3 +277,17 @@ def test_nested_rejects(spark, tmp_path):
     out = checked.read_nested(spark, str(tmp_path / "d.json"), "json", 3, 2)
     assert {r["document_id"] for r in out.accepted.collect()} == {"1", "2"}
     assert {r["id"]: r["reasons"] for r in out.rejects.collect()} == {None: ["corrupt"], **{i: w for i, _, _, w in documents if w}}
+
+
+def test_labels_are_not_broadcast_for_small_files(spark, tmp_path):
+    """A small file of labels may stand for many rows, which a broadcast would bring to the driver."""
+    store = rounds.RunStore(spark, str(tmp_path / "run"))
+    store.keep("labelled", spark.range(50).selectExpr("id AS sid", "0L AS tid", "'O' AS tag"))
+    sentences = spark.createDataFrame([(1, ["a", "b"])], "sid long, tokens array<string>")
+    known = store.labelled().withColumn("tag_id", F.lit(0))
+    pool = spark.createDataFrame([(1, 0), (60, 0)], "sid long, tid long")
+    left = predictions.without_labelled_tokens(pool, store.labelled())
+    for rows in (annotate.to_arrays(sentences, known), annotate.to_arrays(sentences, spark.createDataFrame([(1, 0, 0)], "sid long, tid long, tag_id int")), left):
+        assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in left.collect()] == [(60, 0)]
+    assert [r["al_tags"] for r in annotate.to_arrays(sentences, known).collect()] == [[0, -100]]
