@@ -148,3 +148,15 @@ def test_a_frequent_term_is_split(splitting):
     assert "skew=true" in plan and len(found) == 90_000
     splitting.conf.set("spark.sql.adaptive.enabled", "false")
     assert sorted(map(repr, tfidf.tfidf(texts, tfidf.Vectorizer((1, 1), None, None), ids=True).collect())) == found
+
+
+def test_small_chunks_ask_for_a_bounded_number_of_ranges(spark, monkeypatch):
+    """Spark samples for each range on the driver, so ranges must not grow with the table."""
+    asked = []
+    kind = type(spark.range(0))
+    plain = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, n, *keys: (asked.append(n), plain(self, n, *keys))[1])
+    rows = spark.range(400).select(F.lit("a").alias("split"), F.concat(F.lit("o"), F.col("id").cast("string")).alias("id"))
+    placed = {r["id"]: r["sid"] for r in dense_ids(rows, ["id"], chunk_rows=2).collect()}
+    assert placed == {i: n for n, i in enumerate(sorted(placed))} and len(placed) == 400
+    assert asked == [16]
