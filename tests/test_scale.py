@@ -160,3 +160,17 @@ def test_small_chunks_ask_for_a_bounded_number_of_ranges(spark, monkeypatch):
     placed = {r["id"]: r["sid"] for r in dense_ids(rows, ["id"], chunk_rows=2).collect()}
     assert placed == {i: n for n, i in enumerate(sorted(placed))} and len(placed) == 400
     assert asked == [16]
+
+
+def test_holdout_reads_its_rows_twice_at_most(spark):
+    n = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            n.add(len(b))
+            yield b
+    rows = spark.range(300).withColumn("split", F.lit("train")).mapInPandas(counted, "id long, split string")
+    for direct in (None, 1):  # by sort and limit, by ranges
+        before = n.value
+        held = holdout(rows, "id", direct_rows=direct).where("split = 'val_train'").count()
+        assert held == 3 and n.value - before == 600
