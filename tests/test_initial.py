@@ -200,3 +200,23 @@ def test_greedy_turns_are_far_fewer_than_picks(spark, caplog):
         left.remove(sid)
         seen |= set(words[sid])
     assert [tuple(r) for r in found] == want
+
+
+@pytest.mark.parametrize("driver_terms", [0, 60, 10**6])
+def test_greedy_rows_in_each_others_way(spark, caplog, monkeypatch, driver_terms):
+    """Rows that all share terms, in fronts of few rows: the same picks by either way, and few turns where the driver has room."""
+    monkeypatch.setattr(greedy, "FRONT", 2)
+    rng = random.Random(4)
+    sents = {i: {f"w{int(rng.random() ** 2 * 400)}" for _ in range(rng.randint(1, 9))} for i in range(300)}
+    tokens = spark.createDataFrame([(i, t, w, "B-PER") for i, s in sents.items() for t, w in enumerate(sorted(s))], "sid long, tid long, token string, tag string").cache()
+    tie = {r["sid"]: r["u"] for r in spark.range(300).select(F.col("id").alias("sid"), uniform(1, "id").alias("u")).collect()}
+    seen, picks = set(), []
+    for _ in range(120):
+        best = min((i for i in sents if i not in picks), key=lambda i: (-len(sents[i] - seen), tie[i]))
+        picks.append(best)
+        seen |= sents[best]
+    with caplog.at_level("INFO", "gleaner.operators.greedy"):
+        found = greedy.cover(tokens, 120, batch=2, driver_terms=driver_terms).orderBy("step").collect()
+    assert [r["sid"] for r in found] == picks
+    turns = [r.getMessage() for r in caplog.records if "greedy turn" in r.getMessage()]
+    assert driver_terms < 10**6 or len(turns) < 12, turns
