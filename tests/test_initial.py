@@ -220,3 +220,25 @@ def test_greedy_rows_in_each_others_way(spark, caplog, monkeypatch, driver_terms
     assert [r["sid"] for r in found] == picks
     turns = [r.getMessage() for r in caplog.records if "greedy turn" in r.getMessage()]
     assert driver_terms < 10**6 or len(turns) < 12, turns
+
+
+@pytest.mark.parametrize("ids", [True, False])
+@pytest.mark.parametrize("norm", [None, "l2"])
+def test_tfidf_shuffles_texts_and_not_their_terms(spark, monkeypatch, ids, norm):
+    """Many blocks, texts without terms, null and equal texts; rows that share an id; no window or join of terms in the plan."""
+    from gleaner.operators import tfidf as module
+    monkeypatch.setattr(module, "BLOCK_CHARS", 200)
+    rows = [*corpus(60, seed=8), (60, None), (61, ""), (62, "of the")]
+    how = Vectorizer((1, 2), STOPS, norm)
+    df = spark.createDataFrame(rows, "sid long, text string")
+    for made in (df, df.unionByName(spark.createDataFrame([(7, "t1 t2 t1")], df.schema))):
+        found, n = tfidf(made, how, with_df=True, ids=ids), made.count()
+        plain = module._joined(made, how, n, True, ids)
+        key = "id" if ids else "term"
+        got, want = ({(r["sid"], r[key]): (r["w"], r["df"]) for r in x.collect()} for x in (found, plain))
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    plan = tfidf(df, how, ids=ids)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    scores = {r["sid"]: r["score"] for r in module.text_scores(df, 3, how).collect()}
+    top = {r["sid"]: r["score"] for r in module.top_mean(plain.sparkSession.createDataFrame(tfidf(df, how, ids=True).collect()), 3).collect()}
+    assert scores == pytest.approx({i: round(top.get(i, 0.0), 9) for i, _ in rows})
