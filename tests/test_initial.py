@@ -104,6 +104,29 @@ def test_most_dissimilar_equals_all_pairs(texts, rows, block, hot):
     assert [(r["sid"], pytest.approx(r["score"], abs=2e-9)) for r in found] == expected
 
 
+def test_most_dissimilar_settles_few_rows(spark, caplog):
+    """Copies of everything, and words shared by all: neither has every row compared with the table."""
+    once = [(i, f"common shared own{i} own{i} other{i % 7}") for i in range(1, 400)]
+    rows = [(-1, "of the"), (-2, "lonely")] + once + [(1000 + i, t) for i, t in once]
+    df = spark.createDataFrame(rows, "sid long, text string").repartition(3)
+    with caplog.at_level("INFO", "gleaner.operators.vectors"):
+        found = [tuple(r) for r in vectors.most_dissimilar(df, 8, UNIT, block=4).collect()]
+    assert sorted(found, key=lambda p: (-p[1], p[0])) == [(-2, 1.0), (-1, 1.0)] + [(i, 0.0) for i in range(1, 7)]
+    passes = [r.args[1] for r in caplog.records if "to settle" in r.msg]
+    assert passes and sum(passes) <= 12
+
+    # Each row is near one that weighs their common word more: all but a few are settled by that.
+    df = spark.createDataFrame([(i, f"topic{i % 5} topic{i % 5} x{i} y{i}") for i in range(300)] + [(300 + i, f"topic{i}") for i in range(5)]
+                               + [(900, "far away"), (901, "quite odd away")], "sid long, text string")
+    caplog.clear()
+    with caplog.at_level("INFO", "gleaner.operators.vectors"):
+        found = [r["sid"] for r in vectors.most_dissimilar(df, 2, UNIT, block=4).orderBy(F.desc("score"), "sid").collect()]
+    w = weights([tuple(r) for r in df.collect()], unit=True)
+    score = {i: round(1 - max(sum(v * w[j].get(t, 0.0) for t, v in w[i].items()) for j in w if j != i), 9) for i in w}
+    assert found == sorted(score, key=lambda i: (-score[i], i))[:2]
+    assert sum(r.args[1] for r in caplog.records if "to settle" in r.msg) <= 12
+
+
 @pytest.mark.parametrize("pick", ["farthest", "nearest"])
 def test_kmeans_does_not_depend_on_layout(texts, pick):
     """Depth, blocks and partitions are no part of the answer, and every cluster gives a row."""
