@@ -138,6 +138,22 @@ def test_kmeans_does_not_depend_on_layout(texts, pick):
         vectors.kmeans(texts, 2, UNIT, pick="other")
 
 
+def test_kmeans_adds_up_rows_where_they_are(spark):
+    """The rows' terms aren't joined with their centers: a task gives one row for each center and term."""
+    df = spark.createDataFrame([(i, f"aa bb cc{i % 3} cc{i % 3}") for i in range(300)], "sid long, text string")
+    rows = vectors.tfidf_rows(df, Vectorizer((1, 1), None, "l2")).repartition(3).cache()
+    wide = F.inline(F.arrays_zip("ids", "ws")).alias("id", "w")
+    centers = rows.where("sid in (0, 1, 2)").select(F.col("sid").alias("cluster"), wide).cache()
+    found = vectors._sums(rows, centers, 3, 10**6)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.split("InMemoryRelation")[0]
+    assert found.count() <= 3 * 3 * 3
+    expected = rows.select(F.pmod("sid", F.lit(3)).alias("cluster"), wide).groupBy("cluster", "id").agg(F.round(F.sum("w"), 6).alias("w"))
+    added = lambda entries: vectors._sums(rows, centers, 3, entries).groupBy("cluster", "id").agg(F.round(F.sum("w"), 6).alias("w"))
+    for entries in (10**6, 3):
+        assert sorted(map(tuple, added(entries).collect())) == sorted(map(tuple, expected.collect()))
+
+
 def test_kmeans_takes_the_extreme_row(spark):
     df = spark.createDataFrame([(0, "aa aa bb"), (1, "aa bb"), (2, "bb bb bb"), (3, "aa")], "sid long, text string")
     how = Vectorizer((1, 1), None, "l2")
