@@ -94,6 +94,20 @@ def test_cover_equals_full_rescan(spark, batch):
     assert [r["sid"] for r in found] == picks
 
 
+def test_greedy_spreads_out_terms_of_few_rows(texts, rows, monkeypatch):
+    """The corpus is stored as one row per text; only the rows looked at are spread out to their terms."""
+    stored = []
+
+    def kept(df, cut=greedy.cut_lineage):
+        stored.append(cut(df))
+        return stored[-1]
+    monkeypatch.setattr(greedy, "cut_lineage", kept)
+    greedy.without_repeats(texts, 2, how=ONE, batch=1).collect()
+    every = sum(map(len, weights(rows).values()))
+    spread = [df.count() for df in stored if {"sid", "term"} <= set(df.columns)]
+    assert spread and max(spread) < every / 2
+
+
 @pytest.mark.parametrize("block, hot", [(4, 10**6), (64, 2)])
 def test_most_dissimilar_equals_all_pairs(texts, rows, block, hot):
     w = weights(rows, unit=True)
