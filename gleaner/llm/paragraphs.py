@@ -21,12 +21,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.components import jaccard_links, parts_by_hubs
 from gleaner.llm.store import stored
-from gleaner.llm.words import Texts, Words, list_array, mixed, ngrams, text_blocks, words_of
+from gleaner.llm.words import Texts, Words, list_array, long_ngrams, mixed, ngrams, text_blocks, words_of
 
 LEAST_WORDS = 20
 SHINGLE = 5
@@ -54,15 +55,13 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, similar: int = SIMI
     rows = stored(texts.mapInArrow(
         _scanner(least_words), "doc_id long, line int, n_words int, key_a long, key_b long, bands array<long>")
         .withColumn("row", F.monotonically_increasing_id()))
-    classes = stored(rows.groupBy("key_a", "key_b").agg(
-        F.min(_id("doc_id", "line")).alias("id"), F.max(_id("doc_id", "line")).alias("last")))
-    firsts = stored(rows.select("row", "doc_id", "line", "n_words", "key_a", "key_b", _id("doc_id", "line").alias("id"))
-                    .join(classes, ["id", "key_a", "key_b"]).dropDuplicates(["id", "key_a", "key_b"]))
-    posts = rows.select("row", "bands").join(firsts.select("row"), "row", "left_semi").select(F.col("row").alias("id"), F.explode("bands").alias("v"))
+    own = _id("doc_id", "line")
+    firsts = stored(rows.select("row", "n_words", "key_a", "key_b", own.alias("id")).groupBy("key_a", "key_b").agg(
+        F.min("id").alias("id"), F.max("id").alias("last"), F.min_by("row", "id").alias("row"), F.min("n_words").alias("n_words")))
+    posts = (rows.select("row", "bands", (F.col("n_words") - (SHINGLE - 1)).cast("long").alias("n")).join(firsts.select("row"), "row", "left_semi")
+             .select(F.col("row").alias("id"), "n", F.explode("bands").alias("v")))
     shared = posts.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v")
-    candidates = posts.join(shared, "v")
-    sizes = firsts.select(F.col("row").alias("id"), (F.col("n_words") - (SHINGLE - 1)).cast("long").alias("n"))
-    keys = stored(candidates.join(sizes, "id").select("v", "id", "n"))
+    keys = stored(posts.join(shared, "v").select("v", "id", "n"))
     sets = _sets_of(texts, firsts, keys, least_words)
     found = parts_by_hubs(keys, lambda pairs: jaccard_links(pairs, sets, similar), sets, similar)
 
@@ -71,11 +70,9 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, similar: int = SIMI
     moved = linked.select("row", "component").join(first_of, "component").select("row", "first")
     known = (firsts.join(moved, "row", "left").where("last > id or first is not null")
              .select("key_a", "key_b", F.coalesce("first", "id").alias("first")))
-    line = lambda c: F.pmod(F.col(c), F.lit(_LINES)).cast("int")
-    own = _id("doc_id", "line")
     return (rows.select("doc_id", "line", "n_words", "key_a", "key_b").join(known, ["key_a", "key_b"])
-            .select("doc_id", "line", "n_words", ((F.col("first") - line("first")) / _LINES).cast("long").alias("first_doc_id"),
-                    line("first").alias("first_line"), (own != F.col("first")).alias("removed")).distinct())
+            .select("doc_id", "line", "n_words", _doc("first").alias("first_doc_id"),
+                    _line("first").alias("first_line"), (own != F.col("first")).alias("removed")).distinct())
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -103,26 +100,29 @@ def passages(docs: DataFrame, found: DataFrame, least: int = PASSAGE) -> DataFra
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     gone = stored(found.where("removed").select("doc_id", "line").distinct())
     cut = stored(gone.groupBy("doc_id").agg(F.collect_list("line").alias("cut")))
-    # Marks go by document until they are counted, and are written once.
-    marks = stored(texts.mapInArrow(_marks(least), "doc_id long, line int, mark long").join(cut, "doc_id", "left")
-                   .where("cut is null or not array_contains(cut, line)").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("c")))
-    shared = marks.groupBy("mark").agg(F.sum("c").alias("c")).where("c > 1").select("mark")
+    # Marks go packed, a row for each text, until they are counted.
+    kept = "if(cut is null, marks, filter(marks, (m, i) -> not array_contains(cut, lines[i])))"
+    marks = (stored(texts.mapInArrow(_marks(least), "doc_id long, lines array<int>, marks array<long>").join(cut, "doc_id", "left")
+                    .select("doc_id", F.expr(kept).alias("marks"))).select("doc_id", F.explode("marks").alias("mark")))
+    shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mark")
     # What follows the join deals its rows out anew, so Spark may split a mark that many documents hold.
-    wanted = marks.join(shared, "mark").groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
+    wanted = marks.join(shared, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
     wanted = stored(wanted.join(cut, "doc_id", "left").select("doc_id", "marks", F.coalesce("cut", F.array().cast("array<int>")).alias("cut")))
     windows = stored(texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", F.xxhash64("text").alias("content"), "text", "marks", "cut")
                      .mapInArrow(_windows(least), "doc_id long, content long, at int, line int, word int, end_line int, window long"))
 
     place = F.struct("doc_id", "content", "at", "line", "word")
-    firsts = windows.groupBy("window").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f < l").select("window", "f")
-    again = (windows.join(firsts, "window").where(f"doc_id <> f.doc_id or content <> f.content or at >= f.at + {least}")
-             .dropDuplicates(["doc_id", "content", "at"]))
+    # Stored, so that Spark may split a window that many documents hold.
+    firsts = stored(windows.groupBy("window").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f < l").select("window", "f"))
+    again = windows.join(firsts, "window").where(f"doc_id <> f.doc_id or content <> f.content or at >= f.at + {least}")
+    # Rows of one place are equal and stay in one run. Of a run the first and the last window are kept, next to each other.
     order = Window.partitionBy("doc_id", "content").orderBy("at")
     starts = F.coalesce((F.col("at") > F.lag("at").over(order) + least) | (F.lag("f.doc_id").over(order) != F.col("f.doc_id")), F.lit(True))
-    runs = again.withColumn("run", F.sum(starts.cast("int")).over(order)).groupBy("doc_id", "content", "run").agg(
-        F.min(F.struct("at", "line", "word", "f")).alias("a"), F.max(F.struct("at", "end_line")).alias("z"))
-    return runs.select("doc_id", "a.line", (F.col("z.at") + least - F.col("a.at")).alias("n_words"), F.col("a.f.doc_id").alias("first_doc_id"),
-                       F.col("a.f.line").alias("first_line"), F.lit(True).alias("removed"), "a.word", "z.end_line", F.col("a.f.word").alias("first_word")).distinct()
+    rims = (again.withColumn("starts", starts).withColumn("ends", F.coalesce(F.lead("starts").over(order), F.lit(True))).where("starts or ends"))
+    last = F.struct("at", "end_line")
+    runs = rims.withColumn("z", F.when(F.col("ends"), last).otherwise(F.lead(last).over(order))).where("starts")
+    return runs.select("doc_id", "line", (F.col("z.at") + least - F.col("at")).alias("n_words"), F.col("f.doc_id").alias("first_doc_id"),
+                       F.col("f.line").alias("first_line"), F.lit(True).alias("removed"), "word", "z.end_line", F.col("f.word").alias("first_word")).distinct()
 
 
 def all_repeats(docs: DataFrame) -> DataFrame:
@@ -166,32 +166,46 @@ def _id(doc: str, line: str) -> Column:
     return (F.col(doc).cast("decimal(20,0)") * F.lit(_LINES) + F.col(line)).cast("decimal(38,0)")
 
 
+def _line(paragraph: str) -> Column:
+    return F.pmod(F.col(paragraph), F.lit(_LINES)).cast("int")
+
+
+def _doc(paragraph: str) -> Column:
+    return ((F.col(paragraph) - _line(paragraph)) / _LINES).cast("long")
+
+
 def _sets_of(texts: DataFrame, firsts: DataFrame, keys: DataFrame, least_words: int) -> DataFrame:
     """``id, full``: the shingles of the paragraphs in ``keys``.
 
     Texts meet the wanted documents by a shuffle at every size, so that what
     this takes grows evenly with the corpus.
     """
-    ids = stored(firsts.select("doc_id", "line", F.col("row").alias("id")).join(keys.select("id").distinct(), "id", "left_semi"))
-    wanted = ids.select("doc_id").distinct()
-    of = (texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text")
-          .mapInArrow(_sets(least_words), "doc_id long, line int, full array<long>"))
-    return stored(of.join(ids, ["doc_id", "line"]).select("id", "full"))
+    ids = (firsts.select(_doc("id").alias("doc_id"), F.struct(_line("id").alias("line"), F.col("row").alias("id")).alias("p"), F.col("row").alias("id"))
+           .join(keys.select("id").distinct(), "id", "left_semi"))
+    wanted = stored(ids.groupBy("doc_id").agg(F.collect_list("p").alias("p")).select("doc_id", F.col("p.line").alias("lines"), F.col("p.id").alias("ids")))
+    return stored(texts.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "lines", "ids")
+                  .mapInArrow(_sets(least_words), "id long, full array<long>"))
+
+
+def _lines(texts: Texts, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The first word at or after the start of each line of a block, and the first line of each text."""
+    starts = np.union1d(texts.bounds[:-1], np.flatnonzero(texts.data == 10) + 1)
+    return np.searchsorted(words.starts, starts), np.searchsorted(starts, texts.bounds[:-1])
+
+
+def _placed(words: Words, lines: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text of the words at some places, and their line in it."""
+    text = np.searchsorted(words.first, at, "right") - 1
+    return text, np.searchsorted(lines[0], at, "right") - 1 - lines[1][text]
 
 
-def _paragraphs(texts: Texts, words: Words, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _paragraphs(words: Words, lines: tuple[np.ndarray, np.ndarray], least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, line number, first and end word of each paragraph of enough words."""
-    data, bounds = texts.data, texts.bounds
-    feeds = np.flatnonzero(data == 10)
-    line_starts = np.union1d(bounds[:-1], feeds + 1)
-    line_of = np.searchsorted(line_starts, words.starts, "right") - 1
-    edges = np.flatnonzero(np.diff(line_of, prepend=-1))
-    first, end = edges, np.append(edges[1:], len(line_of))
+    edges = np.append(np.unique(lines[0][lines[0] < len(words.hashes)]), len(words.hashes))
+    first, end = edges[:-1], edges[1:]
     full = end - first >= least_words
     first, end = first[full], end[full]
-    text = np.searchsorted(words.first, first, "right") - 1
-    line = np.searchsorted(feeds, words.starts[first]) - np.searchsorted(feeds, bounds[text])
-    return text, line, first, end
+    return *_placed(words, lines, first), first, end
 
 
 def _scanner(least_words: int):
@@ -200,15 +214,16 @@ def _scanner(least_words: int):
         for batch in batches:
             for texts in text_blocks(batch.column(1)):
                 words = words_of(texts, lower=True)
-                text, line, first, end = _paragraphs(texts, words, least_words)
+                text, line, first, end = _paragraphs(words, _lines(texts, words), least_words)
                 if not len(text):
                     continue
                 hashes, grams = words.hashes, ngrams(words.hashes, SHINGLE)
-                places = np.arange(len(hashes), dtype=np.uint64)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes)])
-                key_a = mixed(sums[end] - sums[first])
-                key_b = np.array([int((hashes[a:b] * (places[: b - a] * np.uint64(2) + np.uint64(3))).sum(dtype=np.uint64)) >> 1
-                                  for a, b in zip(first, end, strict=True)], np.int64)
+                turns = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * np.arange(len(hashes), dtype=np.uint64))])
+                total = sums[end] - sums[first]
+                key_a = mixed(total)
+                # Each word counts 2 k + 3 times, k being its place in the paragraph.
+                key_b = np.uint64(2) * (turns[end] - turns[first] - first.astype(np.uint64) * total) + np.uint64(3) * total
                 # Word ranges of the paragraphs, one after the other, and the last shingle of each.
                 cuts = np.empty(2 * len(first), np.int64)
                 cuts[::2], cuts[1::2] = first, np.maximum(first + 1, end - SHINGLE + 1)
@@ -223,7 +238,7 @@ def _scanner(least_words: int):
                 flat = pa.array((bands.T.ravel() >> np.uint64(1)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(texts.first_row + text)), pa.array(line.astype(np.int32)), pa.array((end - first).astype(np.int32)),
-                     pa.array((key_a >> np.uint64(1)).astype(np.int64)), pa.array(key_b),
+                     pa.array((key_a >> np.uint64(1)).astype(np.int64)), pa.array((key_b >> np.uint64(1)).astype(np.int64)),
                      pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(first) + 1, BANDS, dtype=np.int32)), flat)],
                     names=["doc_id", "line", "n_words", "key_a", "key_b", "bands"])
     return run
@@ -232,17 +247,30 @@ def _scanner(least_words: int):
 def _sets(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in text_blocks(batch.column(1)):
+            for texts in text_blocks(batch.column(0)):
                 words = words_of(texts, lower=True)
-                text, line, first, end = _paragraphs(texts, words, least_words)
+                text, line, first, end = _paragraphs(words, _lines(texts, words), least_words)
+                of, wanted = _listed(batch.column(1), texts)
+                ids = _listed(batch.column(2), texts)[1]
+                # Paragraphs are in order of text and line; the wanted ones are looked up among them.
+                have, ask = text * _LINES + line, of * _LINES + wanted
+                at = np.searchsorted(have, ask)
+                held = np.append(have, -1)[at] == ask
+                at, ids = at[held], ids[held]
                 grams = ngrams(words.hashes, SHINGLE)
-                sets = [np.unique(grams[a: max(a + 1, b - SHINGLE + 1)]) for a, b in zip(first, end, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(texts.first_row + text)), pa.array(line.astype(np.int32)), list_array(sets, pa.int64())],
-                    names=["doc_id", "line", "full"])
+                sets = [grams[a: b - SHINGLE + 1] for a, b in zip(first[at].tolist(), np.maximum(end, first + SHINGLE)[at].tolist(), strict=True)]
+                sets = [np.sort(x) for x in sets]
+                sets = [x if len(x) < 2 or (x[1:] > x[:-1]).all() else np.unique(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), list_array(sets, pa.int64())], names=["id", "full"])
     return run
 
 
+def _listed(column: pa.Array, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """What the lists of a block's rows hold: the text each value belongs to, and the values."""
+    lists = column.slice(texts.first_row, len(texts))
+    return np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()
+
+
 def _slid(values: np.ndarray, width: int, pick: Callable) -> np.ndarray:
     """``pick`` over each ``width`` neighbours."""
     span = 1
@@ -252,25 +280,18 @@ def _slid(values: np.ndarray, width: int, pick: Callable) -> np.ndarray:
     return values
 
 
-def _winnowed(words: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams of half of ``least`` words, and the places of those that are the least of all in some run of ``least`` words."""
+def _winnowed(words: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams of half of ``least`` words, the least in each run of ``least`` words, or 0 where a text ends in it, and the places of these."""
     n = least // 2
     if len(words.hashes) < least:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    grams, width = ngrams(words.hashes, n), least - n + 1
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    grams, width = long_ngrams(words.hashes, n), least - n + 1
     low = _slid(grams, width, np.minimum)
-    end = np.repeat(words.first[1:], np.diff(words.first))[: len(low)]
-    low = np.where(np.arange(len(low)) + least <= end, low, np.uint64(0))  # no run crosses the end of a text
+    for end in words.first[1:]:  # no run crosses the end of a text
+        low[max(0, end - least + 1): end] = 0
     rim = np.zeros(width - 1, np.uint64)
     top = _slid(np.concatenate([rim, low, rim]), width, np.maximum)
-    return grams, np.flatnonzero((top == grams) & (top > 0))
-
-
-def _lines_of(texts: Texts, words: Words, at: np.ndarray) -> np.ndarray:
-    """Line numbers, in their texts, of the words at some places."""
-    feeds = np.flatnonzero(texts.data == 10)
-    text = np.searchsorted(words.first, at, "right") - 1
-    return np.searchsorted(feeds, words.starts[at]) - np.searchsorted(feeds, texts.bounds[text])
+    return grams, low, np.flatnonzero((top == grams) & (top > 0))
 
 
 def _marks(least: int):
@@ -278,11 +299,11 @@ def _marks(least: int):
         for batch in batches:
             for texts in text_blocks(batch.column(1)):
                 words = words_of(texts, lower=True)
-                grams, at = _winnowed(words, least)
-                text = np.searchsorted(words.first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(texts.first_row + text)), pa.array(_lines_of(texts, words, at).astype(np.int32)),
-                     pa.array(grams[at].astype(np.int64))], names=["doc_id", "line", "mark"])
+                grams, _, at = _winnowed(words, least)
+                cuts = pa.array(np.searchsorted(at, words.first).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in
+                         (_placed(words, _lines(texts, words), at)[1].astype(np.int32), grams[at].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first_row, len(texts)), *lists], names=["doc_id", "lines", "marks"])
     return run
 
 
@@ -291,24 +312,29 @@ def _windows(least: int):
         for batch in batches:
             for texts in text_blocks(batch.column(2)):
                 words = words_of(texts, lower=True)
-                grams, chosen = _winnowed(words, least)
-                if not len(chosen):
+                grams, low, chosen = _winnowed(words, least)
+                marks = np.unique(_listed(batch.column(3), texts)[1]).astype(np.uint64)  # a mark that one text has to look for is shared for all
+                near = chosen[np.isin(grams[chosen], marks)]
+                if not len(near):
                     continue
-                hashes, lines = ngrams(words.hashes, least), _lines_of(texts, words, np.arange(len(words.hashes)))
-                for k in range(len(texts)):
-                    row, a, b = texts.first_row + k, words.first[k], words.first[k + 1]
-                    near = chosen[np.searchsorted(chosen, a): np.searchsorted(chosen, b)]
-                    near = near[np.isin(grams[near].astype(np.int64), batch.column(3)[row].values.to_numpy())]
-                    if not len(near):
-                        continue
-                    edges = np.zeros(b - a + 1, np.int64)  # windows that hold a shared n-gram
-                    np.add.at(edges, np.maximum(near - (least - least // 2), a) - a, 1)
-                    np.add.at(edges, near + 1 - a, -1)
-                    cut = np.concatenate([[0], np.cumsum(np.isin(lines[a:b], batch.column(4)[row].values.to_numpy()))])
-                    at = np.flatnonzero((np.cumsum(edges)[: b - a - least + 1] > 0) & (cut[least:] == cut[: b - a - least + 1]))
-                    line = lines[a + at]
-                    ints = [at, line, at - np.searchsorted(lines[a:b], line), lines[a + at + least - 1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), batch.column(c)[row].as_py(), np.int64)) for c in (0, 1)] + [pa.array(x.astype(np.int32)) for x in ints]
-                        + [pa.array(hashes[a + at].astype(np.int64))], names=["doc_id", "content", "at", "line", "word", "end_line", "window"])
+                n = len(words.hashes) + 1
+                edges = np.bincount(np.maximum(near - (least - least // 2), 0), minlength=n) - np.bincount(near + 1, minlength=n)
+                at = np.flatnonzero(np.cumsum(edges)[: len(low)] > 0)  # windows that hold a shared n-gram
+                at = at[np.isin(low[at], marks)]  # in copies of a window the same n-gram is the least
+                first, of_text = lines = _lines(texts, words)
+                text, gone = _listed(batch.column(4), texts)
+                gone = of_text[text] + gone
+                gone = gone[gone < np.append(of_text[1:], len(first))[text]]
+                cut = np.zeros(n, np.int64)
+                np.add.at(cut, first[gone], 1)
+                np.add.at(cut, np.append(first, n - 1)[gone + 1], -1)
+                cut = np.concatenate([[0], np.cumsum(np.cumsum(cut) > 0)])
+                at = at[cut[at + least] == cut[at]]
+                text, line = _placed(words, lines, at)
+                rows = pa.array(texts.first_row + text)
+                ints = [at - words.first[text], line, at - first[of_text[text] + line], _placed(words, lines, at + least - 1)[1]]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c).take(rows) for c in (0, 1)] + [pa.array(x.astype(np.int32)) for x in ints]
+                    + [pa.array(long_ngrams(words.hashes, least)[at].astype(np.int64))],
+                    names=["doc_id", "content", "at", "line", "word", "end_line", "window"])
     return run

@@ -108,3 +108,45 @@ def test_passages_equal_plain_windows(spark):
         at = sum(len(words(x)) for x in text[: r["line"]]) + r["word"]
         got |= {(r["doc_id"], at + x) for x in range(r["n_words"])}
     assert got and got == plain_passages(rows, removed)
+
+
+def scanned(run, columns):
+    import pyarrow as pa
+    return pa.Table.from_batches(list(run(iter([pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns], names=list("abcdefg")[: len(columns)])]))))
+
+
+def test_windows_only_where_their_own_mark_is_shared():
+    import pyarrow as pa
+
+    from gleaner.llm.words import text_blocks, words_of
+    own = lambda i, n: " ".join(f"own{i}x{k}" for k in range(n))
+    shared = " ".join(f"Shared{k}" for k in range(45))
+    texts = [f"{own(2 * i, 80)} {shared}\n{own(2 * i + 1, 80)}" for i in range(2)] + ["", " \n "]
+    held = [P._winnowed(words_of(next(text_blocks(pa.array([t]))), lower=True), P.PASSAGE) for t in texts[:2]]
+    common = {int(x) for x in held[0][0][held[0][-1]]} & {int(x) for x in held[1][0][held[1][-1]]}
+    width = P.PASSAGE - P.PASSAGE // 2 + 1
+    expected = [(i, at) for i, h in enumerate(held) for at in range(len(h[0]) - width + 1) if int(min(h[0][at: at + width])) in common]
+    assert expected
+    wanted = [sorted(common)] * 2 + [[]] * 2
+
+    def windows(cut):
+        out = scanned(P._windows(P.PASSAGE), [([7, 8, 9, 10], pa.int64()), ([1, 2, 3, 4], pa.int64()), (texts, pa.string()),
+                                              (wanted, pa.list_(pa.int64())), (cut, pa.list_(pa.int32()))])
+        return [(d - 7, at) for d, at in zip(out["doc_id"].to_pylist(), out["at"].to_pylist(), strict=True)]
+    assert windows([[]] * 4) == expected
+    # Lines that are gone, and such that another text of the same id has.
+    assert windows([[9], [1, 2], [0], [0, 1]]) == [(i, at) for i, at in expected if i == 0 or at + P.PASSAGE <= 125]
+
+
+def test_sets_only_of_wanted_paragraphs():
+    import pyarrow as pa
+    line = [" ".join(f"w{i}x{k % 7}" for k in range(30)) for i in range(3)]
+    out = scanned(P._sets(P.LEAST_WORDS), [(["\n".join(line), "", line[2]], pa.string()), ([[2, 0, 5], [0], [0]], pa.list_(pa.int32())),
+                                           ([[52, 50, 55], [60], [70]], pa.list_(pa.int64()))])
+    got = dict(zip(out["id"].to_pylist(), out["full"].to_pylist(), strict=True))
+    assert set(got) == {52, 50, 70} and got[52] == got[70] != got[50] and len(got[50]) == 7
+
+
+def test_texts_without_words(spark):
+    table = spark.createDataFrame([(1, " \n "), (2, ""), (3, None), (4, "\n\t")], "doc_id long, text string").coalesce(1)
+    assert P.all_repeats(table).count() == 0
