@@ -104,8 +104,8 @@ def passages(docs: DataFrame, found: DataFrame, least: int = PASSAGE) -> DataFra
     kept = "if(cut is null, marks, filter(marks, (m, i) -> not array_contains(cut, lines[i])))"
     marks = (stored(texts.mapInArrow(_marks(least), "doc_id long, lines array<int>, marks array<long>").join(cut, "doc_id", "left")
                     .select("doc_id", F.expr(kept).alias("marks"))).select("doc_id", F.explode("marks").alias("mark")))
-    shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mark")
-    # What follows the join deals its rows out anew, so Spark may split a mark that many documents hold.
+    # Stored, and what follows the join deals its rows out anew, so Spark may split a mark that many documents hold.
+    shared = stored(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mark"))
     wanted = marks.join(shared, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
     wanted = stored(wanted.join(cut, "doc_id", "left").select("doc_id", "marks", F.coalesce("cut", F.array().cast("array<int>")).alias("cut")))
     windows = stored(texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", F.xxhash64("text").alias("content"), "text", "marks", "cut")
@@ -300,9 +300,13 @@ def _marks(least: int):
             for texts in text_blocks(batch.column(1)):
                 words = words_of(texts, lower=True)
                 grams, _, at = _winnowed(words, least)
+                text, line = _placed(words, _lines(texts, words), at)
+                # Words that go round give one mark over and over; two of it in a line say that it is shared.
+                keep = np.ones(len(at), bool)
+                keep[2:] = (text[2:] != text[:-2]) | (line[2:] != line[:-2]) | (grams[at[2:]] != grams[at[1:-1]]) | (grams[at[2:]] != grams[at[:-2]])
+                at, line = at[keep], line[keep]
                 cuts = pa.array(np.searchsorted(at, words.first).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in
-                         (_placed(words, _lines(texts, words), at)[1].astype(np.int32), grams[at].astype(np.int64))]
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (line.astype(np.int32), grams[at].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first_row, len(texts)), *lists], names=["doc_id", "lines", "marks"])
     return run
 

@@ -147,6 +147,15 @@ def test_sets_only_of_wanted_paragraphs():
     assert set(got) == {52, 50, 70} and got[52] == got[70] != got[50] and len(got[50]) == 7
 
 
+def test_marks_of_words_that_go_round():
+    import pyarrow as pa
+    texts = ["a " * 900 + "\n" + "a " * 300, "", "b c d " * 300, " ".join(f"w{k}" for k in range(50))]
+    out = scanned(P._marks(P.PASSAGE), [([1, 2, 3, 4], pa.int64()), (texts, pa.string())])
+    assert out["doc_id"].to_pylist() == [1, 2, 3, 4]
+    assert out["lines"].to_pylist() == [[0, 0, 1, 1], [], [0, 0], [0]]
+    assert [len(set(x)) for x in out["marks"].to_pylist()] == [1, 0, 1, 1]
+
+
 def test_texts_without_words(spark):
     table = spark.createDataFrame([(1, " \n "), (2, ""), (3, None), (4, "\n\t")], "doc_id long, text string").coalesce(1)
     assert P.all_repeats(table).count() == 0
