@@ -291,3 +291,46 @@ def test_labels_are_not_broadcast_for_small_files(spark, tmp_path):
         assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in left.collect()] == [(60, 0)]
     assert [r["al_tags"] for r in annotate.to_arrays(sentences, known).collect()] == [[0, -100]]
+
+
+def test_pairs_of_sentences_are_those_of_the_join(spark):
+    """By stretches as token by token: sentences without guesses, guesses without a token, gaps, repeats, turned order, missing tags."""
+    tags = ["O", "B-PER", "I-PER"]
+    sentences = spark.createDataFrame(
+        [(1, ["a", "b", "c"], [0, 1, 2]), (2, ["a"], [2]), (3, ["a", "b"], [1, 1]), (4, [], []), (5, ["a", "b"], [1])], "sid long, tokens array<string>, ner_tags array<int>")
+    guessed = [(1, 2, 0), (1, 0, 1), (1, 1, 2), (1, 3, 1), (1, 1, 0), (2, 0, None), (9, 0, 1), (5, 0, 0), (5, 1, 2), (5, -1, 2), (4, 0, 1), (None, 0, 1), (3, None, 1), (3, 1 << 40, 1)]
+    guessed = spark.createDataFrame(guessed, "sid long, tid long, tag_id int").coalesce(1)
+    out = predictions.pairs_of_sentences(sentences, guessed, tags)
+    gold = corpus.to_tokens(sentences, tags).select("sid", "tid", F.col("tag").alias("gold"))
+    want = gold.join(guessed.select("sid", "tid", predictions.decode(F.col("tag_id"), tags).alias("pred")), ["sid", "tid"])
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, want.select("sid", "tid", "gold", "pred").collect())) and out.count() == 7
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_held_out_tokens_are_not_shuffled_one_by_one(spark):
+    """Gold tags go by sentence and guesses by stretch; the windows over runs take the pairs as they lie."""
+    sentences = spark.range(40).selectExpr("id AS sid", "array('a', 'b', 'c') AS tokens", "array(0, 1, 2) AS ner_tags", "elt(id % 3 + 1, 'validation', 'val_train', 'test') AS split")
+    predict = lambda rows: corpus.to_tokens(rows, ["O", "B-PER", "I-PER"]).select("sid", "tid", F.array(F.lit(0.1), F.lit(0.8), F.lit(0.1)).alias("scores"))
+    held = loop.evaluate_splits(sentences, predict, ["O", "B-PER", "I-PER"], "bio")
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(sid#" in plan and "tid#" not in "".join(x for x in plan.splitlines() if "Exchange hash" in x)
+    assert sorted((r["split"], r["type"], r["number"]) for r in held.collect())[:2] == [("test", "PER", 13), ("test", "overall", 13)]
+
+
+def test_rounds_look_for_labels_among_reached_sentences_only(spark, small_corpus, tmp_path):
+    """What a round trains on comes from the sentences that carry labels, which are kept once each; an older run without them gets them."""
+    config = loop.RunConfig(level=query.TOKEN, strategy=query.ENTROPY, rounds=3, starting_ratio=0.05, new_examples=[5])
+    path = str(tmp_path / "run")
+    labelled = loop.run(spark, small_corpus, config, registry._frequency_model, path=path)[1].collect()
+    reached = rounds.RunStore(spark, path).all_data(rounds.REACHED, 2)
+    assert sorted(r["sid"] for r in reached.collect()) == sorted({r["sid"] for r in labelled})
+    for name in os.listdir(f"{path}/steps"):
+        if "reached" in name or "000002" in name or "000001-scored" in name:
+            os.remove(f"{path}/steps/{name}")
+    again = loop.run(spark, small_corpus, config, registry._frequency_model, path=path)[1]
+    assert sorted(again.collect()) == sorted(labelled)
+    steps = rounds.RunStore(spark, path)
+    assert sum(steps.data(rounds.REACHED, n).count() for n in range(3)) == again.select("sid").distinct().count()

@@ -143,3 +143,14 @@ def test_collapse(spark):
     rows = spark.createDataFrame([(1, 5), (1, 0), (1, 5), (2, 70000)], "sid long, tid long")
     assert {tuple([r["sid"], r["block_no"], tuple(r["tids"])]) for r in predictions.collapse(rows).collect()} == {
         (1, 0, (0, 5)), (2, 1, (70000,))}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.999, 1.0])
+def test_best_tokens_first_or_labels_left_out_first(spark, share):
+    """The same picks whether the pool is joined with all labels or a few of its best tokens are; many labels among the best don't matter."""
+    pool = spark.range(3_000).selectExpr("id % 300 AS sid", "id div 300 AS tid", "array(0.5D + (id * 7919 % 1000) / 2000, 0.5D - (id * 7919 % 1000) / 2000) AS scores")
+    labelled = pool.where(F.col("sid") < 300 * share).selectExpr("sid", "tid", "'O' AS tag")
+    for strategy in (query.BREAKING_TIES, query.RANDOM, query.STOCHASTIC_BREAKING_TIES):
+        want = query.rank_tokens(pool, labelled, strategy, 12, 3).collect()
+        got = query.rank_tokens(pool, labelled, strategy, 12, 3, spare=96).collect()
+        assert sorted(got) == sorted(want) and len(want) == min(12, round(3_000 - labelled.count()))
