@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import queries
 from gleaner.llm import wordcnn as C
@@ -145,3 +146,46 @@ def test_slopes_in_groups_are_those_of_the_batch(learned, monkeypatch):
     for (at, g), (some, h) in zip(whole, parts, strict=True):
         assert isinstance(at, slice) or (at == some).all()
         assert np.allclose(g, h, atol=1e-6)
+
+
+@pytest.fixture
+def many(spark, monkeypatch):
+    """Tables of which the driver may take a tenth only."""
+    for name, n in (("SAMPLE_ROWS", 60), ("WORKER_ROWS", 150), ("BLOCK_ROWS", 64)):
+        monkeypatch.setattr(C, name, n)
+    rows = made(900, 5)
+    return rows, spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(5), \
+        spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, label int")
+
+
+def test_every_labelled_row_is_learned_from(spark, many, monkeypatch):
+    """Each row beyond what the driver takes either trains the network or sets its thresholds."""
+    rows, docs, labels = many
+    dealt, read = [], []
+    cut, rest = C.cut_lineage, C._calibrate_to_all
+    monkeypatch.setattr(C, "cut_lineage", lambda df: dealt.append(cut(df)) or dealt[-1])
+    monkeypatch.setattr(C, "_calibrate_to_all", lambda net, some, *a: read.append(some.count()) or rest(net, some, *a))
+    net = C.learn(labels, docs)
+    trained = [df for df in dealt if "worker" in df.columns]
+    assert len(trained) == 1 and trained[0].count() + read[0] == len(rows) and trained[0].count() > 2 * 2 * C.SAMPLE_ROWS
+    fresh = made(400, 6)
+    out = {r["doc_id"]: r for r in C.score(spark.createDataFrame([r[:2] for r in fresh], "doc_id long, text string"), net).collect()}
+    assert sum((out[i]["score"] >= 0.5) == bool(label) for i, _, _, label in fresh) > 0.95 * len(fresh)
+    assert all(out[i]["lang_guess"] == lang for i, _, lang, _ in fresh)
+
+
+def test_parts_are_counted_in_all_rows(spark, many):
+    """Known parts and first weights are those that the driver would find in all rows."""
+    rows, docs, labels = many
+    known = docs.join(labels, "doc_id").select("label", F.lit(0.5).alias("u"), "lang", "text")
+    sizes = {y: sum(r[3] == y for r in rows) for y in (0, 1)}
+    net = C._started_from_all(known, sizes, np.random.default_rng(1))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[3] for r in rows], pa.int32()), pa.array([0.5] * len(rows)), pa.array([r[2] for r in rows]), pa.array([r[1] for r in rows])],
+                                       names=["label", "u", "lang", "text"])
+    drawn = []
+    for r in [r for out in C._sampled(iter([batch])) for r in out.to_pylist()]:
+        words = np.frombuffer(r["words"], np.uint32).reshape(-1, C._PARTS)
+        drawn.append((C.Drawn(words, np.frombuffer(r["turns"], C._turn_type(len(words))), r["lang"]), float(r["label"])))
+    want = C._started(drawn, np.random.default_rng(1))
+    assert (net.owners == want.owners).all() and (net.places == want.places).all() and net.languages == want.languages
+    assert np.allclose(net.vectors, want.vectors) and np.allclose(net.tongues, want.tongues) and np.allclose(net.prior, want.prior)
