@@ -295,3 +295,20 @@ def test_tfidf_shuffles_texts_and_not_their_terms(spark, monkeypatch, ids, norm)
     scores = {r["sid"]: r["score"] for r in module.text_scores(df, 3, how).collect()}
     top = {r["sid"]: r["score"] for r in module.top_mean(plain.sparkSession.createDataFrame(tfidf(df, how, ids=True).collect()), 3).collect()}
     assert scores == pytest.approx({i: round(top.get(i, 0.0), 9) for i, _ in rows})
+
+
+def test_cover_reads_the_tokens_once(spark):
+    """Ids without entities, with null tags or null tokens stay, and the tokens are made once; the size may follow from the number of ids."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+    rows = [(1, 0, "a", "B-X"), (1, 1, "b", "O"), (1, 2, "a", "B-X"), (2, 0, "c", "O"), (2, 1, "d", "O"), (3, 0, None, "B-X"), (4, 0, "e", None), (5, 0, "a", "B-X"), (5, 1, "f", "I-X")]
+    schema = "sid long, tid long, token string, tag string"
+    tokens = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    picks = greedy.cover(tokens, lambda n: n - 1, batch=1).collect()
+    assert seen.value == len(rows) and len(picks) == 4
+    ahead = {r["sid"]: r["score"] for r in picks}
+    assert ahead[3] == 1.0 and {ahead[1], ahead[5]} in ({2.0, 1.0}, {2.0, 0.0}) and len(ahead.keys() & {2, 4}) == 1
