@@ -312,3 +312,12 @@ def test_cover_reads_the_tokens_once(spark):
     assert seen.value == len(rows) and len(picks) == 4
     ahead = {r["sid"]: r["score"] for r in picks}
     assert ahead[3] == 1.0 and {ahead[1], ahead[5]} in ({2.0, 1.0}, {2.0, 0.0}) and len(ahead.keys() & {2, 4}) == 1
+
+
+def test_a_turn_looks_at_no_more_rows_than_it_can_settle():
+    """A table that was looked at whole isn't whole again in each turn, where the driver settles a small part of it."""
+    assert greedy._next_rows(2_500_000, 2_500_000, 20_000, 10_000, 2_490_000, True) == 80_000
+    assert greedy._next_rows(1_000_000, 250_000, 20_000, 10_000, 2_500_000, True) == 320_000
+    assert greedy._next_rows(2_500_000, 2_500_000, 20_000, 10_000, 2_490_000, False) == 2_500_000  # all at once
+    assert greedy._next_rows(64, 3, 3, 100, 1_000, True) == 256 and greedy._next_rows(64, 20, 20, 100, 1_000, True) == 256
+    assert greedy._next_rows(64, 64, 16, 10, 1_000, True) == 64
